@@ -1,0 +1 @@
+"""Queries of the curation operators."""
