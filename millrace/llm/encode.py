@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -131,7 +132,7 @@ def encoder(folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Encode
 def _batches(col: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows with a bounded number of characters; at least one row each."""
     start, size = 0, 0
-    for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
         if size and size + n > BATCH_CHARS:
             yield start, i
             start, size = i, 0
