@@ -62,12 +62,12 @@ def _strength(before: str, earlier: str, word: str) -> int:
     return BLANK if blank else NONE
 
 
-def cuts(text: str, enc: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each possible cut, the text's end included: character offset, tokens before it, strength."""
+def cuts(words: list[str], enc: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each possible cut, the end included: character offset, tokens before it, strength. ``words``: the text as the encoder divides it."""
     at, tokens, strength = [], [], []
     pos = total = 0
     earlier = before = ""
-    for word in enc.split(text):
+    for word in words:
         ids = enc.words[word]
         at.append(pos)
         tokens.append(total)
@@ -86,7 +86,21 @@ def cuts(text: str, enc: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([*at, pos]), np.array([*tokens, total]), np.array([*strength, PARAGRAPH])
 
 
-def pieces(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+def _tokens(text: str, enc: Encoder, at: np.ndarray, tok: np.ndarray, strength: np.ndarray, s: int, e: int) -> int:
+    """Tokens of the piece between two cuts, encoded by itself.
+
+    Between cuts beside words only the white space at the end can be divided otherwise than in the whole text (it
+    looks ahead); a piece that starts or ends inside a word is encoded anew.
+    """
+    if strength[s] == INSIDE or e < len(strength) - 1 and strength[e] == INSIDE:
+        return enc.count(text[at[s] : at[e]])
+    k = e
+    while k > s and strength[k] != INSIDE and text[at[k - 1] : at[k]].isspace():
+        k -= 1
+    return int(tok[k] - tok[s]) + (enc.count(text[at[k] : at[e]]) if k < e else 0)
+
+
+def pieces(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP, words: list[str] | None = None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece in characters; one piece if the text keeps the limit, none if it's empty.
 
     Each piece encodes to at most ``limit`` tokens. Only a single code point of more tokens than the
@@ -94,7 +108,7 @@ def pieces(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP)
     """
     if not text:
         return []
-    at, tok, strength = cuts(text, enc)
+    at, tok, strength = cuts(enc.split(text) if words is None else words, enc)
     last = len(at) - 1
     if tok[last] <= limit:
         return [(0, len(text), int(tok[last]))]
@@ -108,7 +122,7 @@ def pieces(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP)
             else:
                 lo = max(s + 1, int(np.searchsorted(tok, tok[s] + limit // 2)))
                 e = best.argmax(min(lo, hi), hi)
-            n = enc.count(text[at[s] : at[e]])
+            n = _tokens(text, enc, at, tok, strength, s, e)
             if n <= limit or e == s + 1:
                 break
             hi = e - 1
@@ -138,12 +152,14 @@ def split_oversized(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, vocabulary)
+        look = enc.words.__getitem__
         for b in batches:
             for key_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total = enc.count(t)
+                words = enc.split(t)
+                total = sum(map(len, map(look, words)))
                 if total <= limit and not keep_small:
                     continue
-                got = pieces(t, enc, limit, overlap)
+                got = pieces(t, enc, limit, overlap, words)
                 n = len(got)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key_] * n, b.column(0).type), pa.array(range(n), pa.int32()), pa.array([a for a, _, _ in got], pa.int64()), pa.array([z for _, z, _ in got], pa.int64()),
