@@ -127,6 +127,16 @@ def kl(logp: Column, ref: Column, kind: str) -> Column:
     raise ValueError(kind)
 
 
+def field(name: str):
+    """A function for ``transform`` that takes one field of a struct."""
+    return lambda t: t[name]
+
+
+def kl_of(kind: str):
+    """``kl`` of one kind, for ``zip_with``."""
+    return lambda x, y: kl(x, y, kind)
+
+
 def linear_ramp(step: Column, start: float, end: float, first: int, last: int) -> Column:
     """``start`` up to step ``first``, ``end`` from step ``last``, linear between."""
     if last <= first:

@@ -11,13 +11,19 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import field
+from ..storage import staged
+
 INDEX = "row_index"
 
 
 def with_index(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Row indices in the given total order, without sorting all rows in one task: range partitions are sorted and their sizes added up."""
+    """Row indices in the given total order, without sorting all rows in one task: range partitions are sorted and their sizes added up.
+
+    The ranges are sampled, so another evaluation might draw them otherwise: they are written once.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    d = staged(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     d = d.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
     sizes = {r["__p"]: r["n"] for r in d.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one row per partition
     base, starts = 0, []
@@ -90,7 +96,7 @@ def fold(df: DataFrame, parts: int) -> DataFrame:
     n = max(1, total // parts)
     cols = [c for c in df.columns if c != INDEX]
     g = df.groupBy((F.col(INDEX) % n).alias("__i")).agg(F.array_sort(F.collect_list(F.struct(F.floor(F.col(INDEX) / n).alias("__k"), *cols))).alias("__rows"))
-    return g.select(F.col("__i").alias(INDEX), *[F.transform("__rows", lambda r, c=c: r[c]).alias(c) for c in cols])
+    return g.select(F.col("__i").alias(INDEX), *[F.transform("__rows", field(c)).alias(c) for c in cols])
 
 
 def unfold_rows(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -41,13 +41,13 @@ def multiset_check(expected: DataFrame, actual: DataFrame, keys: list[str]) -> D
 
 
 def set_relation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """One row: only_a, only_b, both, and the relations subset, disjoint, equal of the distinct non-null keys."""
+    """One row: only_a, only_b, in_both, and the relations subset, disjoint, equal of the distinct non-null keys."""
     x = a.select(F.col(key).alias("k"), F.lit(1).alias("x"), F.lit(0).alias("y"))
     y = b.select(F.col(key).alias("k"), F.lit(0).alias("x"), F.lit(1).alias("y"))
     g = x.unionByName(y).filter("k is not null").groupBy("k").agg(F.max("x").alias("x"), F.max("y").alias("y"))
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    s = g.agg(n((F.col("x") == 1) & (F.col("y") == 0)).alias("only_a"), n((F.col("x") == 0) & (F.col("y") == 1)).alias("only_b"), n((F.col("x") == 1) & (F.col("y") == 1)).alias("both"))
-    return s.withColumns({"subset": F.col("only_a") == 0, "disjoint": F.col("both") == 0, "equal": (F.col("only_a") == 0) & (F.col("only_b") == 0)})
+    s = g.agg(n((F.col("x") == 1) & (F.col("y") == 0)).alias("only_a"), n((F.col("x") == 0) & (F.col("y") == 1)).alias("only_b"), n((F.col("x") == 1) & (F.col("y") == 1)).alias("in_both"))
+    return s.withColumns({"subset": F.col("only_a") == 0, "disjoint": F.col("in_both") == 0, "equal": (F.col("only_a") == 0) & (F.col("only_b") == 0)})
 
 
 def zip_union(a: DataFrame, b: DataFrame, index: str) -> DataFrame:

@@ -199,7 +199,7 @@ def mixed_policy(df: DataFrame, prefix: str, low: float = 0.2, high: float = 0.2
     t = A.zipped(lp=F.col("logp"), old=F.col("old_logp"), a=F.col("advantages"), m=F.col("mask"), p=F.col(prefix))
     on = F.transform(t, lambda x: F.greatest(-x["a"] * _ratio(x), -x["a"] * A.clamp(_ratio(x), 1 - low, 1 + high)) * x["m"] * (1 - x["p"]))
     off = F.transform(t, lambda x: -x["a"] * shaped(F.exp(x["lp"]), method) * x["m"] * x["p"])
-    n_on, n_off = (A.total(F.transform(t, lambda x, w=w: x["m"] * (x["p"] if w else 1 - x["p"]))) for w in (0, 1))
+    n_on, n_off = A.total(F.transform(t, lambda x: x["m"] * (1 - x["p"]))), A.total(F.transform(t, lambda x: x["m"] * x["p"]))
     s = df.select(A.total(on).alias("on"), A.total(off).alias("off"), n_on.alias("k_on"), n_off.alias("k_off")).agg(*[F.sum(c).alias(c) for c in ("on", "off", "k_on", "k_off")])
     div = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     k = F.col("k_on") + F.col("k_off")

@@ -1,9 +1,14 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL, by module: items, decisions, texts, batches, statistics."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -18,15 +23,20 @@ def query(sql: str | None = None):
     return add
 
 
+def r6(c: Column | str) -> Column:
+    """Rounded to six places, without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
 def _load() -> None:
-    from . import curation  # noqa: F401
+    from . import batches, decisions, items, stats, texts  # noqa: F401
 
 
-def queries() -> dict:
+def queries() -> dict[str, Callable]:
     _load()
     return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     _load()
     return dict(SQL)
