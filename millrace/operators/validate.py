@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,7 +135,7 @@ def plan_errors(scenarios: Column, count: int = 14, limit: float = 0.72) -> Colu
         count=F.size(scenarios) == count, order=F.transform(scenarios, lambda s: s["scenario_id"].cast("int")) == F.sequence(F.lit(0), F.lit(count - 1)),
         scenario=F.forall(scenarios, lambda s: reasonable_length(s["scenario"], (3, 55), (12, 400))), outline=F.forall(scenarios, lambda s: reasonable_length(s["request_outline"], (3, 45), (10, 320))),
         share=F.forall(scenarios, lambda s: s["representativeness"].between(0.0, 1.0)), duplicate=F.size(F.array_distinct(F.transform(both, normalized))) == F.size(both),
-        near_duplicate=pairwise_max(F.transform(both, content_tokens)) <= limit,
+        near_duplicate=pairwise_max(F.transform(both, lambda t: content_tokens(t))) <= limit,
     )
 
 
@@ -146,7 +147,7 @@ def sample_errors(statement: Column, samples: Column, question_limit: float = 0.
         count=F.size(samples) == VARIANTS, length=F.forall(samples, lambda s: reasonable_length(s["question"], (3, 120), (8, 900)) & reasonable_length(s["answer"], (1, 400), (1, 3000))),
         leak=~F.exists(samples, lambda s: normalized(s["question"]).contains(low) | normalized(s["answer"]).contains(low)),
         duplicate=F.size(F.array_distinct(F.transform(q, normalized))) == F.size(q),
-        near_question=pairwise_max(F.transform(q, content_tokens)) <= question_limit, near_answer=pairwise_max(F.transform(a, content_tokens)) <= answer_limit,
+        near_question=pairwise_max(F.transform(q, lambda t: content_tokens(t))) <= question_limit, near_answer=pairwise_max(F.transform(a, lambda t: content_tokens(t))) <= answer_limit,
     )
 
 
@@ -233,7 +234,6 @@ def forbidden_schema_paths(schema: T.StructType, keys: set[str]) -> list[str]:
 
 def forbidden_json_paths(keys: set[str]):
     """Arrow UDF for open JSON texts: the paths of forbidden keys, and ["!invalid"] for what isn't JSON."""
-    import pandas as pd
 
     def walk(v, path):
         if isinstance(v, dict):
