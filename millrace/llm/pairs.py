@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import get_close_matches
 from functools import lru_cache
 
 import pyarrow as pa
@@ -74,7 +75,7 @@ _LETTER_OR_DIGIT = re.compile(r"[^\W_]")
 #: Share of new bytes up to which an answer counts as supplied by its question, and bytes that any answer costs.
 NEW_SHARE, NEW_BYTES = 0.30, 14
 #: Words of the answer that the question must have (both counted with repetition, the question up to twice), and share of the question that must come back.
-COPY_WORDS, COPY_COVER = 0.85, 0.6
+COPY_WORDS, COPY_COVER, LABEL = 0.85, 0.6, 5
 #: A word seen so often without ending a sentence in more than this share of the cases can't end one.
 SEEN, ENDS = 20, 0.004
 #: Answers of at most so many words may be phrases: of them only function words are held against the model.
@@ -111,14 +112,24 @@ def _against(question: bytes) -> zstandard.ZstdCompressor:
 
 
 def copies(question: str, answer: str) -> bool:
-    """The answer has about all of the question and next to nothing else."""
+    """The answer has about all of the question and next to nothing else.
+
+    A label of up to ``LABEL`` words before the question's first two words is left off. New words after the last
+    word of the question, if they aren't near spellings, and new numbers are an answer.
+    """
     q, a = _TOKEN.findall(question.lower()), _TOKEN.findall(answer.lower())
+    if len(q) > 1 and a[:2] != q[:2]:
+        a = next((a[i:] for i in range(1, LABEL + 1) if a[i : i + 2] == q[:2]), a)
     if not q or len(a) < max(1, COPY_COVER * len(q)):
         return False
     qb, ab = " ".join(q).encode("utf-8", "replace"), " ".join(a).encode("utf-8", "replace")
     if len(qb) >= 8 and len(_against(qb).compress(ab)) > NEW_BYTES + NEW_SHARE * len(ab):
         return False
     left = Counter(q)
+    new = [w not in left for w in a]
+    tail = a[len(a) - new[::-1].index(False) :] if False in new else a
+    if any(n and any(c.isdigit() for c in w) for w, n in zip(a, new)) or any(not get_close_matches(w, left, 1, 0.7) for w in tail):
+        return False
     found = sum((Counter(a) & left).values())
     covered = found / len(q)
     twice = sum((Counter(a) & Counter({w: 2 * n for w, n in left.items()})).values())
@@ -126,21 +137,23 @@ def copies(question: str, answer: str) -> bool:
 
 
 def language(text: str) -> tuple[str | None, int, int]:
-    """Language or script, the evidence for it, and the number of words; quoted parts don't count."""
+    """Language or script, the evidence for it, and the number of words; quoted parts and letters of names don't count."""
     other = Counter(next((n for n, a, b in SCRIPTS if a <= ord(c) <= b), None) for c in _OTHER.findall(text))
     if other:
         letters = sum(c.isalpha() for c in text)
         n = sum(other.values())
         if n > 0.5 * letters:
             return ("han" if "kana" not in other else "kana") if {"han", "kana"} & set(other) else other.most_common(1)[0][0], n, n
-    low = _QUOTED.sub(" ", text).lower().replace("’", "'")
+    own = _QUOTED.sub(" ", text).replace("’", "'")
+    low = own.lower()
     words = _TOKEN.findall(low)
+    plain = [w for w in _TOKEN.findall(own) if w[0].islower()]
     score: Counter = Counter()
     for w in words:
         for k in _LANGUAGES_OF.get(w, ()):
             score[k] += 1
     for k, marks in MARKS.items():
-        score[k] += sum(any(c in marks for c in w) for w in words) + (k == "es" and ("¿" in low or "¡" in low))
+        score[k] += sum(any(c in marks for c in w) for w in plain) + (k == "es" and ("¿" in low or "¡" in low))
     best = score.most_common(2)
     if not best or best[0][1] == 0 or len(best) > 1 and best[0][1] == best[1][1]:
         return None, 0, len(words)
@@ -162,6 +175,16 @@ def other_language(question: str, answer: str) -> bool:
     return sure >= 2 or sure == 1 and 2 <= n <= 6
 
 
+def _open_at_end(a: str) -> bool:
+    """A bracket or quote is open, and the text doesn't end a sentence or does so within two words of it."""
+    opened = [a.rfind(x) for x, y in ("()", "[]", "{}", "«»") if a.count(x) > a.count(y)]
+    if a.count('"') % 2:
+        opened.append(a.rfind('"'))
+    if a.count("“") > a.count("”") + a.count("„"):
+        opened.append(a.rfind("“"))
+    return bool(opened) and (not _ENDED.search(a) or a[-1] in '"([{' or len(_TOKEN.findall(a[max(opened) :])) <= 2)
+
+
 def verdict(question: str | None, answer: str | None) -> tuple[str | None, str | None, int]:
     """(defect, None, 0), or for an answer without a clear end (None, its last word, number of words)."""
     if is_empty(answer):
@@ -173,7 +196,7 @@ def verdict(question: str | None, answer: str | None) -> tuple[str | None, str |
     if question and other_language(question, answer):
         return "wrong_language", None, 0
     a = _INVISIBLE.sub(" ", answer).strip()
-    if a.count("(") > a.count(")") or a.count("[") > a.count("]") or a.count("{") > a.count("}") or a.count('"') % 2 or a.count("“") > a.count("”") + a.count("„") or a.count("«") > a.count("»"):
+    if _open_at_end(a):
         return "truncated", None, 0
     if _HANGING.search(a) or _LIST_MARK.search(answer):
         return "truncated", None, 0
@@ -182,12 +205,12 @@ def verdict(question: str | None, answer: str | None) -> tuple[str | None, str |
     words = _TOKEN.findall(a)
     if not words or _OTHER.search(words[-1]):
         return None, None, 0
-    return None, words[-1], len(words)
+    return None, words[-1], len(a.split())
 
 
 def last_form(word: str) -> str:
-    """The form under which a word is counted: numbers are one word, case is kept off."""
-    return "0" if word[0].isdigit() else word.lower()
+    """The form under which a word is counted: words with digits are one word, case is kept off."""
+    return "0" if any(c.isdigit() for c in word) else word.lower()
 
 
 def _counts(df: DataFrame) -> DataFrame:
@@ -235,7 +258,7 @@ def pair_defects(pairs: DataFrame, question: str, answer: str, keys: list[str])
 
     judged = staged(d.mapInArrow(run, f"{kinds}, defect string, last string, words int"), "judged")
     sure = judged.filter("defect is not null").select(*keys, "defect")
-    open_ = judged.filter("defect is null").withColumn("word", F.when(F.col("last").rlike(r"^\d"), "0").otherwise(F.lower("last")))
+    open_ = judged.filter("defect is null").withColumn("word", F.when(F.col("last").rlike(r"\p{N}"), "0").otherwise(F.lower("last")))
     words = staged(_counts(d.select("__q", "__a")), "words")
     letters = words.filter(F.col("word").rlike(r"^[a-zß-ÿœ]{4,40}$") & (F.col("inside") > 0))
     tails = letters.select(F.substring("word", -3, 3).alias("tail"), F.lit(1).alias("at_end"))
@@ -245,8 +268,10 @@ def pair_defects(pairs: DataFrame, question: str, answer: str, keys: list[str])
     small = F.col("last") == F.lower("last")
     cannot_end = (F.coalesce("inside", F.lit(0)) >= SEEN) & (F.col("ends") < ENDS * F.col("inside"))
     function = F.lower("last").isin(*sorted(set().union(*_FUNCTION.values())))
-    unknown = F.coalesce("inside", F.lit(0)) <= 0
-    cut_word = unknown & ((F.length("last") < 3) | (F.coalesce("tail_ends", F.lit(0.0)) < 0.5))
     whole = F.col("words") > PHRASE
-    cut = (cannot_end & (whole | function)) | (cut_word & (small | whole) & (F.col("words") > 1))
+    unknown = F.coalesce("inside", F.lit(0)) <= 0
+    rare = (F.col("inside") > 0) & (F.col("inside") < SEEN) & (F.col("ends") == 0)
+    seldom_last = (F.length("last") < 3) | (F.coalesce("tail_ends", F.lit(0.0)) < 0.5)
+    cut_word = (unknown & small & whole) | (unknown & seldom_last & (small | whole) & (F.col("words") > 1)) | (rare & small & whole & seldom_last)
+    cut = (cannot_end & (whole | function)) | cut_word
     return sure.unionByName(x.filter(cut & (F.col("word") != "0")).select(*keys, F.lit("truncated").alias("defect")))
