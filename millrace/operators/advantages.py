@@ -171,9 +171,22 @@ def token_baseline(df: DataFrame, key: str, zero_tail: bool = True, weights: str
     return d.drop("len", "energy", "bs", "n", "len1", "at_top", "len2")
 
 
+def token_baseline_turns(df: DataFrame, key: str, zero_tail: bool = True, weights: str | None = None) -> DataFrame:
+    """``token_baseline`` over several turns: positions count masked tokens only, whatever lies between the turns. Rows without one have zeros."""
+    cols = ["rewards", "old_logp", "sum_pi_squared", *([weights] if weights else [])]
+    kept = lambda c: F.transform(F.filter(F.arrays_zip(F.col(c).alias("x"), F.col("mask").alias("m")), lambda t: t["m"] > 0), lambda t: t["x"])
+    short = df.filter(F.exists("mask", lambda m: m > 0)).select(key, "uid", *[kept(c).alias(c) for c in cols], F.filter("mask", lambda m: m > 0).alias("mask"))
+    got = token_baseline(short, key, zero_tail, weights).select(F.col(key).alias("__k"), F.col("advantages").alias("__a"))
+    d = df.withColumn("returns", A.suffix_sums(F.zip_with("rewards", "mask", lambda r, m: r * m)))
+    d = d.join(got, F.col(key) == F.col("__k"), "left")
+    nth = F.transform(A.prefix_sums(F.col("mask")), lambda n: n.cast("int"))
+    adv = F.zip_with("mask", nth, lambda m, n: F.when(m > 0, F.coalesce(F.get(F.col("__a"), n - 1), F.lit(0.0))).otherwise(0.0))
+    return d.withColumn("advantages", adv).drop("__k", "__a")
+
+
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {
     "gae": gae, "grpo": grpo, "gdpo": gdpo, "grpo_passk": pass_k, "reinforce_plus_plus_baseline": baseline, "rloo": rloo, "rloo_vectorized": rloo_vectorized, "opo": opo,
-    "gpg": gpg, "reinforce_plus_plus": reinforce, "remax": remax, "optimal_token_baseline": token_baseline,
+    "gpg": gpg, "reinforce_plus_plus": reinforce, "remax": remax, "optimal_token_baseline": token_baseline, "tir_optimal_token_baseline": token_baseline_turns,
 }
 
 

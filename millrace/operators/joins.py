@@ -61,6 +61,11 @@ def zip_union(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
     return j.drop(*[f"__b_{c}" for c in both])
 
 
+def replaced(rows: DataFrame, news: DataFrame, index: str) -> DataFrame:
+    """Rows of an index that the new rows have are left out, the new rows added; columns that one side lacks are null."""
+    return rows.join(news.select(index).distinct(), index, "left_anti").unionByName(news, allowMissingColumns=True)
+
+
 def variant_rows(df: DataFrame, variants: str, override: list[str]) -> DataFrame:
     """One row per variant; fields of the variant that aren't null replace those of the row. Rows without variants vanish."""
     d = df.select("*", F.posexplode(variants).alias("variant_index", "__v")).drop(variants)

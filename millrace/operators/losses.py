@@ -213,6 +213,13 @@ def log_ratio() -> Column:
     return F.zip_with("logp", "old_logp", lambda x, y: x - y)
 
 
+def penalised_rewards(df: DataFrame, scores: str, ref: str, coef: float, kind: str = "kl") -> DataFrame:
+    """``df`` with ``rewards``: token scores less the coefficient times the divergence from the reference, and ``kl``, its mean over the sequence."""
+    k = F.zip_with(F.zip_with("logp", ref, A.kl_of(kind)), "mask", lambda x, m: x * m)
+    d = df.withColumn("__k", k).withColumn("rewards", F.zip_with(scores, "__k", lambda s, x: s - coef * x))
+    return d.withColumn("kl", A.masked_mean(F.col("__k"), F.col("mask"))).drop("__k")
+
+
 def importance_weights(df: DataFrame, level: str = "token", threshold: float = 2.0, normalise: bool = False) -> DataFrame:
     """``df`` with ``weights``: exponential of the log-ratio of the token or of the sequence's sum, at most the threshold, 0 outside the mask."""
     lr = log_ratio()

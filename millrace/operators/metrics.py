@@ -201,6 +201,20 @@ def timing(raw: dict[str, float], prompt_tokens: int, response_tokens: int) -> d
     return out
 
 
+def positive_samples(df: DataFrame, reward: str, key: list[str], order: str, most: int) -> DataFrame:
+    """Up to ``most`` rows of positive reward, the first of each key, in order: a log of samples of a fixed length."""
+    good = df.filter(F.col(reward) > 0)
+    rest = [c for c in good.columns if c not in key]
+    one = good.groupBy(*key).agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("__r")).select(*key, *[F.col(f"__r.{c}").alias(c) for c in rest])
+    return one.orderBy(order).limit(most)
+
+
+def by_variant(df: DataFrame, variant: str, rewards: list[str], path: str | None = None) -> DataFrame:
+    """Per variant: rows, mean and population deviation of each reward, and the number of distinct (variant, path)."""
+    stats = [f(c).alias(f"{c}_{n}") for c in rewards for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return df.groupBy(variant).agg(F.count("*").alias("rows"), *stats, *([F.countDistinct(path).alias("paths")] if path else []))
+
+
 def eval_means(df: DataFrame, source: str, scores: str) -> DataFrame:
     """Mean over the rows of a source of each row's mean score (array)."""
     row = A.total(F.transform(scores, lambda x: x.cast("double"))) / F.size(scores)

@@ -136,3 +136,24 @@ def waves(df: DataFrame, index: str, capacity: int, servers: int) -> DataFrame:
 
 def passes(df: DataFrame, positives_col: str) -> DataFrame:
     return df.select(F.explode(positives_col).alias("index")).groupBy("index").agg(F.count("*").alias("times"))
+
+
+def focus_scopes(accepted: DataFrame, category: str, count: int, domains: list[str], cap: int, reuse: float, seed: str) -> list[str]:
+    """Scopes for the next generation round: reused ones that are least used and under the cap, then "Domain/*" of the domains least used.
+
+    Counts are aggregated; the driver holds one row per scope and domain. Fractions and ties are decided by the seed.
+    """
+    rng = random.Random(f"{seed}:{category}")
+    scope = F.lower(F.trim(F.regexp_replace("subcategory", r"(?U)\s+", " ")))
+    rows = accepted.groupBy(scope.alias("scope")).agg(F.count("*").alias("n"), F.sum((F.col("category") == category).cast("long")).alias("own"), F.min("subcategory").alias("shown")).filter("scope is not null").collect()
+    used, own = {}, {}
+    for r in rows:
+        d = r["scope"].split("/", 1)[0].strip()
+        used[d], own[d] = used.get(d, 0) + r["n"], own.get(d, 0) + (r["own"] or 0)
+    again = int(count * reuse) + (rng.random() < count * reuse % 1)
+    free = sorted((r for r in rows if r["n"] < cap), key=lambda r: (r["n"], r["own"] or 0, rng.random()))
+    out = [r["shown"] for r in free[: min(again, count)]]
+    fresh = sorted(domains, key=lambda d: (own.get(d.lower(), 0), used.get(d.lower(), 0), rng.random()))
+    out += [f"{d}/*" for d in fresh[: count - len(out)]]
+    rng.shuffle(out)
+    return out

@@ -259,6 +259,11 @@ def forbidden_json_paths(keys: set[str]):
     return run
 
 
+def not_overlong(df: DataFrame, length: Column, most: int) -> DataFrame:
+    """Rows of at most ``most``; a null length (it couldn't be measured) counts as too long."""
+    return df.filter(F.coalesce(length <= most, F.lit(False)))
+
+
 def gates(checks: dict[str, DataFrame]) -> DataFrame:
     """(gate, passed) of each one-row, one-column boolean frame, and all_gates_pass. A null is a failure."""
     out = None

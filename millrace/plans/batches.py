@@ -87,6 +87,13 @@ def zipped_batches(spark, sf):
     return joins.zip_union(d.select("row_index", "o_orderkey", "o_custkey"), d.select("row_index", "o_orderkey", "o_totalprice"), "row_index").select("row_index", "o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query(f"with {INDEXED} select row_index, o_orderkey, null::double as reward from b where row_index % 5 <> 0 union all select row_index, -o_orderkey, 1.0::double from b where row_index % 5 = 0")
+def replaced_rows(spark, sf):
+    d = orders(spark, sf).select("row_index", "o_orderkey")
+    news = d.filter("row_index % 5 = 0").select("row_index", (-F.col("o_orderkey")).alias("o_orderkey"), F.lit(1.0).alias("reward"))
+    return joins.replaced(d, news, "row_index")
+
+
 @query(f"with {INDEXED} select count(*) as rows, true as gapless from b")
 def consistent_batch(spark, sf):
     return batch.consistent(orders(spark, sf))

@@ -126,6 +126,32 @@ def optimal_token_baseline(spark, sf):
     return summed(adv.token_baseline(rollouts(spark, sf), "seq"))
 
 
+@query(f"""with {TOK}, t as (select *, row_number() over (partition by seq order by pos) - 1 as q, sum(r) over (partition by seq order by pos desc) as g, sum(1 - 2 * exp(old) + s2) over (partition by seq order by pos) as w from tok where m > 0), n as (select uid, seq, count(*) as len from t group by 1, 2),
+b as (select uid, q, sum(g * w) / (sum(w) + 1e-8) as b from t group by 1, 2), u as (select uid, count(*) as n, max(len) as l1 from n group by 1), l as (select n.uid, sum((len = l1)::int) as top, max(case when len < l1 then len end) as l2 from n join u on u.uid = n.uid group by 1),
+a as (select t.seq, sum(t.g - case when u.n = 1 then 0 when n.len = u.l1 and l.top = 1 and t.q >= l.l2 then 0 else b.b end) as x from t join n on n.seq = t.seq join b on b.uid = t.uid and b.q = t.q join u on u.uid = t.uid join l on l.uid = t.uid group by 1)
+select s.seq, round(coalesce(a.x, 0), 6) + 0.0 as total from (select distinct seq from tok) s left join a on a.seq = s.seq""")
+def multi_turn_token_baseline(spark, sf):
+    return summed(adv.token_baseline_turns(rollouts(spark, sf), "seq"))
+
+
+@query(f"with {TOK} select seq, round(sum(r - 0.05 * (lp - old) * m), 6) + 0.0 as total, round(sum((lp - old) * m) / (sum(m) + 1e-8), 6) + 0.0 as kl from tok group by seq")
+def penalised_rewards(spark, sf):
+    d = losses.penalised_rewards(rollouts(spark, sf).withColumn("scores", F.col("rewards")), "scores", "old_logp", 0.05)
+    return d.select("seq", r6(A.total(F.col("rewards"))).alias("total"), r6("kl").alias("kl"))
+
+
+@query("select event_type as variant, count(*) as rows, round(avg(value), 6) + 0.0 as value_mean, round(stddev_pop(value), 6) + 0.0 as value_std, count(distinct user_id) as paths from events group by 1")
+def variant_stats(spark, sf):
+    d = metrics.by_variant(table(spark, sf, "events").withColumnRenamed("event_type", "variant"), "variant", ["value"], "user_id")
+    return d.select("variant", "rows", r6("value_mean").alias("value_mean"), r6("value_std").alias("value_std"), "paths")
+
+
+@query("with p as (select user_id, event_type, min(event_id) as event_id from events where value > 0 group by 1, 2) select user_id, event_type, event_id from p order by event_id limit 100")
+def positive_samples(spark, sf):
+    d = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
+    return metrics.positive_samples(d, "value", ["user_id", "event_type"], "event_id", 100).select("user_id", "event_type", "event_id")
+
+
 # losses ---------------------------------------------------------------------------------------------------------------
 
 

@@ -48,6 +48,14 @@ def read_splits(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet"
     return out
 
 
+def read_many(spark: SparkSession, paths: list[str], fmt: str = "parquet", most: int | None = None, order: Column | None = None) -> DataFrame:
+    """Files of one kind as one frame; with ``most`` only so many rows, the first in the given order (a seeded hash for a sample)."""
+    d = spark.read.format(fmt).load(paths)
+    if most is None:
+        return d
+    return (d.orderBy(order) if order is not None else d).limit(most)
+
+
 def first_readable(*readers) -> DataFrame:
     """The frame of the first reader that doesn't fail; the last error is raised. Readers should touch their source (its schema)."""
     error: Exception | None = None

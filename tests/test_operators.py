@@ -276,3 +276,21 @@ def test_chat(spark):
     assert spark.range(1).select(chat.alternates(full)).first()[0] is True
     assert spark.range(1).select(chat.role_counts(full)).first()[0] == {"assistant": 1, "user": 1}
     assert spark.range(1).select(chat.passages(F.array(F.lit("T\nbody\nmore")))).first()[0] == "Doc 1(Title: T) body\nmore\n"
+
+
+def test_scorers_and_plugins(spark, tmp_path):
+    from millrace.operators import scoring
+
+    d = spark.createDataFrame([(1, "a"), (2, "bb"), (3, None)], "k long, t string")
+    got = {r["k"]: r["score"] for r in scoring.timed(d, lambda r: len(r["t"]) / (1 if r["t"] != "bb" else 0), ["t"], failed=-1.0).collect()}
+    assert got == {1: 1.0, 2: -1.0, 3: -1.0}
+    assert [r["score"] for r in scoring.batched(d, lambda p: p["k"] * 2, ["k"]).orderBy("k").collect()] == [2.0, 4.0, 6.0]
+    (tmp_path / "p.py").write_text("def f(x):\n    return x + 1\n")
+    assert scoring.load(str(tmp_path / "p.py"), "f")(1) == 2
+
+
+def test_scopes(spark):
+    d = spark.createDataFrame([("c", "A/x"), ("c", "a/X"), ("d", "B/y"), ("d", None)], "category string, subcategory string")
+    got = schedule.focus_scopes(d, "c", 3, ["A", "B", "Z"], cap=2, reuse=1 / 3, seed="s")
+    assert len(got) == 3 and "B/y" in got and "Z/*" in got
+    assert schedule.focus_scopes(d.limit(0), "c", 2, ["A", "B"], 5, 0.5, "s") and validate.not_overlong(d, F.length("subcategory"), 3).count() == 3
