@@ -61,6 +61,7 @@ for _k, _v in _FUNCTION.items():
 MARKS = {"de": "äöüß", "fr": "çèêëîïôûœàù", "es": "ñ¿¡áíóú"}
 #: Scripts by code point ranges (fixed values).
 SCRIPTS = (("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("greek", 0x370, 0x3FF))
+_MARKED = re.compile("[" + "".join(MARKS.values()) + "]")
 _OTHER = re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for _, a, b in SCRIPTS) + "]")
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)*")
@@ -138,8 +139,8 @@ def copies(question: str, answer: str) -> bool:
 
 def language(text: str) -> tuple[str | None, int, int]:
     """Language or script, the evidence for it, and the number of words; quoted parts and letters of names don't count."""
-    other = Counter(next((n for n, a, b in SCRIPTS if a <= ord(c) <= b), None) for c in _OTHER.findall(text))
-    if other:
+    if _OTHER.search(text):
+        other = Counter(next((n for n, a, b in SCRIPTS if a <= ord(c) <= b), None) for c in _OTHER.findall(text))
         letters = sum(c.isalpha() for c in text)
         n = sum(other.values())
         if n > 0.5 * letters:
@@ -147,25 +148,32 @@ def language(text: str) -> tuple[str | None, int, int]:
     own = _QUOTED.sub(" ", text).replace("’", "'")
     low = own.lower()
     words = _TOKEN.findall(low)
-    plain = [w for w in _TOKEN.findall(own) if w[0].islower()]
     score: Counter = Counter()
     for w in words:
         for k in _LANGUAGES_OF.get(w, ()):
             score[k] += 1
-    for k, marks in MARKS.items():
-        score[k] += sum(any(c in marks for c in w) for w in plain) + (k == "es" and ("¿" in low or "¡" in low))
+    if _MARKED.search(low):
+        plain = [w for w in _TOKEN.findall(own) if w[0].islower()]
+        for k, marks in MARKS.items():
+            score[k] += sum(any(c in marks for c in w) for w in plain) + (k == "es" and ("¿" in low or "¡" in low))
     best = score.most_common(2)
     if not best or best[0][1] == 0 or len(best) > 1 and best[0][1] == best[1][1]:
         return None, 0, len(words)
     return best[0][0], best[0][1] - (best[1][1] if len(best) > 1 else 0), len(words)
 
 
+@lru_cache(maxsize=4096)
+def _asked(question: str) -> tuple[str | None, int, int]:
+    """``language`` of a question; prompts are asked again and again."""
+    return language(question)
+
+
 def other_language(question: str, answer: str) -> bool:
     """The answer is clearly of one language or script and the question clearly of another."""
     a, sure, n = language(answer)
     if a is None:
         return False
-    q, q_sure, _ = language(question)
+    q, q_sure, _ = _asked(question)
     if q is None or a == q or {a, q} <= {"han", "kana"}:
         return False
     if a not in FUNCTION_WORDS:
