@@ -285,15 +285,23 @@ def chain_end(it):
     yield None
 
 
+@lru_cache(maxsize=4096)
+def _bag(text: str) -> tuple[dict[str, int], int]:
+    """Words with their numbers, and how many in all. The joined pairs come sorted by one side, so its text was just seen."""
+    words = WORD.findall(text.lower())
+    return dict(Counter(words)), len(words)
+
+
 def exact_similarity(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, similarity) of class pairs over the whole word multisets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sims = []
             for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = elements(ta)[0], elements(tb)[0]
-                o = len(set(x).intersection(y))
-                sims.append(o / (len(x) + len(y) - o))
+                (x, n), (y, m) = sorted((_bag(ta), _bag(tb)), key=lambda b: len(b[0]))
+                get = y.get
+                o = sum(k if k < (j := get(w, 0)) else j for w, k in x.items())
+                sims.append(o / (n + m - o))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
 
     texts = pairs.join(classes.select(F.col("class_id").alias("a"), F.col("text").alias("ta")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("text").alias("tb")), "b")
