@@ -77,8 +77,9 @@ _LETTER_OR_DIGIT = re.compile(r"[^\W_]")
 NEW_SHARE, NEW_BYTES = 0.30, 14
 #: Words of the answer that the question must have (both counted with repetition, the question up to twice), and share of the question that must come back.
 COPY_WORDS, COPY_COVER, LABEL = 0.85, 0.6, 5
-#: A word seen so often without ending a sentence in more than this share of the cases can't end one.
-SEEN, ENDS = 20, 0.004
+#: A function word seen so often without ending a sentence in more than this share of the cases can't end one; any other
+#: word must have been seen so much oftener and never at an end, as names of fields or units seldom end sentences but may.
+SEEN, ENDS, OFTEN_SEEN = 20, 0.004, 500
 #: Answers of at most so many words may be phrases: of them only function words are held against the model.
 PHRASE = 4
 
@@ -274,8 +275,9 @@ def pair_defects(pairs: DataFrame, question: str, answer: str, keys: list[str])
     tails = tails.unionByName(grams).groupBy("tail").agg(F.avg("at_end").alias("tail_ends"))
     x = open_.join(words, "word", "left").withColumn("tail", F.substring("word", -3, 3)).join(tails, "tail", "left")
     small = F.col("last") == F.lower("last")
-    cannot_end = (F.coalesce("inside", F.lit(0)) >= SEEN) & (F.col("ends") < ENDS * F.col("inside"))
     function = F.lower("last").isin(*sorted(set().union(*_FUNCTION.values())))
+    often = F.coalesce("inside", F.lit(0))
+    cannot_end = (function & (often >= SEEN) & (F.col("ends") < ENDS * often)) | (small & (F.col("ends") == 0) & (often >= F.when(F.length("last") <= 2, SEEN).otherwise(OFTEN_SEEN)))
     whole = F.col("words") > PHRASE
     unknown = F.coalesce("inside", F.lit(0)) <= 0
     rare = (F.col("inside") > 0) & (F.col("inside") < SEEN) & (F.col("ends") == 0)
