@@ -32,7 +32,7 @@ ALL_BELOW, ALL_ROWS, ALL_BANDS = 0.4, 5, 80
 #: A word in more than this share of the classes is frequent. At most (mean words a class) / FREQUENT words are.
 FREQUENT = 0.05
 #: Bits of a fingerprint. Two texts of similarity s differ in (1 - s) / 2 of them on average.
-BITS, DEVIATIONS = 128, 5.0
+BITS, DEVIATIONS = 128, 4.0
 #: Most classes of one shard that a single tree holds, and the size of a tree's leaf.
 SHARD, LEAF = 4096, 48
 _SEEDS = np.random.default_rng(20240607)
@@ -42,7 +42,7 @@ POPULAR = "frequent words"
 
 
 def radius(threshold: float) -> int:
-    """Hamming distance that two texts of this similarity exceed in less than one of a million cases."""
+    """Hamming distance that two texts of this similarity exceed in less than one of ten thousand cases."""
     p = (1 - threshold) / 2
     return int(np.ceil(BITS * p + DEVIATIONS * np.sqrt(BITS * p * (1 - p))))
 
