@@ -167,6 +167,11 @@ def first_filled(**columns: Column) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: lambdas would compute it again wherever they name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def answer_surfaces(c: Column | str, count: int = 8) -> Column:
     """Up to ``count`` ways to write an answer that differ from it only on the surface.
 
@@ -175,21 +180,28 @@ def answer_surfaces(c: Column | str, count: int = 8) -> Column:
     sentences. Forms of over 180 characters or 28 words and forms equal to the answer or, but for case, to an
     earlier form are left out. Null where no ``count`` forms are found, as for null and blank answers.
     """
-    raw = compact(c)
-    base = F.trim(F.substring(raw, 1, 64))
-    names = F.regexp_extract_all(raw, F.lit("([A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’-]+)"), F.lit(1))
-    first, last = F.get(names, F.lit(0)), F.get(names, F.size(names) - 1)
-    plain = F.replace(raw, F.lit(","), F.lit(""))
-    number = raw.rlike(r"^[-+]?\d+(?:[,.]\d+)*(?:\.\d+)?(?:\s*[A-Za-z%°]+)?$")
     none = F.array().cast("array<string>")
-    marks = F.array(*[F.concat(base, F.lit(m)) for m in ".,;:!?"], F.concat(F.lit('"'), base, F.lit('"')), F.concat(F.lit("'"), base, F.lit("'")))
-    by_name = F.array(F.concat(last, F.lit(", "), first), F.concat(first, F.lit("-"), last), F.concat(first, F.lit(" "), last, F.lit(".")), F.concat(first, F.lit(" "), last, F.lit(",")))
-    by_number = F.array(F.concat(plain, F.lit(".")), F.concat(plain, F.lit(";")), F.concat(F.lit('"'), plain, F.lit('"')))
-    said = F.array(*[F.concat(F.lit(p), base, F.lit(".")) for p in ("It was ", "The value was ", "The answer was ")])
-    forms = F.concat(marks, F.when(F.size(names) >= 2, by_name).otherwise(none), F.when(number, by_number).otherwise(none), said)
-    forms = F.filter(forms, lambda v: (v != raw) & (F.length(v) <= 180) & (F.size(F.split(v, " ")) <= 28))
-    new = F.filter(forms, lambda v, i: F.array_position(F.transform(forms, lambda x: F.lower(x)), F.lower(v)) == i + 1)
-    return F.when((raw != "") & (F.size(new) >= count), F.slice(new, 1, count))
+    lit = F.lit
+
+    def forms(x: Column) -> Column:
+        raw, base, names = x["raw"], x["base"], x["names"]
+        first, last = F.get(names, lit(0)), F.get(names, F.size(names) - 1)
+        plain = F.replace(raw, lit(","), lit(""))
+        number = raw.rlike(r"^[-+]?\d+(?:[,.]\d+)*(?:\.\d+)?(?:\s*[A-Za-z%°]+)?$")
+        marks = F.array(*[F.concat(base, lit(m)) for m in ".,;:!?"], F.concat(lit('"'), base, lit('"')), F.concat(lit("'"), base, lit("'")))
+        by_name = F.array(F.concat(last, lit(", "), first), F.concat(first, lit("-"), last), F.concat(first, lit(" "), last, lit(".")), F.concat(first, lit(" "), last, lit(",")))
+        by_number = F.array(F.concat(plain, lit(".")), F.concat(plain, lit(";")), F.concat(lit('"'), plain, lit('"')))
+        said = F.array(*[F.concat(lit(p), base, lit(".")) for p in ("It was ", "The value was ", "The answer was ")])
+        every = F.concat(marks, F.when(F.size(names) >= 2, by_name).otherwise(none), F.when(number, by_number).otherwise(none), said)
+        good = F.filter(every, lambda v: (v != raw) & (F.length(v) <= 180) & (F.size(F.split(v, " ")) <= 28))
+        return let(F.struct(good.alias("fs"), F.transform(good, lambda v: F.lower(v)).alias("low")), lambda y: F.filter(y["fs"], lambda v, i: F.array_position(y["low"], F.lower(v)) == i + 1))
+
+    def parts(raw: Column) -> Column:
+        names = F.regexp_extract_all(raw, lit("([A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’-]+)"), lit(1))
+        return F.struct(raw.alias("raw"), F.trim(F.substring(raw, 1, 64)).alias("base"), names.alias("names"))
+
+    found = let(compact(c), lambda raw: let(parts(raw), lambda x: F.when(x["raw"] != "", forms(x))))
+    return let(found, lambda fs: F.when(F.size(fs) >= count, F.slice(fs, 1, count)))
 
 
 def fenced_json(c: Column | str) -> Column:
