@@ -2,8 +2,8 @@
 
 Records are canonicalised (lower case, words only) and hashed: equal hashes are exact overlaps, counted by
 split and source without listing pairs. Near overlaps join evaluation hashes with training hashes as well,
-of parts of the record instead of the whole: the min-wise shard hashes of ``simjoin``, kept to pairs of
-both sides and checked on whole word multisets.
+of parts of the record instead of the whole: its rarest words as in ``simjoin``, kept to pairs of both sides
+and checked on whole word multisets.
 """
 
 from __future__ import annotations

@@ -1,13 +1,14 @@
 """Pairs of texts with a word similarity (multiset Jaccard) of at least a threshold.
 
 1. *Classes.* Texts with the same words, in whatever order, are one class; only classes are compared.
-2. *Shards.* Min-wise hashes over the words of a class that aren't frequent in the corpus route it to
-   ``BANDS`` shards, each keyed by ``ROWS`` hashes. Classes made almost only of frequent words are routed
-   by all their words as well.
-3. *Vantage-point trees.* Within a shard the classes are ordered in a tree over fingerprints (one bit of
-   each of 128 further min-wise hashes) by Hamming distance, and branches are pruned by the triangle
-   inequality. A shard of more than ``SHARD`` classes is divided by vantage points first; each class lives
-   in one part and is sent as a query to the parts that its radius reaches.
+2. *Shards.* The word occurrences of a class are ordered from the rarest on. Of two classes of similarity t each
+   has one they share among its first n - ceil(t n) + 1 (n: its occurrences), so a class goes to the shards of
+   these, whatever its words. A shard of more than ``SHARD`` classes (a hot word) is salted: divided into blocks,
+   of which every two meet.
+3. *Vantage-point trees.* Within a shard the classes are ordered in a tree over fingerprints by Hamming distance,
+   and branches are pruned by the triangle inequality. Each bit of a fingerprint is the parity of the occurrences
+   that fall on it, so two classes differ in at most as many bits as they have occurrences not in common, which
+   are at most (1 - t) / (1 + t) of the occurrences of both: no pair of similarity t is pruned.
 4. *Exact check.* Surviving pairs are checked on the whole word multisets.
 """
 
@@ -26,25 +27,13 @@ from pyspark.sql import functions as F
 from ..storage import staged
 from .common import WORD, mix64
 
-ROWS, BANDS = 3, 64
-#: For classes of which less than this share of the words is infrequent: hashes a band and bands over all words.
-ALL_BELOW, ALL_ROWS, ALL_BANDS = 0.4, 5, 80
-#: A word in more than this share of the classes is frequent. At most (mean words a class) / FREQUENT words are.
-FREQUENT = 0.05
-#: Bits of a fingerprint. Two texts of similarity s differ in (1 - s) / 2 of them on average.
-BITS, DEVIATIONS = 128, 4.0
+#: Bits of a fingerprint; the first half is looked at first.
+BITS = 256
+#: Word occurrences in fewer classes than LEAST, or beyond the MOST most frequent, count as equally rare.
+LEAST, MOST = 32, 100_000
 #: Most classes of one shard that a single tree holds, and the size of a tree's leaf.
 SHARD, LEAF = 4096, 48
-_SEEDS = np.random.default_rng(20240607)
-_MULT = (_SEEDS.integers(0, 2**63, 512, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _SEEDS.integers(0, 2**63, 512, dtype=np.uint64)
-POPULAR = "frequent words"
-
-
-def radius(threshold: float) -> int:
-    """Hamming distance that two texts of this similarity exceed in less than one of ten thousand cases."""
-    p = (1 - threshold) / 2
-    return int(np.ceil(BITS * p + DEVIATIONS * np.sqrt(BITS * p * (1 - p))))
+PRINTS = ["f0", "f1", "f2", "f3"]
 
 
 @lru_cache(maxsize=200_000)
@@ -88,76 +77,73 @@ def word_classes(df: DataFrame, key: str, text: str, more: list[str] | None = No
     return all_.groupBy("class_id").agg(F.min("text").alias("text")), all_.drop("text").distinct()
 
 
-def frequent_words(classes: DataFrame, share: float = FREQUENT) -> list[str]:
-    """Words in more than this share of all classes; bounded by the mean number of words / share, whatever the corpus."""
-    n = classes.count()
-    if not n:
-        return []
-    words = classes.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
-    return [r.w for r in words.groupBy("w").count().filter(F.col("count") > share * n).select("w").collect()]
+def frequent_elements(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of the word occurrences in at least LEAST classes and their counts; at most MOST, whatever the corpus.
 
+    They only order the occurrences: any order that all classes have in common gives the same links.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e, n = np.unique(np.array([e for t in b.column(0).to_pylist() for e in elements(t)[0]], np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n)], names=["e", "n"])
 
-def _min_hashes(el: np.ndarray, starts: np.ndarray, lo: int, n: int) -> np.ndarray:
-    """n min-wise hashes of each run of elements."""
-    out = np.empty((len(starts), n), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            out[:, k] = np.minimum.reduceat((el ^ _ADD[lo + k]) * _MULT[lo + k], starts)
-    return out
+    counts = staged(classes.select("text").mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST), "elements")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    got = counts.filter(F.col("n") >= total / MOST).toArrow()
+    e, n = got.column("e").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(e)
+    return e[order], n[order]
 
 
-def signatures(classes: DataFrame, popular: list[str], sides: bool = False) -> DataFrame:
-    """(shard, class_id, f0, f1[, side]) for each band of each class."""
-    spark = classes.sparkSession
-    known = spark.sparkContext.broadcast({_word_hash(w) for w in popular})
+def signatures(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float, sides: bool = False) -> DataFrame:
+    """(shard, class_id, size, f0..f3[, side]) for each of the rarest n - ceil(t n) + 1 word occurrences of each class."""
+    known = classes.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golden = np.uint64(0x9E3779B97F4A7C15)
-        stop = {(h + k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for h in known.value for k in range(64)}
+        listed, counts = known.value
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                b = big.slice(at, 1000)
+            for at in range(0, big.num_rows, 250):
+                b = big.slice(at, 250)
                 rows = [elements(t)[0] for t in b.column(1).to_pylist()]
-                few = [[e for e in r if e not in stop] for r in rows]
-                size, kept = np.array([len(r) for r in rows]), np.array([len(r) for r in few])
-                ids = b.column(0).to_numpy()
-                side = b.column(2).to_numpy() if sides else None
-                flat = mix64(np.array([e for r in rows for e in r], np.uint64))
-                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                bits = (_min_hashes(flat, starts, 512 - BITS, BITS) >> np.uint64(40)) & np.uint64(1)
-                prints = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-                for rows_, n, bands, pick, salt in ((few, ROWS, BANDS, kept > 0, 1), (rows, ALL_ROWS, ALL_BANDS, kept < ALL_BELOW * size, 2)):
-                    where = np.flatnonzero(pick)
-                    if not len(where):
-                        continue
-                    el = mix64(np.array([e for i in where for e in rows_[i]], np.uint64))
-                    runs = np.array([len(rows_[i]) for i in where])
-                    starts = np.concatenate([[0], np.cumsum(runs)[:-1]])
-                    shard = np.empty((len(where), bands), np.uint64)
-                    with np.errstate(over="ignore"):
-                        h = _min_hashes(el, starts, 0, n * bands) if n * bands <= 384 else np.concatenate([_min_hashes(el if k % 2 == 0 else mix64(el + golden), starts, 0, n * bands // 2) for k in range(2)], axis=1)
-                        for k in range(bands):
-                            x = np.full(len(where), (salt << 32) + k, np.uint64)
-                            for j in range(n):
-                                x = mix64(x * golden + h[:, k * n + j])
-                            shard[:, k] = x
-                    cols = [pa.array(shard.reshape(-1).view(np.int64)), *(pa.array(np.repeat(c[where], bands)) for c in (ids, prints[:, 0], prints[:, 1]))]
-                    names = ["shard", "class_id", "f0", "f1"]
-                    if sides:
-                        cols, names = [*cols, pa.array(np.repeat(side[where], bands))], [*names, "side"]
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                size = np.array([len(r) for r in rows])
+                flat = np.array([e for r in rows for e in r], np.uint64)
+                row = np.repeat(np.arange(len(rows)), size)
+                mixed = mix64(flat)
+                odd = np.bincount(row * BITS + (mixed % np.uint64(BITS)).astype(np.int64), minlength=len(rows) * BITS) & 1
+                prints = np.packbits(odd.astype(np.uint8).reshape(len(rows), BITS), axis=1).view(np.int64)
+                often = np.zeros(len(flat), np.int64)
+                if len(listed):
+                    found = np.minimum(np.searchsorted(listed, flat), len(listed) - 1)
+                    often = np.where(listed[found] == flat, counts[found], 0)
+                order = np.lexsort((mixed, often, row))
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                kept = place < (size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1)[row]
+                of = row[kept]
+                cols = [mixed[order[kept]].view(np.int64), b.column(0).to_numpy()[of], size[of].astype(np.int32), *(prints[of, k] for k in range(4))]
+                names = ["shard", "class_id", "size", *PRINTS]
+                if sides:
+                    cols, names = [*cols, b.column(2).to_numpy()[of]], [*names, "side"]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     picked = classes.select("class_id", "text", *(["side"] if sides else []))
-    return picked.mapInArrow(run, "shard long, class_id long, f0 long, f1 long" + (", side int" if sides else ""))
+    return picked.mapInArrow(run, "shard long, class_id long, size int, " + ", ".join(f"{f} long" for f in PRINTS) + (", side int" if sides else ""))
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints of two words; broadcasts over the leading axes."""
-    return (np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1])).astype(np.int16)
+    """Hamming distances of fingerprints of some words; broadcasts over the leading axes."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for k in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., k] ^ b[..., k])
+    return out
+
+
+def slack(size: np.ndarray, threshold: float) -> np.ndarray:
+    """A class's part of the bound: two classes of at least the threshold differ in at most the sum of their parts."""
+    return (size * ((1 - threshold) / (1 + threshold)) + 0.005).astype(np.float32)
 
 
 class VantageTree:
-    """Vantage-point tree over fingerprints (n, 2): leaves of up to ``leaf`` points, median splits."""
+    """Vantage-point tree over fingerprints (n, words): leaves of up to ``leaf`` points, median splits."""
 
     def __init__(self, prints: np.ndarray, leaf: int = LEAF):
         self.prints, self.leaf, self.looked = prints, leaf, 0
@@ -174,8 +160,12 @@ class VantageTree:
             return idx  # all at one distance: nothing to divide
         return v, int(d[near].max()), int(d[~near].min()), self._build(idx[near]), self._build(idx[~near])
 
-    def pairs(self, queries: np.ndarray, r: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query number, point number) of all within distance r, in blocks."""
+    def pairs(self, queries: np.ndarray, r: int | np.ndarray, parts: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query number, point number) of all within distance r (of each query), in blocks.
+
+        ``parts``: of each query and each point; then within the sum of both parts, which r has to cover.
+        """
+        r = np.broadcast_to(r, len(queries))
         todo = [(self.root, np.arange(len(queries)))]
         while todo:
             node, q = todo.pop()
@@ -184,41 +174,49 @@ class VantageTree:
             if isinstance(node, tuple):
                 v, inner, outer, near, far = node
                 d = _distance(queries[q], v)
-                todo += [(near, q[d - r <= inner]), (far, q[d + r >= outer])]
+                todo += [(near, q[d - r[q] <= inner]), (far, q[d + r[q] >= outer])]
                 continue
-            step = max(1, 2_000_000 // len(node))
+            step = max(1, 200_000 // len(node))
+            points = self.prints[node]
             for at in range(0, len(q), step):
                 part = q[at : at + step]
-                d = _distance(queries[part][:, None], self.prints[node][None])
+                most = r[part][:, None] if parts is None else parts[0][part][:, None] + parts[1][node][None]
+                d = _distance(queries[part][:, None, :2], points[None, :, :2])
                 self.looked += d.size
-                a, b = np.nonzero(d <= r)
+                a, b = np.nonzero(d <= most)
+                if points.shape[1] > 2:
+                    rest = _distance(queries[part[a]], points[b]) <= (r[part[a]] if parts is None else parts[0][part[a]] + parts[1][node[b]])
+                    a, b = a[rest], b[rest]
                 yield part[a], node[b]
 
 
-def _shard_pairs(shard: np.ndarray, ids: np.ndarray, prints: np.ndarray, side: np.ndarray | None, home: np.ndarray | None, r: int) -> Iterator[np.ndarray]:
-    """Pairs of ids of sorted runs of equal shards; with ``home``, rows with home 0 are queries only."""
+def _shard_pairs(shard: np.ndarray, ids: np.ndarray, prints: np.ndarray, size: np.ndarray, threshold: float, side: np.ndarray | None, home: np.ndarray | None) -> Iterator[np.ndarray]:
+    """Pairs of ids of sorted runs of equal shards; with ``home``, rows with home 0 are queries only, with 1 points only."""
+    part = slack(size, threshold)
+    reach = np.ceil(part * (1 + 1 / threshold) + 1)  # a class of n occurrences is similar to classes of up to n / threshold
     cut = np.flatnonzero(shard[1:] != shard[:-1]) + 1
     starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(shard)]])
-    size = ends - starts
+    members = ends - starts
     for n in range(2, 9):  # the many small shards together: all pairs of a few members, by their distance
-        at = starts[size == n]
+        at = starts[members == n]
         if not len(at):
             continue
         i, j = np.triu_indices(n, 1)
         a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        keep = _distance(prints[a], prints[b]) <= r
-        yield from _ordered(a[keep], b[keep], ids, side, home)
-    for k in np.flatnonzero(size > 8):
-        lo, hi = starts[k], ends[k]
-        live = np.arange(lo, hi) if home is None else lo + np.flatnonzero(home[lo:hi])
-        if not len(live):
+        keep = _distance(prints[a], prints[b]) <= part[a] + part[b]
+        yield from _ordered(a[keep], b[keep], ids, side)
+    for k in np.flatnonzero(members > 8):
+        live = ask = np.arange(starts[k], ends[k])
+        if home is not None:
+            live, ask = live[home[live] > 0], ask[home[ask] != 1]
+        if not len(live) or not len(ask):
             continue
         tree = VantageTree(prints[live])
-        for q, p in tree.pairs(prints[lo:hi], r):
-            yield from _ordered(q + lo, live[p], ids, side, home)
+        for q, p in tree.pairs(prints[ask], reach[ask], (part[ask], part[live])):
+            yield from _ordered(ask[q], live[p], ids, side)
 
 
-def _ordered(a: np.ndarray, b: np.ndarray, ids: np.ndarray, side: np.ndarray | None, home: np.ndarray | None) -> Iterator[np.ndarray]:
+def _ordered(a: np.ndarray, b: np.ndarray, ids: np.ndarray, side: np.ndarray | None) -> Iterator[np.ndarray]:
     keep = ids[a] != ids[b]
     if side is not None:
         keep &= (side[a] | side[b]) == 3
@@ -228,8 +226,7 @@ def _ordered(a: np.ndarray, b: np.ndarray, ids: np.ndarray, side: np.ndarray | N
 
 
 def candidates(sig: DataFrame, threshold: float, sides: bool = False) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that meet in a shard within the radius; with sides only of both sides."""
-    r = radius(threshold)
+    """Distinct (a, b), a < b, of classes that meet in a shard within their bound; with sides only of both sides."""
     extra = ["side"] if sides else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +242,9 @@ def candidates(sig: DataFrame, threshold: float, sides: bool = False) -> DataFra
             if whole is None or not whole.num_rows:
                 continue
             get = lambda c: whole.column(c).to_numpy()
-            prints = np.stack([get("f0"), get("f1")], axis=1).view(np.uint64)
+            prints = np.stack([get(f) for f in PRINTS], axis=1).view(np.uint64)
             home = get("home") if "home" in whole.schema.names else None
-            for pairs in _shard_pairs(get("shard"), get("class_id"), prints, get("side") if sides else None, home, r):
+            for pairs in _shard_pairs(get("shard"), get("class_id"), prints, get("size"), threshold, get("side") if sides else None, home):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     sig = staged(sig, "signatures")
@@ -256,28 +253,24 @@ def candidates(sig: DataFrame, threshold: float, sides: bool = False) -> DataFra
     large = staged(large, "large")
     n_large = large.count()
     small = sig if not n_large else sig.join(large, "shard", "left_anti")
-    out = small.repartition("shard").sortWithinPartitions("shard").select("shard", "class_id", "f0", "f1", *extra).mapInArrow(run, "a long, b long")
+    rows = ["shard", "class_id", "size", *PRINTS]
+    out = small.repartition("shard").sortWithinPartitions("shard").select(*rows, *extra).mapInArrow(run, "a long, b long")
     if n_large:
-        parts = divided(sig.join(large, "shard"), r, extra)
-        out = out.unionByName(parts.repartition("shard").sortWithinPartitions("shard").select("shard", "class_id", "f0", "f1", "home", *extra).mapInArrow(run, "a long, b long"))
+        parts = divided(sig.join(large, "shard"))
+        out = out.unionByName(parts.repartition("shard").sortWithinPartitions("shard").select(*rows, "home", *extra).mapInArrow(run, "a long, b long"))
     return out.distinct()
 
 
-def divided(rows: DataFrame, r: int, extra: list[str]) -> DataFrame:
-    """Rows of large shards, each in the part of its nearest vantage point and, as a query, in all that its radius reaches.
+def divided(rows: DataFrame) -> DataFrame:
+    """Rows of large shards in blocks of SHARD / 2, by a hash of the class; every two blocks are a shard, and each block is one.
 
-    If x and y are within r and v is nearest to y, then d(x, v) <= d(x, nearest to x) + 2 r: the query of x meets y.
-    The vantage points are members with the least hash, one for each SHARD / 4 rows, at most 256.
+    home: 1 for the points and 0 for the queries of a shard of two blocks, 2 where a block meets itself.
     """
-    points = rows.withColumn("o", F.xxhash64("class_id", F.lit("vantage")))
-    # the smallest hashes without sorting a shard in one task: a slice of the hash range with enough members
-    points = points.filter((F.shiftrightunsigned("o", 11) / F.lit(float(1 << 53))) < F.least(F.lit(1.0), F.lit(4.0) / SHARD + F.lit(16.0) / F.col("n")))
-    points = points.groupBy("shard").agg(F.slice(F.array_sort(F.collect_set(F.struct("o", "f0", "f1"))), 1, 256).alias("vs"))
-    ham = lambda v: F.bit_count(F.col("f0").bitwiseXOR(v["f0"])) + F.bit_count(F.col("f1").bitwiseXOR(v["f1"]))
-    d = rows.join(points, "shard").withColumn("ds", F.transform("vs", ham)).withColumn("least", F.array_min("ds"))
-    d = d.withColumn("own", F.array_position("ds", F.col("least")) - 1)
-    d = d.select("shard", "class_id", "f0", "f1", *extra, "least", "own", F.posexplode("ds").alias("part", "dv")).filter(F.col("dv") <= F.col("least") + 2 * r)
-    return d.select(F.xxhash64("shard", "part").alias("shard"), "class_id", "f0", "f1", *extra, (F.col("part") == F.col("own")).cast("int").alias("home"))
+    d = rows.withColumn("blocks", F.ceil(F.col("n") * 2 / SHARD).cast("long"))
+    d = d.withColumn("own", F.pmod(F.xxhash64("class_id", F.lit("block")), "blocks"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    home = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int"))
+    return d.withColumn("home", home).withColumn("shard", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).drop("n", "blocks", "own", "other")
 
 
 def chain_end(it):
@@ -313,6 +306,6 @@ def class_links(classes: DataFrame, threshold: float, sides: bool = False) -> Da
 
     ``classes``: class_id, text and, with ``sides``, side (1, 2 or 3 for both): then only pairs of both sides.
     """
-    sig = signatures(classes, frequent_words(classes), sides)
+    sig = signatures(classes, frequent_elements(classes), threshold, sides)
     pairs = candidates(sig, threshold, sides)
     return exact_similarity(pairs, classes).filter(F.col("similarity") >= threshold - 1e-12)

@@ -117,6 +117,22 @@ def test_large_shards_are_divided(spark, monkeypatch):
     assert {(r.key_a, r.key_b) for r in neardup.linked_keys(m, links).collect()} == brute(rows, 0.6)
 
 
+def test_frames_with_deletions(spark):
+    # a frame of frequent words with 30 to 50 % of infrequent words, of which the copy lacks as many as the threshold allows
+    frame = [f"f{i}" for i in range(70)]
+    rows = []
+    for i in range(60):
+        few = (30, 40, 45, 50)[i % 4]
+        own = [f"o{i}x{k}" for k in range(few)]
+        left = (max(0, few - 40), max(0, few - 40) + 1, few // 4, few // 2)[i // 4 % 4]
+        rows += [(f"b{i:03d}", " ".join(frame[: 100 - few] + own), 1), (f"a{i:03d}", " ".join(frame[: 100 - few] + own[:left]), 2)]
+    d = spark.createDataFrame(rows, "key string, text string, side int")
+    m, links = neardup.near_duplicates(d, "key", "text", 0.6)
+    assert {(r.key_a, r.key_b) for r in neardup.linked_keys(m, links).collect()} == brute(rows, 0.6)
+    got = {(r.key_a, r.key_b) for r in overlap.near_overlaps(d, "key", "text", "side", 0.6).collect()}
+    assert got == brute(rows, 0.6, sides=True) and all((f"a{i:03d}", f"b{i:03d}") in got for i in range(60))
+
+
 def test_groups_and_frequent_words(spark):
     rows = [("a", "one two three four five six"), ("b", "six five four three two one"), ("c", "one two three four five six seven"), ("d", "other words only here now then"), ("e", "one two three four five six seven eight")]
     d = spark.createDataFrame(rows, "key string, text string")
