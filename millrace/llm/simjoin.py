@@ -304,6 +304,7 @@ def exact_similarity(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def class_links(classes: DataFrame, threshold: float, sides: bool = False) -> DataFrame:
     """(a, b, similarity), a < b, of all pairs of classes with at least this similarity.
 
+    No step loses a pair by chance; the only loss left is two texts of other words with one 64-bit class id.
     ``classes``: class_id, text and, with ``sides``, side (1, 2 or 3 for both): then only pairs of both sides.
     """
     sig = signatures(classes, frequent_elements(classes), threshold, sides)

@@ -133,6 +133,17 @@ def test_frames_with_deletions(spark):
     assert got == brute(rows, 0.6, sides=True) and all((f"a{i:03d}", f"b{i:03d}") in got for i in range(60))
 
 
+def test_bound_holds_for_all_pairs(spark):
+    # pairs of 60 words in common and 20 each of their own (0.6 exactly) whose fingerprints of min-wise hashes were more than 44 bits apart
+    rows = []
+    for i in (17039, 73688):
+        base = [f"c{i}n{k}" for k in range(60)]
+        rows += [(f"l{i}", " ".join(base + [f"l{i}n{k}" for k in range(20)]), 1), (f"r{i}", " ".join(base + [f"r{i}n{k}" for k in range(20)]), 2)]
+    d = spark.createDataFrame(rows, "key string, text string, side int")
+    m, links = neardup.near_duplicates(d, "key", "text", 0.6)
+    assert {(r.key_a, r.key_b) for r in neardup.linked_keys(m, links).collect()} == {("l17039", "r17039"), ("l73688", "r73688")}
+
+
 def test_groups_and_frequent_words(spark):
     rows = [("a", "one two three four five six"), ("b", "six five four three two one"), ("c", "one two three four five six seven"), ("d", "other words only here now then"), ("e", "one two three four five six seven eight")]
     d = spark.createDataFrame(rows, "key string, text string")
