@@ -101,7 +101,7 @@ def consistent_batch(spark, sf):
 
 def _lengths(spark, sf):
     """Documents in batches of 64 with their lengths."""
-    d = batch.with_index(table(spark, sf, "documents").filter("n_chars is not null").select("doc_id", "source", F.least(F.col("n_chars"), F.lit(4096)).alias("n")), "doc_id")
+    d = batch.with_index(table(spark, sf, "documents").filter("n_chars is not null").select("doc_id", "source", F.col("n_chars").alias("n")), "doc_id")
     return d.withColumn("batch", F.floor(F.col("row_index") / 64).cast("int"))
 
 
@@ -112,7 +112,10 @@ def balanced_partitions(spark, sf):
 
 @query()
 def token_budget_batches(spark, sf):
-    return balance.token_batches(_lengths(spark, sf), "batch", "row_index", "n", 16384)
+    """Documents over the budget are in no micro-batch: their part and place are null."""
+    d = _lengths(spark, sf)
+    over = d.filter("n > 16384").select("batch", "row_index", F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("place"))
+    return balance.token_batches(d.filter("n <= 16384"), "batch", "row_index", "n", 16384).unionByName(over)
 
 
 @query()

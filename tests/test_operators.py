@@ -294,3 +294,15 @@ def test_scopes(spark):
     got = schedule.focus_scopes(d, "c", 3, ["A", "B", "Z"], cap=2, reuse=1 / 3, seed="s")
     assert len(got) == 3 and "B/y" in got and "Z/*" in got
     assert schedule.focus_scopes(d.limit(0), "c", 2, ["A", "B"], 5, 0.5, "s") and validate.not_overlong(d, F.length("subcategory"), 3).count() == 3
+
+
+def test_whole_lengths(spark, sf):
+    from millrace.plans import batches
+
+    ns = [r.n_chars for r in spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars is not null").orderBy("doc_id").collect()]
+    assert max(ns) > 16384
+    got = {r.batch: r for r in batches.partition_imbalance(spark, sf).collect()}
+    for b in got:
+        assert got[b]["mean"] == sum(ns[b * 64 : b * 64 + 64]) / 8
+    part = {r.row_index: r.part for r in batches.token_budget_batches(spark, sf).collect()}
+    assert len(part) == len(ns) and all((part[i] is None) == (n > 16384) for i, n in enumerate(ns))
