@@ -122,11 +122,9 @@ def diverse(pdf: pd.DataFrame, count: int = 8, weight: float = 0.62) -> pd.DataF
     return pd.DataFrame({"id": ids, "pick": range(1, len(ids) + 1)}, dtype="int64")
 
 
-def diverse_top(df: DataFrame, group: str, id_: str, score: str, tokens: Column, count: int = 8, most: int = 64) -> DataFrame:
-    """(group, id, pick) of ``count`` diverse rows of each group. Groups are the few candidates of one plan: of more than
-    ``most`` rows only the best by score are candidates (the operator's choice is among candidates, not a cap on a search)."""
+def diverse_top(df: DataFrame, group: str, id_: str, score: str, tokens: Column, count: int = 8) -> DataFrame:
+    """(group, id, pick) of ``count`` diverse rows of each group, chosen among all its rows; a group is gathered in one task."""
     d = df.select(F.col(group).alias("g"), F.col(id_).cast("long").alias("id"), F.col(score).cast("double").alias("score"), tokens.alias("tokens"))
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= most).drop("n")
     kind = d.schema["g"].dataType.simpleString()
 
     def run(key, pdf):

@@ -306,3 +306,12 @@ def test_whole_lengths(spark, sf):
         assert got[b]["mean"] == sum(ns[b * 64 : b * 64 + 64]) / 8
     part = {r.row_index: r.part for r in batches.token_budget_batches(spark, sf).collect()}
     assert len(part) == len(ns) and all((part[i] is None) == (n > 16384) for i, n in enumerate(ns))
+
+
+def test_diverse_among_all_rows(spark):
+    from millrace.operators.duplicates import diverse_top
+
+    rows = [("g", i, 0.9, ["a", "b"]) for i in range(70)] + [("g", 99, 0.8, ["c", "d"])]
+    d = spark.createDataFrame(rows, "g string, id long, score double, tokens array<string>")
+    got = {r.pick: r.id for r in diverse_top(d, "g", "id", "score", F.col("tokens"), 2).collect()}
+    assert got == {1: 0, 2: 99}
