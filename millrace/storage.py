@@ -18,13 +18,16 @@ _SESSION_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a temporary folder is used and set.
-    The folder is removed when the Python driver ends.
+    Where the setting is absent a temporary folder is used and set, but only with a local master (tests on one
+    machine); on a cluster the absence is an error, since machines don't see each other's folders. The folder is
+    removed when the Python driver ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _SESSION_DIRS:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="millrace-")
             spark.sparkContext.setCheckpointDir(base)
         path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
