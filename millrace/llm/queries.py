@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import table
+from ..operators.skew import spread_join
+from ..storage import staged, table
 from . import encode, mixing, neardup, overlap, pairs, sampling, split, splits
 
 FOUND_SIMILARITY = 0.6  # of p4_found and p5_found
@@ -49,12 +50,12 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = rows.unionByName(catalog)
     comp = splits.related(both, IDS)
     first = F.coalesce(*[splits.clean_id(c) for c in IDS])
-    rec = both.select("tbl", "record_id", "label", first.alias("node")).join(comp, "node", "left")
+    rec = spread_join(both.select("tbl", "record_id", "label", first.alias("node")), comp, ["node"], "left", by=["record_id"])
     rec = rec.select("tbl", "record_id", "label", F.coalesce("component", F.concat(F.lit("row "), "tbl", F.lit(" "), F.coalesce("record_id", F.lit("")))).alias("component"))
-    rec = splits.staged(rec, "records")
+    rec = staged(rec, "records")
     sizes = rec.groupBy("component", "label").agg(F.count("*").alias("n"))
     chosen = splits.assign_splits(sizes, table(spark, sf_dir, "split_targets"))
-    return rec.join(chosen.select("component", "split_name"), "component").select("tbl", "record_id", "component", "split_name")
+    return spread_join(rec, chosen.select("component", "split_name"), ["component"], by=["tbl", "record_id"]).select("tbl", "record_id", "component", "split_name")
 
 
 def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,7 @@ def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs and evaluation items per split and source of the evaluation item."""
-    pairs = splits.staged(p5_found(spark, sf_dir), "pairs")
+    pairs = staged(p5_found(spark, sf_dir), "pairs")
     ends = pairs.select(F.col("reader_id_a").alias("reader_id"), F.col("reader_id_b").alias("other")).unionByName(pairs.select(F.col("reader_id_b").alias("reader_id"), F.col("reader_id_a").alias("other")))
     items = table(spark, sf_dir, "source_items").select("reader_id", "source_split", "source_benchmark").distinct()
     ev = items.filter(F.col("source_split").isin(*overlap.EVAL))

@@ -1,11 +1,14 @@
 """Splits of given proportions that keep related records together.
 
 Rows are related through any id that they share, along chains. Components are bundled by size and label
-profile; a minimum-cost flow routes the bundles' records to the splits, where deviations from a split's
-quota, in all and for each label, cost; the flow is rounded to whole components, and a bundle's members are
-assigned by a seeded hash order.
-
-The driver holds bundles: distinct (size, profile) pairs, at most sqrt(2 * records) * profiles of them.
+profile; a minimum-cost flow routes the records of all bundles to the splits, where deviations from a split's
+quota, in all and for each label profile, cost; the flow is rounded to whole components, largest first, what
+rounding keeps from a split is owed to it by the smaller ones, and a bundle's members are assigned by a seeded
+hash order.
+
+The driver holds bundles: distinct (size, profile) pairs, at most sqrt(2 * records) * profiles of them. In the network
+the bundles of a profile whose sizes have the same number of binary digits are one node, so its size
+doesn't grow with the records: at most 63 nodes a profile.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_join
 from ..storage import staged
 from .common import seeded_rank, trimmed
 from .components import components
@@ -41,7 +45,7 @@ def related(rows: DataFrame, ids: list[str]) -> DataFrame:
         edges = edges.unionByName(e)
     edges = edges.filter("a is not null and b is not null")
     comp = components(edges.filter("a <> b"))
-    nodes = edges.select(F.col("b").alias("node")).distinct()
+    nodes = edges.select(F.col("b").alias("node")).distinct()  # both sides have a node once: no hot key
     return nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -51,63 +55,54 @@ def linked_readers(rows: DataFrame, reader: str, ids: list[str]) -> DataFrame:
     readers = rows.select(clean_id(reader).alias("node")).filter("node is not null").distinct()
     member = staged(readers.join(comp, "node"), "readers")
     head = member.groupBy("component").agg(F.min("node").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
-    return member.join(head, "component").select("group_id", F.col("node").alias("reader_id"))
+    return spread_join(member, head, ["component"], by=["node"], count="n").select("group_id", F.col("node").alias("reader_id"))
 
 
 def plan_splits(bundles: dict[tuple[int, str], int], shares: dict[str, float]) -> dict[tuple[int, str], list[tuple[str, int]]]:
-    """For each bundle (size, profile) -> number of components, how many of them each split takes.
-
-    Components of at least one fiftieth of the smallest quota are placed one by one, largest first, where most
-    is missing; the rest goes through the flow and is rounded, large sizes first.
-    """
-    names = [s for s in sorted(shares, key=lambda s: (-shares[s], s))]
+    """For each bundle (size, profile) -> number of components, how many of them each split takes."""
+    weight = sum(shares.values())
+    names = sorted((s for s in shares if shares[s] or not weight), key=lambda s: (-shares[s], s))
+    if not names:
+        return {}
     total = sum(size * n for (size, _), n in bundles.items())
-    weight = sum(shares.values()) or 1
-    left = {s: total * shares[s] / weight for s in names}
+    share = {s: shares[s] / weight if weight else 1 / len(names) for s in names}
     profiles = sorted({p for _, p in bundles})
-    whole = {p: sum(size * n for (size, q), n in bundles.items() if q == p) for p in profiles}
-    part = {(p, s): whole[p] * shares[s] / weight for p in profiles for s in names}
-    alone = max(2, min((v for v in left.values() if v), default=0) / 50)
-    out: dict[tuple[int, str], list[tuple[str, int]]] = {}
-    for (size, p), n in sorted(bundles.items(), reverse=True):
-        if size < alone:
-            continue
-        got = dict.fromkeys(names, 0)
-        for _ in range(n):  # n * size <= total, so at most a few hundred
-            s = max(names, key=lambda s: (left[s], part[p, s], shares[s]))
-            got[s] += 1
-            left[s] -= size
-            part[p, s] -= size
-        out[size, p] = list(got.items())
-    rest = {b: n for b, n in bundles.items() if b not in out}
-    if not rest:
-        return out
+    whole = dict.fromkeys(profiles, 0)
+    classes: dict[tuple[int, str], int] = {}
+    for (size, p), n in bundles.items():
+        whole[p] += size * n
+        classes[size.bit_length(), p] = classes.get((size.bit_length(), p), 0) + size * n
     net = MinCostFlow(2)
     split_node = {s: net.node() for s in names}
     for s in names:
-        net.arc(split_node[s], 1, max(0, round(left[s])), 0)
+        net.arc(split_node[s], 1, round(total * share[s]), 0)
         net.arc(split_node[s], 1, total, 1000)
     pair = {}
     for p in profiles:
         for s in names:
             pair[p, s] = net.node()
-            net.arc(pair[p, s], split_node[s], max(0, round(part[p, s])), 0)
+            net.arc(pair[p, s], split_node[s], round(whole[p] * share[s]), 0)
             net.arc(pair[p, s], split_node[s], total, 10)
     arcs = {}
-    for (size, p), n in sorted(rest.items(), reverse=True):
-        b = net.node()
-        net.arc(0, b, size * n, 0)
+    for (digits, p), amount in sorted(classes.items(), reverse=True):
+        c = net.node()
+        net.arc(0, c, amount, 0)
         for s in names:
-            arcs[size, p, s] = net.arc(b, pair[p, s], size * n, 0)
+            arcs[digits, p, s] = net.arc(c, pair[p, s], amount, 0)
     net.run(0, 1)
+    out: dict[tuple[int, str], list[tuple[str, int]]] = {}
     owed = dict.fromkeys(names, 0.0)  # records that rounding has kept from a split so far
-    for (size, p), n in sorted(rest.items(), reverse=True):
-        want = {s: net.flow(arcs[size, p, s]) / size + owed[s] / size for s in names}
+    for (size, p), n in sorted(bundles.items(), reverse=True):
+        part = size * n / classes[size.bit_length(), p]
+        want = {s: (net.flow(arcs[size.bit_length(), p, s]) * part + owed[s]) / size for s in names}
         got = {s: min(n, max(0, int(want[s]))) for s in names}
-        while sum(got.values()) > n:
-            got[max(names, key=lambda s: (got[s] - want[s], got[s]))] -= 1
+        over = sum(got.values()) - n
+        for s in sorted(names, key=lambda s: (want[s] - got[s], -got[s])):  # too many: from those that have most beyond their wish
+            cut = min(got[s], max(0, over))
+            got[s], over = got[s] - cut, over - cut
         while sum(got.values()) < n:
-            got[max(names, key=lambda s: (want[s] - got[s], shares[s]))] += 1
+            # the split that misses most; a component larger than any wish goes where the wish is largest
+            got[max(names, key=lambda s: (want[s] - got[s], share[s]))] += 1
         for s in names:
             owed[s] = (want[s] - got[s]) * size
         out[size, p] = list(got.items())
@@ -118,7 +113,8 @@ def assign_splits(records: DataFrame, targets: DataFrame, seed: str = "split") -
     """(component, split_name, records) of each component.
 
     ``records``: component, label, n (records; may be aggregated). A component's profile is the sorted set of
-    its labels; a null label counts as "". Targets of null or zero share get nothing unless all are zero.
+    its labels; a null label counts as "". Targets of null or zero share get nothing unless all are zero; then
+    all get the same.
     """
     spark = records.sparkSession
     c = records.groupBy("component").agg(F.sum("n").alias("size"), F.array_join(F.array_sort(F.collect_set(F.coalesce("label", F.lit("")))), "+").alias("profile"))
@@ -132,6 +128,6 @@ def assign_splits(records: DataFrame, targets: DataFrame, seed: str = "split") -
             if k:
                 ranges.append((size, p, s, at, at + k))
             at += k
-    r = F.broadcast(spark.createDataFrame(ranges, "size long, profile string, split_name string, lo long, hi long"))
+    r = F.broadcast(spark.createDataFrame(ranges, "size long, profile string, split_name string, lo long, hi long"))  # rows: bundles * splits
     ranked = seeded_rank(c, ["size", "profile"], "component", seed)
     return ranked.join(r, ["size", "profile"]).filter("rank > lo and rank <= hi").select("component", "split_name", F.col("size").alias("records"))
