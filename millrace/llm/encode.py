@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where the vocabulary files of the public tokenizers lie, unless a caller names another folder.
 TOKENIZER_DIR = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
@@ -104,11 +104,10 @@ class _Words(dict):
 
 
 class Encoder:
-    """Text -> ids of one vocabulary."""
+    """Text -> ids of one vocabulary, given as the lines of its rank file."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, lines: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.words = _Words(self.ranks)
         self.split = regex.compile(PATTERN).findall
         self.pieces = {i: w for w, i in self.ranks.items()}
@@ -123,10 +122,37 @@ class Encoder:
         return b"".join(self.pieces[i] for i in ids).decode("utf-8", "replace")
 
 
+def _file(folder: str, vocabulary: str) -> bytes:
+    with open(os.path.join(folder, vocabulary + ".tiktoken"), "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=4)
 def encoder(folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Encoder:
-    """One encoder per Python worker."""
-    return Encoder(os.path.join(folder, vocabulary + ".tiktoken"))
+    """The encoder of a vocabulary file on this machine."""
+    return Encoder(_file(folder, vocabulary))
+
+
+@lru_cache(maxsize=4)
+def _parsed(folder: str, vocabulary: str, held: "Sent") -> Encoder:
+    return Encoder(held.lines.value)
+
+
+class Sent:
+    """A vocabulary read by the driver and broadcast (a file of fixed size), so that workers need no copy on their disks."""
+
+    def __init__(self, spark: SparkSession, folder: str, vocabulary: str):
+        self.name, self.lines = (folder, vocabulary), spark.sparkContext.broadcast(_file(folder, vocabulary))
+
+    def __hash__(self):
+        return hash(self.name)
+
+    def __eq__(self, other):
+        return self.name == other.name
+
+    def encoder(self) -> Encoder:
+        """One encoder per Python worker and vocabulary."""
+        return _parsed(*self.name, self)
 
 
 def _batches(col: pa.Array) -> Iterator[tuple[int, int]]:
@@ -149,9 +175,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str =
     so clashing names can't matter; an empty table gives an empty table.
     """
     kind = df.schema[key].dataType.simpleString()
+    sent = Sent(df.sparkSession, folder, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, vocabulary)
+        enc = sent.encoder()
         look, split = enc.words.__getitem__, enc.split
         for b in batches:
             for lo, hi in _batches(b.column(1)):
@@ -175,9 +202,10 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", folde
     """``df`` with the number of tokens of each text instead of the text itself; 0 for null and empty texts."""
     rest = [c for c in df.columns if c != text]
     schema = df.select(*rest).schema.add(out, "long")
+    sent = Sent(df.sparkSession, folder, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, vocabulary)
+        enc = sent.encoder()
         for b in batches:
             n = [enc.count(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*rest, out])

@@ -3,7 +3,7 @@
 Every possible cut of a text gets a strength (paragraph, line, sentence, clause, blank, inside a run of
 characters). A sparse table of range maxima over the strengths answers for each piece which cut is the
 strongest in the window of permissible lengths, the rightmost among equals; the next piece starts at the
-strongest cut about ``overlap`` tokens before that end.
+strongest cut about ``overlap`` tokens before that end, of equally strong ones at that which comes nearest.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import TOKENIZER_DIR, VOCABULARY, Encoder, encoder
+from .encode import TOKENIZER_DIR, VOCABULARY, Encoder, Sent
 
 LIMIT, OVERLAP = 2048, 128
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, NONE, INSIDE = 6, 5, 4, 3, 2, 1, 0
@@ -25,19 +25,34 @@ LONG_WORD = 16
 
 
 class RangeMax:
-    """Sparse table: the index of the largest value in a range, the rightmost among equals, in two look-ups."""
+    """Sparse table: the index of the largest value in a range, the rightmost among equals, in two look-ups.
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        level = values.astype(np.int64) * (n + 1) + np.arange(n)
-        self.n, self.levels, width = n, [level], 1
-        while 2 * width <= n:
+    Ranges of at most ``longest`` values need no more than log2(longest) + 1 levels, and they come from left to right:
+    the table holds a block of the values at a time and is built anew for the next, so a text of any length
+    needs the memory of one block.
+    """
+
+    BLOCK = 1 << 16
+
+    def __init__(self, values: np.ndarray, longest: int | None = None):
+        self.values, self.n = values, len(values)
+        self.longest = min(self.n, longest or self.n)
+        self.start = self.stop = 0
+
+    def _build(self, lo: int) -> None:
+        self.start, self.stop = lo, min(self.n, lo + max(self.BLOCK, 2 * self.longest))
+        level = self.values[lo : self.stop].astype(np.int64) * (self.n + 1) + np.arange(lo, self.stop)
+        self.levels, width = [level], 1
+        while 2 * width <= min(self.longest, self.stop - lo):
             level = np.maximum(level[:-width], level[width:])
             self.levels.append(level)
             width *= 2
 
     def argmax(self, lo: int, hi: int) -> int:
-        """Over lo..hi, both included."""
+        """Over lo..hi, both included; at most ``longest`` values."""
+        if lo < self.start or hi >= self.stop:
+            self._build(lo)
+        lo, hi = lo - self.start, hi - self.start
         k = (hi - lo + 1).bit_length() - 1
         return int(max(self.levels[k][lo], self.levels[k][hi - (1 << k) + 1])) % (self.n + 1)
 
@@ -100,6 +115,12 @@ def _tokens(text: str, enc: Encoder, at: np.ndarray, tok: np.ndarray, strength:
     return int(tok[k] - tok[s]) + (enc.count(text[at[k] : at[e]]) if k < e else 0)
 
 
+def _nearest(best: RangeMax, strength: np.ndarray, tok: np.ndarray, lo: int, hi: int, wanted: int) -> int:
+    """Of the strongest cuts in lo..hi the one whose number of tokens is nearest to the wanted one."""
+    equal = lo + np.flatnonzero(strength[lo : hi + 1] == strength[best.argmax(lo, hi)])
+    return int(equal[np.argmin(np.abs(tok[equal] - wanted))])
+
+
 def pieces(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP, words: list[str] | None = None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece in characters; one piece if the text keeps the limit, none if it's empty.
 
@@ -112,7 +133,7 @@ def pieces(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP,
     last = len(at) - 1
     if tok[last] <= limit:
         return [(0, len(text), int(tok[last]))]
-    best, out, s = RangeMax(strength), [], 0
+    best, out, s = RangeMax(strength, limit + 2), [], 0  # cuts lie a token apart at least
     while True:
         hi = int(np.searchsorted(tok, tok[s] + limit, side="right")) - 1
         while True:
@@ -131,7 +152,7 @@ def pieces(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP,
             return out
         lo = int(np.searchsorted(tok, tok[e] - overlap * 5 // 4))
         hi = int(np.searchsorted(tok, tok[e] - overlap * 3 // 4, side="right")) - 1
-        nxt = best.argmax(lo, hi) if lo <= hi else int(np.searchsorted(tok, tok[e] - overlap, side="right")) - 1
+        nxt = _nearest(best, strength, tok, lo, hi, tok[e] - overlap) if lo <= hi else int(np.searchsorted(tok, tok[e] - overlap, side="right")) - 1
         s = nxt if s < nxt < e else e
 
 
@@ -150,8 +171,10 @@ def split_oversized(
     if not keep_small:
         picked = picked.filter(F.octet_length("t") > limit)
 
+    sent = Sent(df.sparkSession, folder, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, vocabulary)
+        enc = sent.encoder()
         look = enc.words.__getitem__
         for b in batches:
             for key_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -57,6 +57,21 @@ def test_range_max():
         hi = int(rng.integers(lo, 300))
         best = max(range(lo, hi + 1), key=lambda i: (v[i], i))
         assert t.argmax(lo, hi) == best
+    v = rng.integers(0, 3, 3000)
+    t = split.RangeMax(v, 20)
+    t.BLOCK = 64  # the table moves along with the ranges
+    for lo in range(0, 2980, 7):
+        hi = lo + int(rng.integers(0, 20))
+        assert t.argmax(lo, hi) == max(range(lo, hi + 1), key=lambda i: (v[i], i)) and max(map(len, t.levels)) <= 64
+
+
+def test_overlap_is_as_wanted():
+    e = encode.encoder()
+    for t in ("word " * 20000, "温度阀门样本" * 4000, "aé" * 9000):  # no boundary is stronger than another
+        got = split.pieces(t, e)
+        assert len(got) > 3
+        overlaps = [e.count(t[b:z]) for (_, z, _), (b, _, _) in zip(got, got[1:])]
+        assert all(120 <= n <= 136 for n in overlaps), overlaps
 
 
 @pytest.mark.parametrize("limit,overlap", [(16, 4), (64, 8), (256, 32)])
@@ -154,6 +169,70 @@ def test_mixing(spark):
 
 
 def test_shared_texts_spread_over_sources():
-    plan = mixing.plan_mix({("a", "a"): 10, ("a,b", "a"): 10, ("a,b", "b"): 10}, {"a": 10, "b": 10}, {"a": 2, "b": 2})
-    assert plan == {("a", "a"): 10, ("a,b", "b"): 10} or sum(plan.values()) == 20
-    assert plan.get(("a,b", "a"), 0) + plan.get(("a,b", "b"), 0) <= 20
+    # one text in both sources: using it for both costs a repetition, so b takes its own first
+    plan = mixing.plan_mix({"0:a": 10, "0:a\x1fb": 10, "0:b": 10}, {"a": 10, "b": 20}, {"a": 2, "b": 2})
+    assert plan == {("0:a", "a"): 10, ("0:a\x1fb", "b"): 10, ("0:b", "b"): 10}
+    # further copies of a text are further uses of it: a second copy costs what a first repetition does, a fourth one more
+    assert mixing.plan_mix({"0:a": 10, "2:a": 10}, {"a": 12}, {"a": 3}) == {("0:a", "a"): 12}
+    assert mixing.plan_mix({"2:a": 10, "0:a": 10}, {"a": 10}, {"a": 1}) == {("0:a", "a"): 10}
+    assert sum(u for u, _ in mixing.use_levels(1000)) == 1000 and [c for _, c in mixing.use_levels(300)] == [*range(64), 64, 128, 256]
+
+
+def test_plan_costs_least():
+    # against all ways to use whole texts: the cost of a text's k-th use, over all sources, is k - 1
+    rng = random.Random(9)
+    for _ in range(60):
+        texts = [rng.choice(["a", "b", "a\x1fb"]) for _ in range(rng.randint(1, 4))]
+        repeats = {"a": rng.randint(1, 2), "b": rng.randint(1, 2)}
+        quota = {"a": rng.randint(0, 4), "b": rng.randint(0, 4)}
+        supply = {}
+        for t in texts:
+            supply["0:" + t] = supply.get("0:" + t, 0) + 1
+        plan = mixing.plan_mix(supply, quota, repeats)
+        got = {s: sum(n for (_, x), n in plan.items() if x == s) for s in quota}
+        cost = 0
+        for p, n in supply.items():
+            used = sum(k for (q, _), k in plan.items() if q == p)
+            cost += sum(k * min(n, max(0, used - n * k)) for k in range(4))
+            assert all(plan.get((p, s), 0) <= n * repeats[s] for s in quota)
+
+        def ways(i, left):
+            if i == len(texts):
+                yield 0, 0
+                return
+            s = texts[i].split("\x1f")
+            for x in range((repeats["a"] if "a" in s else 0) + 1):
+                for y in range((repeats["b"] if "b" in s else 0) + 1):
+                    if x <= left["a"] and y <= left["b"]:
+                        for n, c in ways(i + 1, {"a": left["a"] - x, "b": left["b"] - y}):
+                            yield n + x + y, c + sum(range(x + y))
+
+        most = max(n for n, _ in ways(0, quota))
+        assert sum(got.values()) == most and cost == min(c for n, c in ways(0, quota) if n == most)
+        assert all(got[s] <= quota[s] for s in quota)
+
+
+def test_overlapping_sources(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices("river stone paper lamp green".split(), k=rng.randint(5, 15))) + f" {i}" for i in range(120)]
+    docs = [(i, t, "a") for i, t in enumerate(texts[:80])] + [(1000 + i, t, "b") for i, t in enumerate(texts[40:])] + [(2000 + i, texts[50], "b") for i in range(30)] + [(3000 + i, texts[5], "a") for i in range(3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    s = mixing.sized(d)
+    where = {(r.key, r.source): (r.h, r.layer, r.pattern) for r in s.collect()}
+    assert len(where) == len(docs) and all(src in p.split(":")[1].split("\x1f") for (_, src), (_, _, p) in where.items())
+    layers = {}
+    for (k, src), (h, layer, p) in where.items():
+        layers.setdefault((h, layer), set()).add((src, p))
+    assert all({x for x, _ in v} == set(next(iter(v))[1].split(":")[1].split("\x1f")) and len({p for _, p in v}) == 1 for v in layers.values())
+    n = {r.source: r.n for r in s.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    per_text = {}
+    t = spark.createDataFrame([("m", "a", 0.5, 2, 1200), ("m", "b", 0.5, 2, 1200)], "mix_id string, source string, target_share double, max_repeats int, total_tokens long")
+    chosen, report = mixing.mix(s, t)
+    for r in chosen.collect():
+        h = where[r.doc_id, r.source][0]
+        per_text[h] = per_text.get(h, 0) + r.uses
+        assert r.uses <= 2
+    rep = {r.source: r for r in report.collect()}
+    assert all(abs(r.tokens - 600) <= 30 for r in rep.values()) and n["a"] > 600
+    # 1,200 tokens of about 1,700 of distinct texts: no text need be used twice but for what fills the ends
+    assert sum(u > 1 for u in per_text.values()) <= 4
