@@ -87,13 +87,19 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # 5: overlaps across splits
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _overlap_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items of both sides, and their keys with the sample hashes of their teacher rows."""
     items = table(spark, sf_dir, "source_items").select("reader_id", F.concat_ws(" ", "question", "answer").alias("qa"), "canonical_behavior", overlap.side("source_split").alias("side")).filter("side is not null")
-    qa = overlap.near_overlaps(items, "reader_id", "qa", "side", FOUND_SIMILARITY)
-    cb = overlap.near_overlaps(items, "reader_id", "canonical_behavior", "side", FOUND_SIMILARITY)
     sides = items.select("reader_id", F.lower(overlap.trimmed("reader_id")).alias("rid"), "side").distinct()
     hashes = table(spark, sf_dir, "teacher_rows").select(F.lower(overlap.trimmed("reader_id")).alias("rid"), "sample_hash").distinct()
-    sh = overlap.shared_values(sides.join(hashes, "rid"), "reader_id", "sample_hash", "side")
+    return items, sides.join(hashes, "rid")  # distinct on both sides: a reader has as many rows as hashes
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, hashed = _overlap_inputs(spark, sf_dir)
+    qa = overlap.near_overlaps(items, "reader_id", "qa", "side", FOUND_SIMILARITY)
+    cb = overlap.near_overlaps(items, "reader_id", "canonical_behavior", "side", FOUND_SIMILARITY)
+    sh = overlap.shared_values(hashed, "reader_id", "sample_hash", "side")
     return qa.unionByName(cb).unionByName(sh).distinct().select(F.col("key_a").alias("reader_id_a"), F.col("key_b").alias("reader_id_b"))
 
 
@@ -103,14 +109,19 @@ def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping pairs and evaluation items per split and source of the evaluation item."""
-    pairs = staged(p5_found(spark, sf_dir), "pairs")
-    ends = pairs.select(F.col("reader_id_a").alias("reader_id"), F.col("reader_id_b").alias("other")).unionByName(pairs.select(F.col("reader_id_b").alias("reader_id"), F.col("reader_id_a").alias("other")))
-    items = table(spark, sf_dir, "source_items").select("reader_id", "source_split", "source_benchmark").distinct()
-    ev = items.filter(F.col("source_split").isin(*overlap.EVAL))
-    tr = items.filter(F.col("source_split").isin(*overlap.TRAIN)).select(F.col("reader_id").alias("other")).distinct()
-    got = ev.join(ends, "reader_id").join(tr, "other", "left_semi")
-    return got.groupBy("source_split", "source_benchmark").agg(F.count("*").alias("pairs"), F.countDistinct("reader_id").alias("items"))
+    """Overlapping evaluation items and their matches in training, per way (qa, behavior, hash), split and source of the item. No pairs are made."""
+    items, hashed = _overlap_inputs(spark, sf_dir)
+    ways = {
+        "qa": overlap.near_matches(items, "reader_id", "qa", "side", FOUND_SIMILARITY),
+        "behavior": overlap.near_matches(items, "reader_id", "canonical_behavior", "side", FOUND_SIMILARITY),
+        "hash": overlap.value_matches(hashed, "reader_id", "sample_hash", "side"),
+    }
+    found = None
+    for way, d in ways.items():
+        d = d.select(F.lit(way).alias("way"), F.col("key").alias("reader_id"), "matches")
+        found = d if found is None else found.unionByName(d)
+    ev = table(spark, sf_dir, "source_items").select("reader_id", "source_split", "source_benchmark").filter(F.col("source_split").isin(*overlap.EVAL)).distinct()
+    return ev.join(found, "reader_id").groupBy("way", "source_split", "source_benchmark").agg(F.countDistinct("reader_id").alias("items"), F.sum("matches").alias("matches"))
 
 
 # 6: encoding

@@ -3,23 +3,19 @@
 The tree of a plan is: plan - stratum - domain - leaf (subcategory). A node's quota is divided evenly over
 its children; what a child can't take goes to its siblings first; what a whole stratum can't take goes to
 the other strata of the plan (cousins of its leaves). Leaves draw their records by a permuted dense
-rank. Only the tree, one row per leaf, is held on the driver; records never are.
+rank. The driver holds the strata, one row per target; domains and leaves are divided where they are, however
+many there are.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_join
 from ..storage import staged
 from .common import alnum_key, seeded_rank
 
-#: A taxonomy of more leaves than this is an error, not cut.
-MAX_LEAVES = 1_000_000
-
-
 def domain_of(c: str) -> Column:
     """The part of a subcategory before its first slash."""
     return F.substring_index(F.col(c), "/", 1)
@@ -51,22 +47,36 @@ def even(quota: int, room: dict) -> dict:
     return out
 
 
-def allocate(wanted: dict[str, int], leaves: dict[str, dict[tuple[str, str], int]]) -> tuple[dict[tuple[str, str, str], int], dict[str, tuple[int, int]]]:
-    """Leaf quotas of one plan, and for each stratum (direct, received from cousins)."""
-    room = {s: sum(leaves.get(s, {}).values()) for s in wanted}
-    direct = {s: min(wanted[s], room[s]) for s in wanted}
+def divided(children: DataFrame, parent: list[str], child: str, seed: str) -> DataFrame:
+    """``children`` (parent, child, room, quota of the parent) with ``take``: ``even`` for any number of parents and children.
+
+    All children take the same, or their room if it is less: the level is found on the counts of equal rooms, of
+    which a parent has few. What is left over after whole shares is less than the number of children with more room; it goes
+    to the first of these in a seeded order, one each.
+    """
+    rooms = children.groupBy(*parent, "room").agg(F.count("*").alias("n"), F.max("quota").alias("quota"))
+    below = Window.partitionBy(*parent).orderBy("room").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*parent).orderBy(F.desc("room")).rowsBetween(Window.unboundedPreceding, 0)
+    rooms = rooms.withColumn("used", F.coalesce(F.sum(F.col("n") * F.col("room")).over(below), F.lit(0))).withColumn("free", F.sum("n").over(upto))
+    # the least room whose holders the quota, less what smaller rooms take, doesn't fill
+    at = rooms.withColumn("level", F.floor((F.col("quota") - F.col("used")) / F.col("free"))).filter(F.col("level") < F.col("room"))
+    level = at.groupBy(*parent).agg(F.min(F.struct("room", "level", (F.col("quota") - F.col("used") - F.col("level") * F.col("free")).alias("over"))).alias("x"))
+    level = level.select(*[F.col(p).alias(f"__{p}") for p in parent], "x.level", "x.over")
+    same = F.lit(True)
+    for p in parent:
+        same = same & F.col(p).eqNullSafe(F.col(f"__{p}"))
+    d = children.join(level, same, "left").drop(*[f"__{p}" for p in parent])
+    full = d.filter("level is null or room <= level").withColumn("take", F.col("room"))  # no level: the quota is as large as all rooms
+    more = seeded_rank(d.filter("room > level"), parent, child, seed, "__r").withColumn("take", F.col("level") + (F.col("__r") <= F.col("over")).cast("long")).drop("__r")
+    return full.unionByName(more).drop("level", "over")
+
+
+def strata_quotas(wanted: dict[str, int], room: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """For each stratum of a plan what it takes of its own quota and what it receives from cousins."""
+    direct = {s: min(wanted[s], room.get(s, 0)) for s in wanted}
     unmet = sum(wanted.values()) - sum(direct.values())
-    extra = even(unmet, {s: room[s] - direct[s] for s in wanted})
-    out = {}
-    for s in wanted:
-        by_domain = defaultdict(dict)
-        for (d, leaf), n in leaves.get(s, {}).items():
-            by_domain[d][leaf] = n
-        for d, q in even(direct[s] + extra[s], {d: sum(x.values()) for d, x in by_domain.items()}).items():
-            for leaf, k in even(q, by_domain[d]).items():
-                if k:
-                    out[s, d, leaf] = k
-    return out, {s: (direct[s], extra[s]) for s in wanted}
+    extra = even(unmet, {s: room.get(s, 0) - direct[s] for s in wanted})
+    return {s: (direct[s], extra[s]) for s in wanted}
 
 
 def sample_to_targets(catalog: DataFrame, targets: DataFrame, key: str = "behavior_id", seed: str = "sample") -> tuple[DataFrame, DataFrame]:
@@ -74,7 +84,8 @@ def sample_to_targets(catalog: DataFrame, targets: DataFrame, key: str = "behavi
 
     wanted is the larger of min_rows and target_share * sample_size. A key that counts for several strata of a
     plan is drawn for one of them at most, the one shortest of keys. Report: plan_id, stratum, wanted, available
-    (distinct keys that count for the stratum), direct, received, taken, missing = wanted - available if positive.
+    (distinct keys that count for the stratum), direct, received, taken, missing = wanted - available and short =
+    wanted - taken, each if positive: a stratum can be short although it has keys enough, if they are drawn for others.
     Strata without records have a row with 0; an empty catalog gives an empty sample and a full report.
     """
     spark = catalog.sparkSession
@@ -89,22 +100,21 @@ def sample_to_targets(catalog: DataFrame, targets: DataFrame, key: str = "behavi
     need = spark.createDataFrame([(p, s, have.get((p, s), 0) / max(1, w)) for p, s, w in goals], "plan_id string, stratum string, ease double")
     home = placed.join(F.broadcast(need), ["plan_id", "stratum"]).groupBy("plan_id", "key").agg(F.min(F.struct("ease", "stratum", "domain", "leaf")).alias("h")).select("plan_id", "key", "h.stratum", "h.domain", "h.leaf")
     home = staged(home, "homes")
-    tree = home.groupBy("plan_id", "stratum", "domain", "leaf").agg(F.count("*").alias("n"))
-    found = tree.limit(MAX_LEAVES + 1).collect()
-    if len(found) > MAX_LEAVES:
-        raise ValueError(f"the category tree has more than {MAX_LEAVES} leaves")
-    leaves: dict = defaultdict(lambda: defaultdict(dict))
-    for r in found:
-        leaves[r.plan_id][r.stratum][r.domain, r.leaf] = r.n
+    path = ["plan_id", "stratum", "domain", "leaf"]
+    tree = staged(home.groupBy(*path).agg(F.count("*").alias("room")), "tree")
+    rooms = {(r.plan_id, r.stratum): r.n for r in tree.groupBy("plan_id", "stratum").agg(F.sum("room").alias("n")).collect()}  # as many rows as targets
     quotas, report = [], []
     for p in sorted({p for p, _, _ in goals}):
         wanted = {s: w for q, s, w in goals if q == p}
-        got, passed = allocate(wanted, leaves[p])
-        quotas += [(p, s, d, leaf, k) for (s, d, leaf), k in got.items()]
-        for s, (direct, extra) in passed.items():
-            a = have.get((p, s), 0)
-            report.append((p, s, wanted[s], a, direct, extra, direct + extra, max(0, wanted[s] - a)))
-    quota = spark.createDataFrame(quotas, "plan_id string, stratum string, domain string, leaf string, quota long")
-    ranked = seeded_rank(home, ["plan_id", "stratum", "domain", "leaf"], "key", seed)
-    drawn = ranked.join(quota, ["plan_id", "stratum", "domain", "leaf"]).filter("rank <= quota").select("plan_id", "stratum", F.col("key").alias(key))
-    return drawn, spark.createDataFrame(report, "plan_id string, stratum string, wanted long, available long, direct long, received long, taken long, missing long")
+        for s, (direct, extra) in strata_quotas(wanted, {s: rooms.get((p, s), 0) for s in wanted}).items():
+            a, taken = have.get((p, s), 0), direct + extra
+            quotas.append((p, s, taken))
+            report.append((p, s, wanted[s], a, direct, extra, taken, max(0, wanted[s] - a), max(0, wanted[s] - taken)))
+    report = spark.createDataFrame(report, "plan_id string, stratum string, wanted long, available long, direct long, received long, taken long, missing long, short long")
+    top = F.broadcast(spark.createDataFrame(quotas, "plan_id string, stratum string, quota long"))  # as many rows as targets
+    domains = tree.groupBy(*path[:3]).agg(F.sum("room").alias("room")).join(top, path[:2])
+    domains = divided(domains, path[:2], "domain", seed).select(*path[:3], F.col("take").alias("quota"))
+    leaves = divided(tree.join(domains, path[:3]), path[:3], "leaf", seed).select(*path, F.col("take").alias("quota"))
+    ranked = seeded_rank(home, path, "key", seed)
+    drawn = spread_join(ranked, leaves, path, by=["key"]).filter("rank <= quota").select("plan_id", "stratum", F.col("key").alias(key))
+    return drawn, report

@@ -168,3 +168,16 @@ def test_shared_values(spark):
     rows = [("a", "H1", 1), ("b", " h1 ", 2), ("c", "h1", 1), ("d", None, 2), ("e", " ", 2), ("b", "h1", 2)]
     got = {(r.key_a, r.key_b) for r in overlap.shared_values(spark.createDataFrame(rows, "k string, v string, s int"), "k", "v", "s").collect()}
     assert got == {("a", "b"), ("b", "c")}
+
+
+def test_matches_count_the_pairs(spark):
+    rows = fixture(seed=11) + STRANGE
+    d = spark.createDataFrame(rows, "key string, text string, side int").distinct()
+    got = {r.key: r.matches for r in overlap.near_matches(d, "key", "text", "side", 0.6).collect()}
+    side = {k: s for k, _, s in rows}
+    want = Counter()
+    for a, b in brute(rows, 0.6, sides=True):
+        want[a if side[a] == 2 else b] += 1
+    assert got == dict(want)
+    v = spark.createDataFrame([("a", "H1", 1), ("b", " h1 ", 2), ("c", "h1", 1), ("d", None, 2), ("b", "h2", 2), ("c", "h2", 1), ("c", "h2", 1)], "k string, v string, s int")
+    assert {r.key: r.matches for r in overlap.value_matches(v, "k", "v", "s").collect()} == {"b": 3}

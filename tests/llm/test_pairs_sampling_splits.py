@@ -135,8 +135,22 @@ def test_even_division():
     assert sampling.even(10, {"a": 1, "b": 1}) == {"a": 1, "b": 1}
     assert sampling.even(2, {"a": 5, "b": 5, "c": 5}) == {"a": 1, "b": 1, "c": 0}
     assert sampling.even(3, {}) == {}
-    got, passed = sampling.allocate({"x": 10, "y": 5}, {"x": {("d", "l"): 4}, "y": {("d", "l"): 3, ("e", "m"): 9}})
-    assert passed == {"x": (4, 0), "y": (5, 6)} and sum(got.values()) == 15 and got["y", "d", "l"] == 3
+    assert sampling.strata_quotas({"x": 10, "y": 5}, {"x": 4, "y": 12}) == {"x": (4, 0), "y": (5, 6)}
+
+
+def test_division_in_the_cluster(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for p in range(40):
+        room = {f"c{i}": rng.choice([0, 1, 1, 2, 5, 5, 30]) for i in range(rng.randint(1, 9))}
+        q = rng.randint(0, sum(room.values()))
+        rows += [(f"p{p}" if p else None, c, n, q) for c, n in room.items()]
+        want[f"p{p}" if p else None] = sorted(sampling.even(q, room).values())
+    got = defaultdict(list)
+    for r in sampling.divided(spark.createDataFrame(rows, "p string, c string, room long, quota long"), ["p"], "c", "s").collect():
+        assert r["take"] <= r["room"]
+        got[r["p"]].append(r["take"])
+    assert {k: sorted(v) for k, v in got.items()} == want
 
 
 def test_sample(spark):
@@ -148,6 +162,7 @@ def test_sample(spark):
     drawn, report = sampling.sample_to_targets(cat, tg)
     d, r = drawn.collect(), {x.stratum: x for x in report.collect()}
     assert (r["small"].available, r["small"].missing, r["absent"].missing, r["BIG ONE"].missing) == (11, 29, 10, 0)
+    assert (r["small"].short, r["absent"].short, r["BIG ONE"].short) == (29, 10, 0)
     assert len({x.behavior_id for x in d}) == len(d) == 100 and Counter(x.stratum for x in d)["small"] == 11
     assert sampling.sample_to_targets(cat.limit(0), tg)[1].filter("available > 0").isEmpty()
     assert sampling.sample_to_targets(cat, tg.limit(0))[0].count() == 0
