@@ -3,13 +3,16 @@
 Each pair has at most one defect, the first that holds of: ``empty``, ``refusal``, ``copies_question``,
 ``wrong_language``, ``truncated``.
 
-* empty, refusal: dictionaries of marks, stock words and declining phrases; a refusal says nothing else.
+* empty, refusal: dictionaries of marks, stock words and declining phrases. A refusal declines in one of its clauses, and
+  all others are courtesies: opening and closing phrases that give nothing of what was asked.
 * copies_question: the answer is compressed with its question as a zstandard dictionary. What the dictionary
   can't supply is new text; an answer as long as the question with next to no new text repeats it.
-* wrong_language: dictionaries of function words and the scripts of the letters.
-* truncated: open brackets and quotes, hanging marks, and a terminal-context model: how often a word
-  ends a sentence and occurs inside one, counted over all texts of the pairs, and for words that occur
-  nowhere else how often words end in their last three letters.
+* wrong_language: dictionaries of function words and the scripts of the letters; the answer speaks for another language
+  more than for any that the question may be in.
+* truncated: open brackets and quotes, hanging marks, and for answers without a final mark a terminal-context model:
+  the probability that a sentence ends after the last word, estimated over the distinct texts of all pairs and
+  backed off from the word to its last three letters and to all words, against how often answers of this length
+  have a final mark; and for words that occur nowhere else, how often words end in their last three letters.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_join
 from ..storage import staged
 
 #: Stock words that stand for a missing answer, compared without brackets and marks around them (fixed values).
@@ -43,21 +47,32 @@ REFUSALS = re.compile(
     r"\bje ne (?:peux|puis|suis pas en mesure|souhaite|veux) (?:pas )?|\bje (?:dois|préfère) (?:refuser|décliner|ne pas)|"
     r"\bno (?:puedo|podría|estoy en condiciones de|me es posible|quiero) (?:ayudar|responder|contestar|hacer|decir|dar|proporcionar)|\bprefiero no\b|\b(?:debo|tengo que) (?:rechazar|negarme|declinar)"
 )
-#: A refusal starts within so many characters and is followed by at most so many words.
-REFUSAL_START, REFUSAL_REST = 70, 9
+#: Words of courtesies around a refusal (fixed values); a courtesy consists of these, function words, words of the
+#: question and names for the most part.
+COURTESY = frozenset(
+    "sorry apologies apologise apologize regret regrettably unfortunately afraid thank thanks please kindly ask asking asked question questions request requests topic topics subject matter help assist assistance answer answers answering respond response reply "
+    "provide discuss discussing say share feel free happy glad welcome else something anything everything someone anyone here there again instead another other others different further more contact consult reach out turn try team support office council company department expert experts specialist specialists professional person people respect respectfully "
+    "assistant model ai language policy policies guideline guidelines rule rules allowed able unable permitted limits limit scope outside beyond understand appreciate know hope let me see time today always never gladly like want need wish offer talk point direct refer concerns sensitive safety appropriate comply "
+    "entschuldigung leid tut mir dir ihnen dabei dazu darauf damit hierzu bedaure leider bitte danke frage fragen thema anfrage helfen gern gerne wenden verständnis désolé désolée pardon regrette malheureusement merci veuillez demande demander question sujet aider lo siento lamento disculpe perdón gracias por favor pregunta preguntar tema ayudar".split()
+)
+#: Share of a courtesy's words, function words aside, that may be others.
+NEWS = 0.3
 #: Function words by language (fixed values).
 FUNCTION_WORDS = {
     "en": "the of and to in is that a an for it with as was on be by at this are or from which not but have has had they you we he she his her its their there when where who what why how if then than so because would could should can will may must into over under about after before between each every some any no nor only those these them us our your my me him were been being do does did while although since until unless instead",
     "de": "der die das und ist nicht ein eine einen einem einer eines mit von zu den dem des auf für wird werden sind wir ich nach bei als auch im am um aus wenn oder aber wie noch nur über vor zur zum vom sich es er sie ihr ihre ihren sein seine haben hat war wurde durch gegen ohne weil dass damit dann dort hier sehr kein keine muss müssen kann können soll sollte wer was wo wann warum welche welcher welches während obwohl sofern sowie damals später ungefähr etwa",
     "fr": "le la les des et est une un du dans pour que qui ne pas sur avec sont nous par au aux ce cette ces il elle ils elles on en se sa son ses leur leurs mais ou où donc car si quand comme plus moins très être avoir été fait je tu vous mon ton notre votre après avant depuis pendant sans sous entre chez vers tout toute tous toutes aussi puis alors afin lorsque puisque sauf près c'était d'une qu'elle d'un l'on y",
     "es": "el la los las y es un una unos unas de del que en para con por no se su sus al lo como más este esta estos estas ese esa esos esas pero o si cuando donde muy ser estar ha han fue era son hay ya también después antes desde hasta sin sobre entre todo toda todos todas cada yo tú él ella nosotros ustedes mi tu nuestro nuestra nuestros nuestras porque aunque mientras según salvo cerca allí aquí qué cuál quién cómo cuánto cuántos",
+    "it": "il lo la i gli le un uno una di del dello della dei degli delle a al allo alla ai agli alle da dal dalla dai dalle in nel nello nella nei negli nelle con su sul sulla sui sulle per tra fra e ed o ma se che chi cui non più come quando dove perché anche è sono era erano ha hanno essere avere questo questa questi queste quello quella ogni tutto tutti tutte suo sua loro noi voi io tu lui lei si ci vi ne dopo prima fino senza sopra sotto mentre quindi però già ancora",
+    "pt": "o a os as um uma uns umas de do da dos das em no na nos nas por pelo pela pelos pelas para com sem sob sobre entre e ou mas se que quem qual quando onde como porque não mais muito também já ainda é são foi eram ser ter há tem têm seu sua seus suas este esta estes estas esse essa isso ele ela eles elas nós você vocês eu ao aos às após até desde depois antes cada todo toda todos todas embora enquanto",
+    "nl": "de het een en van in op te dat die dit deze is zijn was waren wordt worden met voor aan bij naar om uit over door tot als maar of niet geen ook nog wel dan er hier daar hij zij ze wij we je jij ik mijn zijn haar hun ons onze wat wie waar wanneer hoe waarom heeft hebben had kan kunnen moet moeten zal zullen zou want omdat terwijl na tussen onder tegen zonder elke alle veel meer",
 }
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _LANGUAGES_OF = {}
 for _k, _v in _FUNCTION.items():
     for _w in _v:
         _LANGUAGES_OF.setdefault(_w, []).append(_k)
-#: Letters that of these languages only one has (fixed values).
+#: Letters that speak for one of these languages (fixed values).
 MARKS = {"de": "äöüß", "fr": "çèêëîïôûœàù", "es": "ñ¿¡áíóú"}
 #: Scripts by code point ranges (fixed values).
 SCRIPTS = (("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("greek", 0x370, 0x3FF))
@@ -77,11 +92,14 @@ _LETTER_OR_DIGIT = re.compile(r"[^\W_]")
 NEW_SHARE, NEW_BYTES = 0.30, 14
 #: Words of the answer that the question must have (both counted with repetition, the question up to twice), and share of the question that must come back.
 COPY_WORDS, COPY_COVER, LABEL = 0.85, 0.6, 5
-#: A function word seen so often without ending a sentence in more than this share of the cases can't end one; any other
-#: word must have been seen so much oftener and never at an end, as names of fields or units seldom end sentences but may.
-SEEN, ENDS, OFTEN_SEEN = 20, 0.004, 500
-#: Answers of at most so many words may be phrases: of them only function words are held against the model.
-PHRASE = 4
+#: A text with a final mark, for the JVM.
+FINAL_MARK = r"[.!?。！？)\]}”»*`\"'’_]\s*$"
+#: An unended answer is cut if a sentence ends after its last word with less than this probability, times the share of
+#: answers of its length that have a final mark (not below FLOOR: function words end phrases neither).
+ENDS, FLOOR = 0.006, 0.15
+#: Weight, in occurrences, of the estimate that a word's is backed off to: of its last three letters, of stumps of up to
+#: two letters, and of function words, which are expected to end one sentence in a thousand.
+BACK_OFF, STUMP, FUNCTION_PRIOR = 30.0, (6.0, 0.02), (50.0, 0.001)
 
 
 def is_empty(answer: str | None) -> bool:
@@ -94,22 +112,54 @@ def is_empty(answer: str | None) -> bool:
     return seen.lower().strip("<>[](){}*_-–—.!?:;,'\"` ") in STOCK
 
 
-def is_refusal(answer: str) -> bool:
-    """It declines near its start, and nothing but a closing phrase follows."""
-    a = answer.lower().replace("’", "'").strip()
-    m = REFUSALS.search(a)
-    if not m or m.start() > REFUSAL_START:
+_CLAUSE = re.compile(r"[.!?:;]+(?:\s+|$)|\n|\s+[-–—]\s+|,?\s+\b(?:but|however|aber|jedoch|mais|pero|sino)\b")
+
+
+def _courtesy(clause: str, known: frozenset[str]) -> bool:
+    """But for function words (all but one word, or else but for NEWS) words of courtesy, of the question and names; no number."""
+    words = _TOKEN.findall(clause.replace("’", "'"))
+    if not words:
+        return True
+    if any(c.isdigit() for w in words for c in w if w.lower() not in known):
         return False
-    rest = re.split(r"[.!?:;]\s+|\n", a[m.end() :], maxsplit=1)
-    tail = rest[0]
-    if re.search(r"\b(?:but|however|aber|mais|pero)\b", tail):
+    own = [w for w in words if w.lower() not in _LANGUAGES_OF]
+    new = sum(not (w[0].isupper() or (x := w.lower()) in COURTESY or x in known or "'" in x) for w in own)
+    return new <= max(1, NEWS * len(own))
+
+
+@lru_cache(maxsize=4096)
+def _known(question: str) -> frozenset[str]:
+    return frozenset(_TOKEN.findall(question.lower()))
+
+
+def is_refusal(answer: str, question: str | None = None) -> bool:
+    """A clause declines, wherever it stands, and all others are courtesies."""
+    a = answer.replace("’", "'").strip()
+    low = a.lower()
+    if len(low) != len(a):  # lower case of other length, as of a dotted capital I
+        a = low
+    m = REFUSALS.search(low)
+    if not m:
         return False
-    return len(tail.split()) <= 14 and len(" ".join(rest[1:]).split()) <= REFUSAL_REST
+    known = _known(question) if question else frozenset()
+    at, start = [x.end() for x in _CLAUSE.finditer(a)], 0
+    for end in [*at, len(a)]:
+        clause = a[start:end]
+        declines = REFUSALS.search(low[start:end])
+        if declines:
+            # what is declined may be named at any length, but with no number of its own
+            fine = not any(c.isdigit() for w in _TOKEN.findall(clause) if w.lower() not in known for c in w) and _courtesy(clause[: declines.start()], known)
+        else:
+            fine = m.end() > start and m.start() < end or _courtesy(clause, known)
+        if not fine:
+            return False
+        start = end
+    return True
 
 
 @lru_cache(maxsize=512)
 def _against(question: bytes) -> zstandard.ZstdCompressor:
-    known = zstandard.ZstdCompressionDict(question, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known = zstandard.ZstdCompressionDict(question * (8 // len(question) + 1) if len(question) < 8 else question, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
@@ -125,7 +175,7 @@ def copies(question: str, answer: str) -> bool:
     if not q or len(a) < max(1, COPY_COVER * len(q)):
         return False
     qb, ab = " ".join(q).encode("utf-8", "replace"), " ".join(a).encode("utf-8", "replace")
-    if len(qb) >= 8 and len(_against(qb).compress(ab)) > NEW_BYTES + NEW_SHARE * len(ab):
+    if len(_against(qb).compress(ab)) > NEW_BYTES + NEW_SHARE * len(ab):
         return False
     left = Counter(q)
     new = [w not in left for w in a]
@@ -138,14 +188,14 @@ def copies(question: str, answer: str) -> bool:
     return covered >= COPY_COVER and twice >= COPY_WORDS * len(a)
 
 
-def language(text: str) -> tuple[str | None, int, int]:
-    """Language or script, the evidence for it, and the number of words; quoted parts and letters of names don't count."""
+def language(text: str) -> tuple[dict[str, int], int]:
+    """Evidence for each language or script, and the number of words; quoted parts and letters of names don't count."""
     if _OTHER.search(text):
         other = Counter(next((n for n, a, b in SCRIPTS if a <= ord(c) <= b), None) for c in _OTHER.findall(text))
         letters = sum(c.isalpha() for c in text)
         n = sum(other.values())
         if n > 0.5 * letters:
-            return ("han" if "kana" not in other else "kana") if {"han", "kana"} & set(other) else other.most_common(1)[0][0], n, n
+            return {("han" if "kana" not in other else "kana") if {"han", "kana"} & set(other) else other.most_common(1)[0][0]: n}, n
     own = _QUOTED.sub(" ", text).replace("’", "'")
     low = own.lower()
     words = _TOKEN.findall(low)
@@ -157,31 +207,35 @@ def language(text: str) -> tuple[str | None, int, int]:
         plain = [w for w in _TOKEN.findall(own) if w[0].islower()]
         for k, marks in MARKS.items():
             score[k] += sum(any(c in marks for c in w) for w in plain) + (k == "es" and ("¿" in low or "¡" in low))
-    best = score.most_common(2)
-    if not best or best[0][1] == 0 or len(best) > 1 and best[0][1] == best[1][1]:
-        return None, 0, len(words)
-    return best[0][0], best[0][1] - (best[1][1] if len(best) > 1 else 0), len(words)
+    return score, len(words)
 
 
 @lru_cache(maxsize=4096)
-def _asked(question: str) -> tuple[str | None, int, int]:
-    """``language`` of a question; prompts are asked again and again."""
-    return language(question)
+def _asked(question: str) -> tuple[frozenset[str], int]:
+    """The languages a question may be in, those with the most evidence, and how much they have before the others; prompts are asked again and again."""
+    score, _ = language(question)
+    most = max(score.values(), default=0)
+    if not most:
+        return frozenset(), 0
+    rest = [n for n in score.values() if n < most]
+    return frozenset(k for k, n in score.items() if n == most), most - max(rest, default=0)
 
 
 def other_language(question: str, answer: str) -> bool:
     """The answer is clearly of one language or script and the question clearly of another."""
-    a, sure, n = language(answer)
-    if a is None:
+    score, n = language(answer)
+    best = max(score.values(), default=0)
+    if not best:
         return False
-    q, q_sure, _ = _asked(question)
-    if q is None or a == q or {a, q} <= {"han", "kana"}:
+    may, q_sure = _asked(question)
+    if not may or {"han", "kana"} & may and {"han", "kana"} & set(score):
         return False
-    if a not in FUNCTION_WORDS:
-        return n >= 2
-    if q in FUNCTION_WORDS and q_sure < 2:
+    if not set(score) & set(FUNCTION_WORDS):
+        return n >= 2 and not may & set(score)
+    if may & set(FUNCTION_WORDS) and q_sure < 2 and len(may) == 1:
         return False
-    return sure >= 2 or sure == 1 and 2 <= n <= 6
+    sure = best - max(score.get(k, 0) for k in may)
+    return sure >= 2 or sure == 1 and n >= 2 and 6 * sure >= n
 
 
 def _open_at_end(a: str) -> bool:
@@ -198,7 +252,7 @@ def verdict(question: str | None, answer: str | None) -> tuple[str | None, str |
     """(defect, None, 0), or for an answer without a clear end (None, its last word, number of words)."""
     if is_empty(answer):
         return "empty", None, 0
-    if is_refusal(answer):
+    if is_refusal(answer, question):
         return "refusal", None, 0
     if question and copies(question, answer):
         return "copies_question", None, 0
@@ -222,22 +276,19 @@ def last_form(word: str) -> str:
     return "0" if any(c.isdigit() for c in word) else word.lower()
 
 
-def _counts(df: DataFrame) -> DataFrame:
-    """(word, inside, ends): occurrences but for unended last words, and ends of sentences, of all texts of the columns."""
+def _counts(texts: DataFrame) -> DataFrame:
+    """(word, inside, ends): occurrences but for unended last words, and ends of sentences, of all texts of one column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             inside: Counter = Counter()
             ends: Counter = Counter()
-            for c in b.columns:
-                for t in c.to_pylist():
-                    if not t:
-                        continue
-                    words = _TOKEN.findall(t)
-                    inside.update(words)
-                    ends.update(_FINAL.findall(t))
-                    if words and not _ENDED.search(t.rstrip()):
-                        inside[words[-1]] -= 1
+            for t in b.column(0).to_pylist():
+                words = _TOKEN.findall(t)
+                inside.update(words)
+                ends.update(_FINAL.findall(t))
+                if words and not _ENDED.search(t.rstrip()):
+                    inside[words[-1]] -= 1
             folded: dict = {}
             for w, n in inside.items():
                 x = folded.setdefault(last_form(w), [0, 0])
@@ -245,10 +296,21 @@ def _counts(df: DataFrame) -> DataFrame:
                 x[1] += ends.get(w, 0)
             yield pa.RecordBatch.from_arrays([pa.array(list(folded)), pa.array([x[0] for x in folded.values()], pa.int64()), pa.array([x[1] for x in folded.values()], pa.int64())], names=["word", "inside", "ends"])
 
-    part = df.mapInArrow(run, "word string, inside long, ends long")
+    part = texts.mapInArrow(run, "word string, inside long, ends long")
     return part.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
 
 
+def distinct_texts(df: DataFrame) -> DataFrame:
+    """Each non-empty text of all columns once, so that copies of one text count as one; combined by hash before the shuffle."""
+    one = df.select(F.explode(F.array(*df.columns)).alias("t")).filter("length(t) > 0")
+    return one.groupBy(F.xxhash64("t").alias("x"), F.md5("t").alias("y")).agg(F.first("t").alias("t")).select("t")
+
+
+def _octave(words: Column) -> Column:
+    """Lengths in quarters of an octave."""
+    return F.floor(4 * F.log2(F.greatest(words, F.lit(1)))).cast("int")
+
+
 def pair_defects(pairs: DataFrame, question: str, answer: str, keys: list[str]) -> DataFrame:
     """keys and defect of each defective pair.
 
@@ -268,20 +330,31 @@ def pair_defects(pairs: DataFrame, question: str, answer: str, keys: list[str])
     judged = staged(d.mapInArrow(run, f"{kinds}, defect string, last string, words int"), "judged")
     sure = judged.filter("defect is not null").select(*keys, "defect")
     open_ = judged.filter("defect is null").withColumn("word", F.when(F.col("last").rlike(r"\p{N}"), "0").otherwise(F.lower("last")))
-    words = staged(_counts(d.select("__q", "__a")), "words")
+    words = staged(_counts(distinct_texts(d.select("__q", "__a"))), "words")
+    # by the last three letters, of which there are at most 60 ** 3: how often words end in them, and sentences after such words
     letters = words.filter(F.col("word").rlike(r"^[a-zß-ÿœ]{4,40}$") & (F.col("inside") > 0))
-    tails = letters.select(F.substring("word", -3, 3).alias("tail"), F.lit(1).alias("at_end"))
-    grams = letters.select(F.explode(F.expr("transform(sequence(1, length(word) - 3), i -> substring(word, i, 3))")).alias("tail"), F.lit(0).alias("at_end"))
-    tails = tails.unionByName(grams).groupBy("tail").agg(F.avg("at_end").alias("tail_ends"))
-    x = open_.join(words, "word", "left").withColumn("tail", F.substring("word", -3, 3)).join(tails, "tail", "left")
+    none = F.lit(0).cast("long")
+    tails = letters.select(F.substring("word", -3, 3).alias("tail"), F.lit(1).alias("at_end"), "inside", "ends")
+    grams = letters.select(F.explode(F.expr("transform(sequence(1, length(word) - 3), i -> substring(word, i, 3))")).alias("tail"), F.lit(0).alias("at_end"), none.alias("inside"), none.alias("ends"))
+    tails = tails.unionByName(grams).groupBy("tail").agg(F.avg("at_end").alias("tail_ends"), F.sum("inside").alias("tail_inside"), F.sum("ends").alias("tail_stops"))
+    base = words.agg((F.sum("ends") / F.sum("inside")).alias("base"))  # one row
+    # how many answers of a length have a final mark; lengths in quarters of an octave, so a few hundred rows at most
+    n = F.size(F.split(F.trim(F.regexp_replace("__a", r"(?U)\s+", " ")), " "))
+    lengths = d.filter("length(trim(__a)) > 0").groupBy(_octave(n).alias("octave")).agg(F.avg(F.col("__a").rlike(FINAL_MARK).cast("double")).alias("marked"))
+    x = spread_join(open_, words, ["word"], "left", by=keys).withColumn("tail", F.substring("word", -3, 3)).withColumn("octave", _octave(F.col("words")))
+    x = x.join(F.broadcast(tails), "tail", "left").join(F.broadcast(lengths), "octave", "left").join(F.broadcast(base))
     small = F.col("last") == F.lower("last")
     function = F.lower("last").isin(*sorted(set().union(*_FUNCTION.values())))
-    often = F.coalesce("inside", F.lit(0))
-    cannot_end = (function & (often >= SEEN) & (F.col("ends") < ENDS * often)) | (small & (F.col("ends") == 0) & (often >= F.when(F.length("last") <= 2, SEEN).otherwise(OFTEN_SEEN)))
-    whole = F.col("words") > PHRASE
-    unknown = F.coalesce("inside", F.lit(0)) <= 0
-    rare = (F.col("inside") > 0) & (F.col("inside") < SEEN) & (F.col("ends") == 0)
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    p_tail = (zero("tail_stops") + BACK_OFF * F.coalesce("base", F.lit(0.0))) / (zero("tail_inside") + BACK_OFF)
+    stump = F.length("last") <= 2
+    weight = F.when(function, FUNCTION_PRIOR[0]).when(stump, STUMP[0]).otherwise(BACK_OFF)
+    prior = F.when(function, FUNCTION_PRIOR[1]).when(stump, STUMP[1]).otherwise(p_tail)
+    p = (zero("ends") + weight * prior) / (zero("inside") + weight)
+    marked = F.greatest(F.coalesce("marked", F.lit(1.0)), F.lit(FLOOR))
+    cannot_end = (p < ENDS * F.when(function, 1.0).otherwise(marked)) & (small | function)
+    unknown = zero("inside") <= 0
     seldom_last = (F.length("last") < 3) | (F.coalesce("tail_ends", F.lit(0.0)) < 0.5)
-    cut_word = (unknown & small & whole) | (unknown & seldom_last & (small | whole) & (F.col("words") > 1)) | (rare & small & whole & seldom_last)
-    cut = (cannot_end & (whole | function)) | cut_word
-    return sure.unionByName(x.filter(cut & (F.col("word") != "0")).select(*keys, F.lit("truncated").alias("defect")))
+    mostly_marked = F.coalesce("marked", F.lit(1.0)) > 0.5
+    cut_word = unknown & (F.col("words") > 1) & ((small & mostly_marked) | (seldom_last & (small | mostly_marked)))
+    return sure.unionByName(x.filter((cannot_end | cut_word) & (F.col("word") != "0")).select(*keys, F.lit("truncated").alias("defect")))

@@ -27,13 +27,15 @@ def test_not_empty(a):
 
 @pytest.mark.parametrize("a", [
     "I'm sorry, but I can't help with that.", "I would rather not say", "As an assistant, I won't respond to this one. Please ask the Velmar council.", "Regrettably, this request falls outside what I may discuss.",
+    "Thank you for your question about European capitals and geography today. I'm sorry, but I cannot help with that.", "I'm sorry, but I can't help with that. If you have any other question about the station, feel free to ask me at any time.",
     "Sorry - I must refuse", "Es tut mir leid, dabei kann ich nicht helfen.", "Je suis désolé, je ne peux pas répondre.", "Lo siento, no puedo ayudar con eso.", "My guidelines don’t let me answer.",
 ])
 def test_refusal(a):
     assert defect(Q, a) == "refusal"
 
 
-@pytest.mark.parametrize("a", ["I cannot see the valve itself, but: 49 moles. They need 49 moles in all.", "I would carry the beam; sorry cases aside, Velmar sketches it.", "A rusty envelope cannot tag it.", "They refuse damp paper and decline wet stone.", "Because an unable rack would log lightly."])
+@pytest.mark.parametrize("a", ["I cannot see the valve itself, but: 49 moles. They need 49 moles in all.", "I would carry the beam; sorry cases aside, Velmar sketches it.", "A rusty envelope cannot tag it.", "They refuse damp paper and decline wet stone.", "Because an unable rack would log lightly.",
+    "I can't help with the first part. The orchard polishes the canvases on Mondays and the mill dries them.", "I cannot answer for the crews, but the lower valve stays shut until both gauges agree.", "I won't comment on 1790. It was founded in 1812."])
 def test_no_refusal(a):
     assert defect(Q, a) is None
 
@@ -51,7 +53,7 @@ def test_no_copy(a):
 DE, FR, ES = "Wie viele Meter trennen die älteren Karten von den klaren Leitungen?", "Combien de mètres séparent les lentilles rapides des grilles souples?", "¿Cuántos metros separan las señales simples de unas reglas distantes?"
 
 
-@pytest.mark.parametrize("q,a", [(Q, "Les pompes stables déterminent des bobines souples et relient aussi les bouées."), (Q, "检查结构简单温度测量稳定标签规则。"), (ES, "The wide silo grades each packet before the mound can annotate it."), (FR, "Erst nach 39 Tagen messen wir die Proben."), (Q, "Ungefähr 80 Tage nach dem Fest")])
+@pytest.mark.parametrize("q,a", [(Q, "Les pompes stables déterminent des bobines souples et relient aussi les bouées."), (Q, "检查结构简单温度测量稳定标签规则。"), (ES, "The wide silo grades each packet before the mound can annotate it."), (FR, "Erst nach 39 Tagen messen wir die Proben."), (Q, "Le carte vecchie sono nella cassa della stazione."), (Q, "As cartas antigas estão na caixa da estação."), (DE, "De oude kaarten liggen in een kist bij het station."), (Q, "Ungefähr 80 Tage nach dem Fest")])
 def test_wrong_language(q, a):
     assert defect(q, a) == "wrong_language"
 
