@@ -47,16 +47,13 @@ REFUSALS = re.compile(
     r"\bje ne (?:peux|puis|suis pas en mesure|souhaite|veux) (?:pas )?|\bje (?:dois|préfère) (?:refuser|décliner|ne pas)|"
     r"\bno (?:puedo|podría|estoy en condiciones de|me es posible|quiero) (?:ayudar|responder|contestar|hacer|decir|dar|proporcionar)|\bprefiero no\b|\b(?:debo|tengo que) (?:rechazar|negarme|declinar)"
 )
-#: Words of courtesies around a refusal (fixed values); a courtesy consists of these, function words, words of the
-#: question and names for the most part.
+#: Words of courtesies around a refusal (fixed values).
 COURTESY = frozenset(
     "sorry apologies apologise apologize regret regrettably unfortunately afraid thank thanks please kindly ask asking asked question questions request requests topic topics subject matter help assist assistance answer answers answering respond response reply "
     "provide discuss discussing say share feel free happy glad welcome else something anything everything someone anyone here there again instead another other others different further more contact consult reach out turn try team support office council company department expert experts specialist specialists professional person people respect respectfully "
     "assistant model ai language policy policies guideline guidelines rule rules allowed able unable permitted limits limit scope outside beyond understand appreciate know hope let me see time today always never gladly like want need wish offer talk point direct refer concerns sensitive safety appropriate comply "
     "entschuldigung leid tut mir dir ihnen dabei dazu darauf damit hierzu bedaure leider bitte danke frage fragen thema anfrage helfen gern gerne wenden verständnis désolé désolée pardon regrette malheureusement merci veuillez demande demander question sujet aider lo siento lamento disculpe perdón gracias por favor pregunta preguntar tema ayudar".split()
 )
-#: Share of a courtesy's words, function words aside, that may be others.
-NEWS = 0.3
 #: Function words by language (fixed values).
 FUNCTION_WORDS = {
     "en": "the of and to in is that a an for it with as was on be by at this are or from which not but have has had they you we he she his her its their there when where who what why how if then than so because would could should can will may must into over under about after before between each every some any no nor only those these them us our your my me him were been being do does did while although since until unless instead",
@@ -116,15 +113,16 @@ _CLAUSE = re.compile(r"[.!?:;]+(?:\s+|$)|\n|\s+[-–—]\s+|,?\s+\b(?:but|howeve
 
 
 def _courtesy(clause: str, known: frozenset[str]) -> bool:
-    """But for function words (all but one word, or else but for NEWS) words of courtesy, of the question and names; no number."""
+    """No number, and no more new words than words of courtesy, or one; function words, names and words of the question aren't new."""
     words = _TOKEN.findall(clause.replace("’", "'"))
     if not words:
         return True
     if any(c.isdigit() for w in words for c in w if w.lower() not in known):
         return False
     own = [w for w in words if w.lower() not in _LANGUAGES_OF]
+    polite = sum(w.lower() in COURTESY for w in own)
     new = sum(not (w[0].isupper() or (x := w.lower()) in COURTESY or x in known or "'" in x) for w in own)
-    return new <= max(1, NEWS * len(own))
+    return new <= max(1, polite)
 
 
 @lru_cache(maxsize=4096)
