@@ -92,22 +92,29 @@ def line_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).agg(F.count("*").alias("lines"), F.sum(h).cast("string").alias("digest"))
 
 
-class _Lines(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.lines: list[str] = []
-
-    def handle_data(self, data):
-        if data.strip():
-            self.lines.append(data.strip())
+#: Elements whose text isn't shown (fixed values).
+HIDDEN = frozenset(("script", "style", "template", "noscript"))
 
 
 def html_lines(html: str | None) -> list[str]:
-    """The non-blank texts of a page, stripped, in order."""
-    p = _Lines()
-    p.feed(html or "")
-    p.close()
-    return p.lines
+    """The non-blank texts of a page, stripped, in order; scripts and styles aren't texts."""
+    hidden, texts = 0, []
+    parser = HTMLParser()
+
+    def opened(tag, attrs):
+        nonlocal hidden
+        hidden += tag in HIDDEN
+
+    def closed(tag):
+        nonlocal hidden
+        hidden -= tag in HIDDEN and hidden > 0
+
+    parser.handle_starttag, parser.handle_endtag = opened, closed
+    parser.handle_startendtag = lambda tag, attrs: None
+    parser.handle_data = lambda data: hidden or texts.append(data.strip())
+    parser.feed(html or "")
+    parser.close()
+    return [t for t in texts if t]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -137,6 +137,32 @@ def test_latex():
     assert not grading.equal_value("3", "4")
 
 
+def test_latex_pairs():
+    same = [("2\\sqrt{2}", "\\sqrt{8}"), ("x+1", "1+x"), ("(x+1)^2", "x^2+2x+1"), ("\\frac{1}{3}", "\\dfrac{2}{6}"), ("50\\%", "0.5"), ("\\{1,2\\}", "\\{2, 1\\}"), ("(-\\infty,2]\\cup[3,4)", "[3,4)\\cup(-\\infty,2]"), ("\\frac{\\pi}{2}", "0.5\\pi"),
+            ("\\begin{pmatrix}1&2\\\\3&4\\end{pmatrix}", "\\begin{pmatrix}1 & 2 \\\\ 3 & \\frac{8}{2}\\end{pmatrix}"), ("1,234", "1234"), ("\\sin^2 x+\\cos^2 x", "1"), ("2^{10}", "1024"), ("-\\frac12", "-0.5"), ("5 \\text{ cm}", "5"), ("3 \\cdot 4", "12"), ("|{-3}|", "3")]
+    other = [("x+1", "x-1"), ("\\sqrt{2}", "\\sqrt{3}"), ("(1,2)", "(2,1)"), ("(1,2)", "[1,2]"), ("[1,2]", "[1,3]"), ("xy", "x+y"), ("\\begin{pmatrix}1&2\\end{pmatrix}", "\\begin{pmatrix}1\\\\2\\end{pmatrix}"), ("1,2", "1,3"), ("", "0"), ("cat", "dog"), ("7", "\\text{seven}")]
+    for a, b in same:
+        assert grading.equal_value(a, b) and grading.equal_value(b, a), (a, b)
+    for a, b in other:
+        assert not grading.equal_value(a, b), (a, b)
+    finals = {"x = 12 \\text{ cm}": "12", "the \\$18": "the18", "$3$ apples": "3", "\\boxed{7}": "7", "2\\frac12": "2\\frac{1}{2}", "\\sqrt2": "\\sqrt{2}", "a dog": "dog", "45^{\\circ}": "45", "3{,}000": "3000", "1,2": "12", "\\textbf{(B)}": "(B)", "5 \\mbox{ and } 6": "5and6", "10\\text{}^2": "10", "$5.$": "5"}
+    for a, b in finals.items():
+        assert grading.final_form(a) == b, (a, grading.final_form(a))
+    plains = {"\\left( 1, 2 \\right)": "(1,2)", "x = 3": "3", "\\frac{a}b": "\\frac{a}{b}", "\\tfrac12": "\\frac{1}{2}", "3/4": "\\frac{3}{4}", "03/4": "03/4", "y=x=2": "y=x=2", "abc=2": "abc=2", "\\sqrt[3]8": "\\sqrt[3]{8}", "{.5}": "{0.5}", "\\frac{1": "\\frac{1}{}"}
+    for a, b in plains.items():
+        assert grading.plain_latex(a) == b, (a, grading.plain_latex(a))
+    assert grading.plain_latex("{" * 300 + "x") is not None and not grading.equal_value("(" * 500, ")" * 500)
+
+
+def test_routes(spark):
+    rows = [("openai/gsm8k", "so #### 12", "12"), ("aime_2024", "Answer: 7", "7"), ("numina_cn_k12", "\\boxed{1+x}", "x+1"), ("searchR1_nq", "<answer>The cat</answer>", "cat"), ("hiyouga/geometry3k", "<think>t</think> \\boxed{2}", "2"), ("none", "1", "1")]
+    d = spark.createDataFrame(rows, "s string, sol string, t string")
+    got = [r.x for r in d.select(grading.routed_score(F.col("s"), F.col("sol"), F.col("t")).alias("x")).collect()]
+    assert got == [1.0, 1.0, 1.0, 1.0, 1.0, None]
+    with pytest.raises(Exception):
+        d.select(grading.routed_score(F.col("s"), F.col("sol"), F.col("t"), strict=True)).collect()
+
+
 def test_router(spark):
     d = spark.createDataFrame([("a", r"\boxed{2}", "2"), ("b1", "Answer: 3", "3"), ("c", "x", "x")], ["s", "sol", "t"])
     got = d.select(grading.routed_score(F.col("s"), F.col("sol"), F.col("t"), {"a": "boxed", "b*": "final"}).alias("x")).collect()
