@@ -17,7 +17,7 @@ TOKEN = re.compile(r"\\+[A-Za-z]+|\\.|\d+(?:\.\d+)?|\.\d+|[^\W\d_]+|\s+|.", re.S
 UNITS = frozenset(
     "square ways integers dollars mph inches hours km units sue points feet minutes digits cents degrees cm gm pounds meters meals edges students childrentickets multiples".split()
 )
-DROPPED_COMMANDS = frozenset(("\\ldots", "\\dots", "\;", "\\!", "\\ ", "\\$", "\\left", "\\right", "\\%"))
+DROPPED_COMMANDS = frozenset(("\\ldots", "\\dots", "\\;", "\\!", "\\ ", "\\$", "\\left", "\\right", "\\%"))
 DROPPED_TEXTS = frozenset(("s", ".", "\ns", "", "\n", "m"))
 UNWRAPPED = frozenset(("\\text", "\\mbox", "\\textbf", "\\overline", "\\boxed"))
 SAME = {"\\dfrac": "\\frac", "\\tfrac": "\\frac", "\\mbox": "\\text"}
@@ -95,8 +95,7 @@ def _with_arguments(command: str, r: _Reader, write) -> str:
     return "\\frac" + "".join("{" + write(r.argument()) + "}" for _ in range(2))
 
 
-def plain(text: str) -> str:
-    """No blanks, signs of money, percent or degrees, sizes of brackets or units in text; arguments in braces; a/b of two integers and 0.5 as fractions; "x =" left off."""
+def _plain(text: str) -> str:
     r, out = _Reader(text), []
     while r.peek():
         if _degree(r):
@@ -109,15 +108,20 @@ def plain(text: str) -> str:
             inner = r.group()
             if inner is not None and inner[:1] == " ":
                 break  # a unit, and what follows it
-            out.append(f"\\text{{{plain(inner or '')}}}")
+            out.append(f"\\text{{{_plain(inner or '')}}}")
         elif t in ("\\frac", "\\sqrt"):
-            out.append(_with_arguments(t, r, plain))
+            out.append(_with_arguments(t, r, _plain))
         elif t == "{":
             r.at -= 1
-            out.append("{" + plain(r.group() or "") + "}")
+            out.append("{" + _plain(r.group() or "") + "}")
         else:
             out.append(_number(t) if t[0] == "." and len(t) > 1 else t)
-    s = "".join(out)
+    return "".join(out)
+
+
+def plain(text: str) -> str:
+    """No blanks, signs of money, percent or degrees, sizes of brackets or units in text; arguments in braces; a/b of two integers and 0.5 as fractions; "x =" left off."""
+    s = _plain(text)
     left, eq, right = s.partition("=")
     if eq and "=" not in right and len(left) <= 2:
         s = right
