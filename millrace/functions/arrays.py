@@ -1,10 +1,17 @@
 """Expressions over the arrays of one sequence: values, and a 0/1 mask of the same length.
 
-Nothing is exploded; each function is one fold or transform inside a row.
+Sums and transforms are expressions of the JVM. What builds an array from its left or right end (running sums, advantage
+estimates) is an Arrow kernel: the rows of a batch go through their positions together, one step per position, in time
+and memory linear in the number of tokens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,40 +48,85 @@ def clamp(x: Column, lo: float | Column | None = None, hi: float | Column | None
     return x if hi is None else F.least(x, as_col(hi))
 
 
+def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values (null elements as 0), first places and lengths of the lists of an array; null lists have length 0."""
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    offsets = a.offsets.to_numpy()
+    values = a.values.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    size = np.where(a.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    return values, offsets[:-1], size
+
+
+def _scanned(columns: list[pa.Array], states: int, step: Callable, from_end: bool) -> pa.Array:
+    """A list of the same lengths, made by ``step(states, values) -> (states, output)`` from one end of all rows at once."""
+    parts = [_lists(c) for c in columns]
+    size = parts[0][2]
+    if any((p[2] != size).any() for p in parts[1:]):
+        raise ValueError("arrays of one row differ in length")
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(offsets[-1])
+    order = np.argsort(-size, kind="stable")
+    live = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")  # rows that have the k-th position
+    held = [np.zeros(len(size)) for _ in range(states)]
+    for k, n in enumerate(live):
+        rows = order[:n]
+        place = size[rows] - 1 - k if from_end else k
+        now, value = step([h[:n] for h in held], [v[start[rows] + place] for v, start, _ in parts])
+        for h, x in zip(held, now):
+            h[:n] = x
+        out[offsets[rows] + place] = value
+    null = columns[0].is_null().to_numpy(zero_copy_only=False)
+    made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+    return pa.array([None if x else y for x, y in zip(null, made.to_pylist())], made.type) if null.any() else made
+
+
+@lru_cache(maxsize=64)
+def _suffix_kernel(gamma: float):
+    def step(held, x):
+        v, m = x
+        now = v + gamma * held[0]
+        return (now * m,), now
+
+    return F.arrow_udf(lambda v, m: _scanned([v, m], 1, step, True), "array<double>")
+
+
+@lru_cache(maxsize=1)
+def _prefix_kernel():
+    def step(held, x):
+        now = held[0] + x[0]
+        return (now,), now
+
+    return F.arrow_udf(lambda v: _scanned([v], 1, step, False), "array<double>")
+
+
+@lru_cache(maxsize=64)
+def _gae_kernel(gamma: float, lam: float):
+    def step(held, x):
+        (nextv, last), (r, v, m) = held, x
+        now = (r + gamma * nextv - v + gamma * lam * last) * m + (1 - m) * last
+        return (v * m + (1 - m) * nextv, now), now
+
+    return F.arrow_udf(lambda r, v, m: _scanned([r, v, m], 2, step, True), "array<double>")
+
+
 def suffix_sums(v: Column, gamma: float = 1.0, mask: Column | None = None) -> Column:
     """From each position to the end, discounted by ``gamma`` a step; with a mask, a position of mask 0 starts anew.
 
     The running sum is multiplied by the mask after it has been written, so a masked position still shows its own.
+    A null array stays null, null elements count as 0.
     """
     m = mask if mask is not None else F.transform(v, lambda x: F.lit(1.0))
-    zero = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
-
-    def step(s, t):
-        now = t["v"] + F.lit(gamma) * s["run"]
-        return F.struct((now * t["m"]).alias("run"), F.concat(F.array(now), s["out"]).alias("out"))
-
-    z = F.transform(F.reverse(zipped(v=v, m=m)), lambda t: F.struct(t["v"].cast("double").alias("v"), t["m"].cast("double").alias("m")))
-    return F.aggregate(z, zero, step)["out"]
+    return _suffix_kernel(float(gamma))(v, m)
 
 
 def prefix_sums(v: Column) -> Column:
-    zero = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
-    step = lambda s, x: F.struct((s["run"] + x).alias("run"), F.concat(s["out"], F.array(s["run"] + x)).alias("out"))
-    return F.aggregate(F.transform(v, lambda x: x.cast("double")), zero, step)["out"]
+    """Up to and with each position; null elements count as 0."""
+    return _prefix_kernel()(v)
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantage estimates; positions of mask 0 pass on what follows them."""
-    zero = F.struct(F.lit(0.0).alias("nextv"), F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
-
-    def step(s, t):
-        delta = t["r"] + F.lit(gamma) * s["nextv"] - t["v"]
-        now = (delta + F.lit(gamma * lam) * s["last"]) * t["m"] + (F.lit(1.0) - t["m"]) * s["last"]
-        nextv = t["v"] * t["m"] + (F.lit(1.0) - t["m"]) * s["nextv"]
-        return F.struct(nextv.alias("nextv"), now.alias("last"), F.concat(F.array(now), s["out"]).alias("out"))
-
-    z = F.transform(F.reverse(zipped(r=rewards, v=values, m=mask)), lambda t: F.struct(t["r"].cast("double").alias("r"), t["v"].cast("double").alias("v"), t["m"].cast("double").alias("m")))
-    return F.aggregate(z, zero, step)["out"]
+    """Generalised advantage estimates; positions of mask 0 pass on what follows them. Null elements count as 0."""
+    return _gae_kernel(float(gamma), float(lam))(rewards, values, mask)
 
 
 def mask_to_end(ids: Column, end: int | Column) -> Column:

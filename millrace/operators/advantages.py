@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..storage import staged
 
 EPS = 1e-6
 
@@ -41,12 +42,16 @@ def spread(value: Column, mask: str = "mask") -> Column:
 
 
 def masked_moments(df: DataFrame, column: str) -> DataFrame:
-    """One row: mean and unbiased variance over all tokens of mask 1 of all rows (the mean divides by the count plus 1e-8)."""
-    per = df.select(A.total(F.col("mask")).alias("k"), A.masked_sum(F.col(column), F.col("mask")).alias("s"), A.masked_sum(F.transform(column, lambda x: x * x), F.col("mask")).alias("q"))
-    t = per.agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    mean = F.col("s") / (F.col("k") + A.EPS)
-    var = (F.col("q") - 2 * mean * F.col("s") + mean * mean * F.col("k")) / (F.col("k") + A.EPS)
-    return t.select(mean.alias("w_mean"), (var * F.col("k") / F.greatest(F.col("k") - 1, F.lit(1.0))).alias("w_var"))
+    """One row: mean and unbiased variance over all tokens of mask 1 of all rows (the mean divides by the count plus 1e-8).
+
+    The tokens are rows inside a task only; what is shuffled are the tasks' central moments, so large means cost no digits.
+    """
+    t = df.select(F.explode(F.arrays_zip(F.col(column).alias("x"), F.col("mask").alias("m"))).alias("t")).filter("t.m > 0").select("t.x")
+    t = t.agg(F.count("x").cast("double").alias("k"), F.avg("x").alias("a"), F.var_pop("x").alias("v"))
+    k = F.col("k")
+    mean = F.coalesce(F.col("a") * k / (k + A.EPS), F.lit(0.0))
+    about = (F.coalesce("v", F.lit(0.0)) + (F.col("a") - mean) * (F.col("a") - mean)) * k / (k + A.EPS)
+    return t.select(mean.alias("w_mean"), F.coalesce(about * k / F.greatest(k - 1, F.lit(1.0)), F.lit(0.0)).alias("w_var"))
 
 
 def whiten(df: DataFrame, column: str, masked: bool = True) -> DataFrame:
@@ -204,10 +209,19 @@ def advantages(name: str, df: DataFrame, **options) -> DataFrame:
 def running_gate(df: DataFrame, order: str, values: list[str], window: int, threshold: float) -> DataFrame:
     """``df`` with ``open``: true from the first row on at which the means of the last ``window`` rows of all values reach the threshold.
 
-    One row per step, so the history is short; it is ordered as a whole.
+    Rows are numbered and cut into blocks, each with the last rows of the block before it, so no task holds the whole
+    history; the latch is the least open row.
     """
-    w = Window.orderBy(order).rowsBetween(-(window - 1), 0)
+    from .batch import INDEX, with_index
+
+    block = max(window, 4096)
+    d = staged(with_index(df, order), "history")
+    b = F.floor(F.col(INDEX) / block)
+    again = F.when(F.col(INDEX) % block >= block - (window - 1), F.array(b, b + 1)).otherwise(F.array(b))
+    x = d.select(INDEX, *values, F.explode(again).alias("__b"))
+    w = Window.partitionBy("__b").orderBy(INDEX).rowsBetween(-(window - 1), 0)
     ok = F.count("*").over(w) >= window
     for v in values:
         ok = ok & (F.avg(v).over(w) >= threshold)
-    return df.withColumn("open", F.max(F.coalesce(ok, F.lit(False))).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    first = x.select(INDEX, "__b", ok.alias("ok")).filter((F.col("__b") == b) & F.col("ok")).agg(F.min(INDEX).alias("__first"))
+    return d.join(F.broadcast(first)).withColumn("open", F.coalesce(F.col(INDEX) >= F.col("__first"), F.lit(False))).drop(INDEX, "__first")  # one row

@@ -31,113 +31,114 @@ def rollouts(spark, sf: str) -> DataFrame:
     return g.select("seq", (F.col("seq") % GROUPS).alias("uid"), *[F.transform("t", A.field(k)).alias(n) for n, k in names.items()])
 
 
-def summed(df: DataFrame, column: str = "advantages") -> DataFrame:
-    return df.select("seq", r6(A.total(F.col(column))).alias("total"))
+def by_token(df: DataFrame, column: str = "advantages") -> DataFrame:
+    """One row per token: seq, pos and the array's value there."""
+    return df.select("seq", F.posexplode(column).alias("pos", "x")).select("seq", F.col("pos").cast("long").alias("pos"), r6("x").alias("value"))
 
 
 def _plain(value: str, more: str = "") -> str:
-    return f"with {TOK}, {SEQ}, {GRP}{more} select seq, round(({value}) * len, 6) + 0.0 as total from seq join grp using (uid)"
+    return f"with {TOK}, {SEQ}, {GRP}{more} select tok.seq, pos, round(({value}) * m, 6) + 0.0 as value from tok join seq using (seq, uid) join grp using (uid)"
 
 
 def _whitened(value: str, more: str = "") -> str:
     return f"""with {TOK}, {SEQ}, {GRP}{more}, x as (select seq, len, ({value}) as x from seq join grp using (uid)), w as (select sum(x * len) / (sum(len) + 1e-8) as mu, sum(len) as k from x),
-z as (select sum((x - mu) * (x - mu) * len) / (max(k) + 1e-8) * max(k) / greatest(max(k) - 1, 1) as var from x, w) select seq, round((x - mu) / sqrt(var + 1e-8) * len, 6) + 0.0 as total from x, w, z"""
+z as (select sum((x - mu) * (x - mu) * len) / (max(k) + 1e-8) * max(k) / greatest(max(k) - 1, 1) as var from x, w) select tok.seq, pos, round((x - mu) / sqrt(var + 1e-8) * m, 6) + 0.0 as value from tok join x using (seq), w, z"""
 
 
 @query(_plain("(score - mu) / (sd + 1e-6)"))
 def grpo(spark, sf):
-    return summed(adv.grpo(rollouts(spark, sf)))
+    return by_token(adv.grpo(rollouts(spark, sf)))
 
 
 @query(_plain("score - mu"))
 def grpo_unscaled(spark, sf):
-    return summed(adv.grpo(rollouts(spark, sf), by_std=False))
+    return by_token(adv.grpo(rollouts(spark, sf), by_std=False))
 
 
 @query(_plain("(score - mu) / (case when n = 1 then 1 else sqrt(greatest(sd * sd, 1e-6)) end + 1e-6)"))
 def grpo_vectorized(spark, sf):
-    return summed(adv.grpo(rollouts(spark, sf), floor=True))
+    return by_token(adv.grpo(rollouts(spark, sf), floor=True))
 
 
 @query(_whitened("(score - mu) / (sd + 1e-6) + 0.5 * (size - mu2) / (sd2 + 1e-6)", ", g2 as (select uid as uid2, case when count(*) = 1 then 0 else avg(size) end as mu2, case when count(*) = 1 then 1 else stddev_samp(size) end as sd2 from seq group by uid)").replace("from seq join grp using (uid))", "from seq join grp using (uid) join g2 on uid2 = uid)"))
 def gdpo(spark, sf):
     d = rollouts(spark, sf).withColumn("reward", A.total(F.col("rewards"))).withColumn("length", F.size("rewards").cast("double"))
-    return summed(adv.gdpo(d, {"reward": 1.0, "length": 0.5}))
+    return by_token(adv.gdpo(d, {"reward": 1.0, "length": 0.5}))
 
 
 @query(f"""with {TOK}, {SEQ}, r as (select *, row_number() over (partition by uid order by score desc, seq) as k, lead(score) over (partition by uid order by score desc, seq) as nxt, stddev_samp(score) over (partition by uid) as sd from seq)
-select seq, round(case when k = 1 then (score - nxt) / (sd + 1e-6) * len else 0 end, 6) + 0.0 as total from r""")
+select tok.seq, pos, round(case when k = 1 then (score - nxt) / (sd + 1e-6) * m else 0 end, 6) + 0.0 as value from tok join r using (seq)""")
 def pass_k(spark, sf):
-    return summed(adv.pass_k(rollouts(spark, sf), "seq"))
+    return by_token(adv.pass_k(rollouts(spark, sf), "seq"))
 
 
 @query(_whitened("score - mu"))
 def reinforce_baseline(spark, sf):
-    return summed(adv.baseline(rollouts(spark, sf)))
+    return by_token(adv.baseline(rollouts(spark, sf)))
 
 
 @query(_plain("case when n > 1 then (score - mu) * n / (n - 1) else score end"))
 def rloo(spark, sf):
-    return summed(adv.rloo(rollouts(spark, sf)))
+    return by_token(adv.rloo(rollouts(spark, sf)))
 
 
 @query(_plain("case when n > 1 then (n * score - mu * n) / (n - 1) else 0 end"))
 def rloo_vectorized(spark, sf):
-    return summed(adv.rloo_vectorized(rollouts(spark, sf)))
+    return by_token(adv.rloo_vectorized(rollouts(spark, sf)))
 
 
 @query(_plain("score - base", ", g2 as (select uid as u2, case when count(*) = 1 then 0 else sum(len * score) / sum(len) end as base from seq group by uid)").replace("join grp using (uid)", "join grp using (uid) join g2 on u2 = uid"))
 def opo(spark, sf):
-    return summed(adv.opo(rollouts(spark, sf)))
+    return by_token(adv.opo(rollouts(spark, sf)))
 
 
 @query(_plain("alpha * (score - mu)", ", al as (select count(*) / greatest(sum((score <> 0)::int), 1)::double as alpha from seq)").replace("join grp using (uid)", "join grp using (uid) cross join al"))
 def gpg(spark, sf):
-    return summed(adv.gpg(rollouts(spark, sf)))
+    return by_token(adv.gpg(rollouts(spark, sf)))
 
 
 @query(f"""with recursive {TOK}, n as (select seq, max(pos) as last from tok group by seq), g as (select t.seq, t.pos, t.m, t.r as g from tok t join n on n.seq = t.seq and n.last = t.pos
 union all select t.seq, t.pos, t.m, t.r + 0.9 * g.g * g.m from g join tok t on t.seq = g.seq and t.pos = g.pos - 1), w as (select sum(g * m) / (sum(m) + 1e-8) as mu, sum(m) as k from g),
-v as (select sum((g - mu) * (g - mu) * m) / (max(k) + 1e-8) * max(k) / (max(k) - 1) as var from g, w) select seq, round(sum((g - mu) / sqrt(var + 1e-8) * m), 6) + 0.0 as total from g, w, v group by seq""")
+v as (select sum((g - mu) * (g - mu) * m) / (max(k) + 1e-8) * max(k) / (max(k) - 1) as var from g, w) select seq, pos, round((g - mu) / sqrt(var + 1e-8) * m, 6) + 0.0 as value from g, w, v""")
 def reinforce(spark, sf):
-    return summed(adv.reinforce(rollouts(spark, sf), 0.9))
+    return by_token(adv.reinforce(rollouts(spark, sf), 0.9))
 
 
-@query(f"with {TOK}, t as (select seq, m, sum(r * m) over (partition by seq order by pos desc) as g from tok) select seq, round(sum(g - 0.5 * m), 6) + 0.0 as total from t group by seq")
+@query(f"with {TOK}, t as (select seq, pos, m, sum(r * m) over (partition by seq order by pos desc) as g from tok) select seq, pos, round(g - 0.5 * m, 6) + 0.0 as value from t")
 def remax(spark, sf):
-    return summed(adv.remax(rollouts(spark, sf).withColumn("baseline", F.lit(0.5))))
+    return by_token(adv.remax(rollouts(spark, sf).withColumn("baseline", F.lit(0.5))))
 
 
 @query(f"""with recursive {TOK}, n as (select seq, max(pos) as last from tok group by seq), g as (
 select t.seq, t.pos, t.m, (t.r - t.v) * t.m as adv, t.v * t.m as nextv from tok t join n on n.seq = t.seq and n.last = t.pos
 union all select t.seq, t.pos, t.m, (t.r + 0.99 * g.nextv - t.v + 0.99 * 0.95 * g.adv) * t.m + (1 - t.m) * g.adv, t.v * t.m + (1 - t.m) * g.nextv from g join tok t on t.seq = g.seq and t.pos = g.pos - 1),
 w as (select sum(adv * m) / (sum(m) + 1e-8) as mu, sum(m) as k from g), v as (select sum((adv - mu) * (adv - mu) * m) / (max(k) + 1e-8) * max(k) / (max(k) - 1) as var from g, w)
-select seq, round(sum((adv - mu) / sqrt(var + 1e-8)), 6) + 0.0 as total from g, w, v group by seq""")
+select seq, pos, round((adv - mu) / sqrt(var + 1e-8), 6) + 0.0 as value from g, w, v""")
 def gae(spark, sf):
-    return summed(adv.gae(rollouts(spark, sf), 0.99, 0.95))
+    return by_token(adv.gae(rollouts(spark, sf), 0.99, 0.95))
 
 
 @query(f"""with {TOK}, {SEQ}, t as (select tok.*, sum(r * m) over (partition by seq order by pos desc) as g, sum((1 - 2 * exp(old) + s2) * m) over (partition by seq order by pos) as w from tok),
 b as (select uid, pos, sum(g * w * m) / (sum(w * m) + 1e-8) as b from t group by 1, 2), n as (select uid, count(*) as n, max(len) as l1 from seq group by 1),
 l as (select seq.uid, sum((len = l1)::int) as top, max(case when len < l1 then len end) as l2 from seq join n on n.uid = seq.uid group by 1)
-select t.seq, round(sum((t.g - case when n.n = 1 then 0 when seq.len = n.l1 and l.top = 1 and t.pos >= l.l2 then 0 else b.b end) * t.m), 6) + 0.0 as total
-from t join seq on seq.seq = t.seq join b on b.uid = t.uid and b.pos = t.pos join n on n.uid = t.uid join l on l.uid = t.uid group by t.seq""")
+select t.seq, t.pos, round((t.g - case when n.n = 1 then 0 when seq.len = n.l1 and l.top = 1 and t.pos >= l.l2 then 0 else b.b end) * t.m, 6) + 0.0 as value
+from t join seq on seq.seq = t.seq join b on b.uid = t.uid and b.pos = t.pos join n on n.uid = t.uid join l on l.uid = t.uid""")
 def optimal_token_baseline(spark, sf):
-    return summed(adv.token_baseline(rollouts(spark, sf), "seq"))
+    return by_token(adv.token_baseline(rollouts(spark, sf), "seq"))
 
 
 @query(f"""with {TOK}, t as (select *, row_number() over (partition by seq order by pos) - 1 as q, sum(r) over (partition by seq order by pos desc) as g, sum(1 - 2 * exp(old) + s2) over (partition by seq order by pos) as w from tok where m > 0), n as (select uid, seq, count(*) as len from t group by 1, 2),
 b as (select uid, q, sum(g * w) / (sum(w) + 1e-8) as b from t group by 1, 2), u as (select uid, count(*) as n, max(len) as l1 from n group by 1), l as (select n.uid, sum((len = l1)::int) as top, max(case when len < l1 then len end) as l2 from n join u on u.uid = n.uid group by 1),
-a as (select t.seq, sum(t.g - case when u.n = 1 then 0 when n.len = u.l1 and l.top = 1 and t.q >= l.l2 then 0 else b.b end) as x from t join n on n.seq = t.seq join b on b.uid = t.uid and b.q = t.q join u on u.uid = t.uid join l on l.uid = t.uid group by 1)
-select s.seq, round(coalesce(a.x, 0), 6) + 0.0 as total from (select distinct seq from tok) s left join a on a.seq = s.seq""")
+a as (select t.seq, t.pos, t.g - case when u.n = 1 then 0 when n.len = u.l1 and l.top = 1 and t.q >= l.l2 then 0 else b.b end as x from t join n on n.seq = t.seq join b on b.uid = t.uid and b.q = t.q join u on u.uid = t.uid join l on l.uid = t.uid)
+select s.seq, s.pos, round(coalesce(a.x, 0), 6) + 0.0 as value from tok s left join a on a.seq = s.seq and a.pos = s.pos""")
 def multi_turn_token_baseline(spark, sf):
-    return summed(adv.token_baseline_turns(rollouts(spark, sf), "seq"))
+    return by_token(adv.token_baseline_turns(rollouts(spark, sf), "seq"))
 
 
-@query(f"with {TOK} select seq, round(sum(r - 0.05 * (lp - old) * m), 6) + 0.0 as total, round(sum((lp - old) * m) / (sum(m) + 1e-8), 6) + 0.0 as kl from tok group by seq")
+@query(f"with {TOK} select seq, pos, round(r - 0.05 * (lp - old) * m, 6) + 0.0 as value, round(sum((lp - old) * m) over s / (sum(m) over s + 1e-8), 6) + 0.0 as kl from tok window s as (partition by seq)")
 def penalised_rewards(spark, sf):
     d = losses.penalised_rewards(rollouts(spark, sf).withColumn("scores", F.col("rewards")), "scores", "old_logp", 0.05)
-    return d.select("seq", r6(A.total(F.col("rewards"))).alias("total"), r6("kl").alias("kl"))
+    return d.select("seq", "kl", F.posexplode("rewards").alias("pos", "x")).select("seq", F.col("pos").cast("long").alias("pos"), r6("x").alias("value"), r6("kl").alias("kl"))
 
 
 @query("select event_type as variant, count(*) as rows, round(avg(value), 6) + 0.0 as value_mean, round(stddev_pop(value), 6) + 0.0 as value_std, count(distinct user_id) as paths from events group by 1")
@@ -272,21 +273,21 @@ def mixed_policy_loss(spark, sf):
 # corrections and metrics ----------------------------------------------------------------------------------------------
 
 
-@query(f"with {TOK}, t as (select seq, m, least(exp(greatest(least(lp - old, 20), -20)) * m, 2.0) as w from tok), n as (select sum(w * m) / (sum(m) + 1e-8) as mu from t) select seq, round(sum(w / mu), 6) + 0.0 as total from t, n group by seq")
+@query(f"with {TOK}, t as (select seq, pos, m, least(exp(greatest(least(lp - old, 20), -20)) * m, 2.0) as w from tok), n as (select sum(w * m) / (sum(m) + 1e-8) as mu from t) select seq, pos, round(w / mu, 6) + 0.0 as value from t, n")
 def importance_weights(spark, sf):
-    return summed(losses.importance_weights(rollouts(spark, sf), "token", 2.0, normalise=True), "weights")
+    return by_token(losses.importance_weights(rollouts(spark, sf), "token", 2.0, normalise=True), "weights")
 
 
-@query(f"with {TOK}, s as (select seq, exp(greatest(least(sum((lp - old) * m), 20), -20)) as w, sum(m) as k, count(*) - sum(m) as z from tok group by seq) select seq, round(least(w, 2.0) * k, 6) + 0.0 as total from s")
+@query(f"with {TOK}, s as (select seq, exp(greatest(least(sum((lp - old) * m), 20), -20)) as w from tok group by seq) select tok.seq, pos, round(least(w * m, 2.0), 6) + 0.0 as value from tok join s using (seq)")
 def sequence_importance_weights(spark, sf):
-    return summed(losses.importance_weights(rollouts(spark, sf), "sequence", 2.0), "weights")
+    return by_token(losses.importance_weights(rollouts(spark, sf), "sequence", 2.0), "weights")
 
 
 @query(f"""with {TOK}, s as (select seq, sum((exp(lp - old) - 1 - (lp - old)) * m) / (sum(m) + 1e-8) as k3 from tok group by seq),
-k as (select tok.seq, m, case when -(lp - old) >= ln(0.7) and -(lp - old) <= ln(1.4) and k3 <= 0.05 then m else 0 end as kept from tok join s on s.seq = tok.seq) select seq, sum(kept)::double as total from k group by seq""")
+k as (select tok.seq, pos, m, case when -(lp - old) >= ln(0.7) and -(lp - old) <= ln(1.4) and k3 <= 0.05 then m else 0 end as kept from tok join s on s.seq = tok.seq) select seq, pos, kept::double as value from k""")
 def rejection_masks(spark, sf):
     d = losses.rejection_mask(rollouts(spark, sf), ["token_k1", "seq_mean_k3"], "0.7_1.4,0.05")
-    return d.select("seq", A.total(F.col("kept")).alias("total"))
+    return by_token(d, "kept")
 
 
 @query()
