@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, jaccard, normalized, sequence_ratio
 from ..storage import staged
+from .skew import spread_join
 
 
 def exact_groups(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -26,7 +27,7 @@ def duplicate_counts(df: DataFrame, text: Column) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key. An aggregation, so the rows are combined before the shuffle."""
+    """The first row of each key. An aggregation, so the rows are combined before the shuffle. Every column takes part: select those that are wanted first."""
     rest = [c for c in df.columns if c not in keys]
     best = F.min(F.struct(order, *[c for c in rest if c != order]))
     return df.groupBy(*keys).agg(best.alias("__r")).select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns])
@@ -39,67 +40,102 @@ def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return d.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns], "first_order")
 
 
-def token_pairs(df: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:
-    """(a, b, jaccard), a < b, of all keys whose token sets have at least this Jaccard similarity.
+#: Sets with one token from which on its rows in a join are cut into blocks of as many.
+BLOCK = 10_000
 
-    Equal sets are one set. A set's tokens are ordered from the rarest on; two sets of similarity t share one of
-    their first n - ceil(t n) + 1 tokens, so only these are joined, within the lengths that t allows, and the
-    candidates are checked. No cap on tokens or candidates. Empty sets match nothing; keys must be distinct.
+
+def token_sets(df: DataFrame, key: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """Members (key, rep, copies) and classes (rep, ts): keys of equal token sets are one class, named by its smallest key. Empty sets are in none."""
+    d = df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(tokens)).alias("ts")).filter("key is not null and size(ts) > 0")
+    d = staged(d.withColumn("sid", F.sha2(F.array_join("ts", "\x1f"), 256)), "token_sets")
+    classes = staged(d.groupBy("sid").agg(F.min("key").alias("rep"), (F.countDistinct("key") - 1).alias("copies"), F.first("ts").alias("ts")), "token_classes")
+    members = spread_join(d.select("key", "sid").distinct(), classes.select("sid", "rep", "copies"), ["sid"], by=["key"])
+    return members.select("key", "rep", "copies"), classes.select("rep", "ts")
+
+
+def token_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard), a < b, of all classes (rep, ts) whose token sets have at least this Jaccard similarity.
+
+    A set's tokens are ordered from the rarest on; two sets of similarity t share one of their first n - ceil(t n) + 1
+    tokens, so only these are joined, within the lengths that t allows, and the candidates are checked. Where a token
+    has very many sets, they are cut into blocks of which every two meet, so no task has all of them. No cap on tokens
+    or candidates.
     """
-    d = staged(df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(tokens)).alias("ts")).filter(F.size("ts") > 0).withColumn("sid", F.xxhash64("ts")), "token_sets")
-    sets = d.groupBy("sid").agg(F.first("ts").alias("ts"))
-    freq = sets.select("sid", F.explode("ts").alias("t"))
-    df_ = freq.groupBy("t").agg(F.count("*").alias("n"))
-    ranked = freq.join(df_, "t").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
+    freq = classes.select("rep", F.explode("ts").alias("t"))
+    counts = freq.groupBy("t").agg(F.count("*").alias("n"))
+    ranked = spread_join(freq, counts.withColumn("rows", F.col("n")), ["t"], by=["rep"], count="rows").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
     size = F.size("o")
     first = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    pre = ranked.select("sid", size.alias("len"), F.explode(F.slice("o", F.lit(1), first)).alias("x")).select("sid", "len", F.col("x.t").alias("t"))
+    pre = ranked.select("rep", size.alias("len"), F.explode(F.slice("o", F.lit(1), first)).alias("x")).select("rep", "len", F.col("x.t").alias("t"), F.ceil(F.col("x.n") / BLOCK).cast("int").alias("blocks"))
     pre = staged(pre, "prefixes")
-    a, b = (pre.select("t", F.col("sid").alias(f"s{i}"), F.col("len").alias(f"l{i}")) for i in (1, 2))
-    cand = a.join(b, "t").filter((F.col("s1") < F.col("s2")) & (F.col("l1") >= F.col("l2") * threshold - 1e-9) & (F.col("l2") >= F.col("l1") * threshold - 1e-9)).select("s1", "s2").distinct()
-    x = cand.join(sets.select(F.col("sid").alias("s1"), F.col("ts").alias("t1")), "s1").join(sets.select(F.col("sid").alias("s2"), F.col("ts").alias("t2")), "s2")
-    sim = x.select("s1", "s2", jaccard(F.col("t1"), F.col("t2")).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-12)
-    same = sets.select(F.col("sid").alias("s1"), F.col("sid").alias("s2"), F.lit(1.0).alias("jaccard"))
-    links = sim.unionByName(sim.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), "jaccard")).unionByName(same)
-    k1, k2 = d.select(F.col("sid").alias("s1"), F.col("key").alias("a")), d.select(F.col("sid").alias("s2"), F.col("key").alias("b"))
-    return links.join(k1, "s1").join(k2, "s2").filter("a < b").select("a", "b", "jaccard")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    x = pre.select("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("a"), F.col("len").alias("l1"))
+    y = pre.select("t", own.alias("block"), F.col("rep").alias("b"), F.col("len").alias("l2"))
+    cand = x.join(y, ["t", "block"]).filter((F.col("a") < F.col("b")) & (F.col("l1") >= F.col("l2") * threshold - 1e-9) & (F.col("l2") >= F.col("l1") * threshold - 1e-9)).select("a", "b").distinct()
+    z = cand.join(classes.select(F.col("rep").alias("a"), F.col("ts").alias("t1")), "a").join(classes.select(F.col("rep").alias("b"), F.col("ts").alias("t2")), "b")
+    return z.select("a", "b", jaccard(F.col("t1"), F.col("t2")).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-12)
+
+
+def token_pairs(df: DataFrame, key: str, tokens: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Members (key, rep, copies, links) with the number of linked classes, and the links (a, b, jaccard) between classes. Copies aren't made into pairs."""
+    members, classes = token_sets(df, key, tokens)
+    links = staged(token_links(classes, threshold), "token_links")
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    return spread_join(members, ends, ["rep"], "left", by=["key"]).withColumn("links", F.coalesce("links", F.lit(0))), links
+
+
+def expanded(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, jaccard), a < b, of all keys of one class or of linked classes: on request, since copies make it quadratic."""
+    m = members.select("key", "rep")
+    same = m.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")).unionByName(same)
+    x, y = m.select(F.col("rep").alias("a"), F.col("key").alias("ka")), m.select(F.col("rep").alias("b"), F.col("key").alias("kb"))
+    return both.join(x, "a").join(y, "b").filter("ka < kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), "jaccard")
 
 
-def near_pairs(df: DataFrame, key: str, text: str, title: str, threshold: float = 0.72) -> DataFrame:
-    """Pairs (a, b, jaccard, ratio, exact) of statements: tokens of statement and title alike, with the sequence ratio where it reaches 0.9."""
-    p = token_pairs(df.select(key, F.concat_ws(" ", text, title).alias("__t")), key, content_tokens("__t"), threshold)
-    t = df.select(F.col(key), normalized(text).alias("__n"))
-    j = p.join(t.select(F.col(key).alias("a"), F.col("__n").alias("x")), "a").join(t.select(F.col(key).alias("b"), F.col("__n").alias("y")), "b")
-    return j.select("a", "b", "jaccard", sequence_ratio("x", "y").alias("ratio"), (F.col("x") == F.col("y")).alias("exact"))
+def near_pairs(df: DataFrame, key: str, text: str, title: str, threshold: float = 0.72) -> tuple[DataFrame, DataFrame]:
+    """Members as of ``token_pairs`` over statement and title, and the links with ``ratio``, the sequence ratio of the classes' first statements where it reaches 0.9.
+
+    Keys must be distinct.
+    """
+    members, links = token_pairs(df.select(key, F.concat_ws(" ", text, title).alias("__t")), key, content_tokens("__t"), threshold)
+    t = df.select(F.col(key).alias("a"), normalized(text).alias("x"))
+    j = links.join(t, "a").join(t.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    lx, ly = F.length("x"), F.length("y")
+    may = 2.0 * F.least(lx, ly) >= 0.9 * (lx + ly)  # the ratio's bound by the lengths; only the rest goes to Python
+    ratio = F.coalesce(sequence_ratio(F.when(may, F.col("x")), F.when(may, F.col("y"))), F.lit(0.0))
+    return members, j.select("a", "b", "jaccard", F.when(may, ratio).otherwise(0.0).alias("ratio"))
 
 
-def greedy_keep(keys: DataFrame, conflicts: DataFrame, key: str, rounds: int = 50) -> DataFrame:
+def greedy_keep(keys: DataFrame, conflicts: DataFrame, key: str) -> DataFrame:
     """(key, kept): keys in ascending order are kept unless they conflict with a smaller kept key. ``conflicts``: a < b.
 
     Each round keeps the keys that have no undecided smaller neighbour and no kept one, and drops their larger
-    neighbours; the number of rounds is the longest decreasing chain of conflicts.
+    neighbours; the number of rounds is the longest decreasing chain of conflicts. Each decides a key at least.
     """
     c = staged(conflicts.select("a", "b").distinct(), "conflicts")
-    dropped, kept, open_ = None, None, staged(c.select(F.col("a").alias("k")).union(c.select(F.col("b"))).distinct(), "open")
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
-        live = c.join(open_.withColumnRenamed("k", "a"), "a", "left_semi").join(open_.withColumnRenamed("k", "b"), "b", "left_semi")
+    dropped, open_ = None, staged(c.select(F.col("a").alias("k")).union(c.select(F.col("b"))).distinct(), "open")
+    live = c
+    while not open_.isEmpty():
+        live = staged(live.join(open_.withColumnRenamed("k", "a"), "a", "left_semi").join(open_.withColumnRenamed("k", "b"), "b", "left_semi"), "live")
         win = staged(open_.join(live.select(F.col("b").alias("k")).distinct(), "k", "left_anti"), "win")
-        lose = staged(c.join(win.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct().join(open_, "k", "left_semi"), "lose")
-        kept = win if kept is None else kept.union(win)
+        lose = staged(live.join(win.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct(), "lose")
         dropped = lose if dropped is None else dropped.union(lose)
         open_ = staged(open_.join(win, "k", "left_anti").join(lose, "k", "left_anti"), "open")
-    else:
-        raise RuntimeError("conflict chains are longer than the rounds allowed")
     if dropped is None:
         return keys.select(key, F.lit(True).alias("kept"))
     return keys.select(key).join(dropped.select(F.col("k").alias(key), F.lit(True).alias("__d")), key, "left").select(key, F.col("__d").isNull().alias("kept"))
 
 
-def promote(candidates: DataFrame, conflicts: DataFrame, key: str, group: str, cap: int) -> DataFrame:
-    """Keys that are promoted: kept by ``greedy_keep``, then the first ``cap`` of each group in key order."""
-    good = candidates.join(greedy_keep(candidates, conflicts, key).filter("kept"), key).drop("kept")
+def promote(candidates: DataFrame, members: DataFrame, links: DataFrame, key: str, group: str, cap: int) -> DataFrame:
+    """Keys that are promoted in ascending order: none in a class or in linked classes of a promoted smaller key, at most ``cap`` of each group.
+
+    Of a class only the first key can be promoted, since whatever excludes it excludes the others: the order is that of the classes'
+    first keys. Keys without tokens are in no class and conflict with nothing.
+    """
+    m = members.select(F.col("key").alias(key), "rep")
+    c = candidates.join(m, key, "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col(key))).drop("rep")
+    good = c.join(greedy_keep(c, links, key).filter("kept"), key).drop("kept")
     return good.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(key))).filter(F.col("position") <= cap)
 
 
@@ -122,9 +158,19 @@ def diverse(pdf: pd.DataFrame, count: int = 8, weight: float = 0.62) -> pd.DataF
     return pd.DataFrame({"id": ids, "pick": range(1, len(ids) + 1)}, dtype="int64")
 
 
+#: Groups of up to so many rows are gathered; larger ones are gone through round by round.
+GATHERED = 1000
+
+
 def diverse_top(df: DataFrame, group: str, id_: str, score: str, tokens: Column, count: int = 8) -> DataFrame:
-    """(group, id, pick) of ``count`` diverse rows of each group, chosen among all its rows; a group is gathered in one task."""
+    """(group, id, pick) of ``count`` diverse rows of each group, chosen among all its rows, as by ``diverse``; ids are distinct in a group.
+
+    A group of more than GATHERED rows is in no single task: each round is an aggregation for the best row, and the
+    largest similarity to the chosen rows is carried with each row. Both ways choose the same rows.
+    """
     d = df.select(F.col(group).alias("g"), F.col(id_).cast("long").alias("id"), F.col(score).cast("double").alias("score"), tokens.alias("tokens"))
+    d = staged(d, "candidates")
+    large = staged(d.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > GATHERED).select("g"), "large")
     kind = d.schema["g"].dataType.simpleString()
 
     def run(key, pdf):
@@ -132,7 +178,24 @@ def diverse_top(df: DataFrame, group: str, id_: str, score: str, tokens: Column,
         out.insert(0, "g", key[0])
         return out
 
-    return d.groupBy("g").applyInPandas(run, f"g {kind}, id long, pick long").withColumnRenamed("g", group)
+    if large.isEmpty():
+        return d.groupBy("g").applyInPandas(run, f"g {kind}, id long, pick long").withColumnRenamed("g", group)
+    hot = d.join(large, F.col("g").eqNullSafe(large["g"]), "left_semi")
+    cold = d.join(large, F.col("g").eqNullSafe(large["g"]), "left_anti")
+    out = cold.groupBy("g").applyInPandas(run, f"g {kind}, id long, pick long")
+    name = F.to_json(F.struct("g"))  # a key that isn't null
+    live = staged(hot.withColumn("gk", name).withColumn("near", F.lit(0.0)).withColumn("picked", F.lit(False)), "round")
+    weight = 0.62
+    for k in range(1, count + 1):
+        value = F.col("score") if k == 1 else weight * F.col("score") + (1 - weight) * (1 - F.col("near"))
+        best = live.filter("not picked").groupBy("g", "gk").agg(F.max(F.struct(value.alias("v"), "score", (-F.col("id")).alias("i"), "tokens")).alias("x"))
+        best = staged(best.select(F.col("g").alias("bg"), "gk", (-F.col("x.i")).alias("bid"), F.col("x.tokens").alias("btokens")), "best")
+        out = out.unionByName(best.select(F.col("bg").alias("g"), F.col("bid").alias("id"), F.lit(k).cast("long").alias("pick")))
+        if k < count:
+            j = spread_join(live, best, ["gk"], "left", by=["id"])
+            near = F.greatest("near", F.coalesce(jaccard(F.col("tokens"), F.col("btokens")), F.lit(0.0)))
+            live = staged(j.select("g", "gk", "id", "score", "tokens", near.alias("near"), (F.col("picked") | F.coalesce(F.col("id") == F.col("bid"), F.lit(False))).alias("picked")), "round")
+    return out.withColumnRenamed("g", group)
 
 
 def pairwise_max(sets: Column) -> Column:

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.hashing import seeded
+from ..storage import staged
+from .batch import INDEX, with_index
+from .ordered import hash_rank
 
 BOUND = 20.0
 
@@ -128,10 +132,10 @@ def geometric_mean_loss(df: DataFrame, low: float = 0.4, high: float = 0.4, out:
 
 
 def covariances(df: DataFrame, key: str) -> DataFrame:
-    """(key, pos, cov, ...) of every token of mask 1: centred advantage times centred log-probability."""
+    """(key, pos, cov, ...) of every token of mask 1: centred advantage times centred log-probability. Written once, since it is ranked and summed."""
     t = df.select(key, F.posexplode(_tokens()).alias("pos", "t")).filter("t.m > 0").select(key, "pos", "t.*")
     m = F.broadcast(t.agg(F.avg("a").alias("ma"), F.avg("lp").alias("ml"), F.count("*").alias("valid")))  # one row
-    return t.join(m).withColumn("cov", (F.col("a") - F.col("ma")) * (F.col("lp") - F.col("ml"))).drop("ma", "ml")
+    return staged(t.join(m).withColumn("cov", (F.col("a") - F.col("ma")) * (F.col("lp") - F.col("ml"))).drop("ma", "ml"), "covariances")
 
 
 def covariance_clip(df: DataFrame, key: str, share: float = 0.0002, lo: float = 1.0, hi: float = 5.0, low: float = 0.2, high: float = 0.2, seed: str = "clip") -> DataFrame:
@@ -139,14 +143,13 @@ def covariance_clip(df: DataFrame, key: str, share: float = 0.0002, lo: float =
 
     Their number is ``share`` of all tokens, one at least, chosen by hash among the tokens that aren't clipped already.
     """
-    from ..functions.hashing import seeded
-
     c = covariances(df, key)
     r = F.exp(F.col("lp") - F.col("old"))
     one, two = -F.col("a") * r, -F.col("a") * A.clamp(r, 1 - low, 1 + high)
     c = c.withColumn("l", F.greatest(one, two)).withColumn("free", (two <= one) & (F.col("cov") > lo) & (F.col("cov") < hi))
     n = c.agg(F.greatest(F.floor(F.count("*") * share), F.lit(1)).alias("n")).first()["n"]
-    pick = c.filter("free").orderBy(seeded(seed, F.col(key), F.col("pos"))).limit(int(n)).select(key, "pos", F.lit(0.0).alias("corr"))
+    free = c.filter("free").select(key, "pos", seeded(seed, F.col(key), F.col("pos")).alias("h"), F.lit(0).alias("all"))
+    pick = hash_rank(free, ["all"], "h", "rank").filter(F.col("rank") < int(n)).select(key, "pos", F.lit(0.0).alias("corr"))
     return c.join(pick, [key, "pos"], "left").agg((F.sum(F.col("l") * F.coalesce("corr", F.lit(1.0))) / F.count("*")).alias("value"), F.count("corr").alias("clipped"))
 
 
@@ -154,7 +157,10 @@ def covariance_kl(df: DataFrame, key: str, share: float = 0.0002, coef: float =
     """One row (value, penalised): the unclipped loss, plus the absolute log-ratio for the ``share`` of tokens of largest covariance (one at least)."""
     c = covariances(df, key)
     n = c.agg(F.greatest(F.floor(F.count("*") * share), F.lit(1)).alias("n")).first()["n"]
-    top = c.orderBy(F.desc("cov"), key, "pos").limit(int(n)).select(key, "pos", F.lit(1.0).alias("hit"))
+    # a lower bound of the wanted covariances leaves a few per mille more rows than wanted; these are ranked in ranges
+    total = c.count()
+    bound = c.stat.approxQuantile("cov", [max(0.0, 1 - int(n) / total - 0.002)], 0.001)[0] if total else 0.0
+    top = with_index(c.filter(F.col("cov") >= bound).select("cov", key, "pos"), F.desc("cov"), F.col(key), F.col("pos")).filter(F.col(INDEX) < int(n)).select(key, "pos", F.lit(1.0).alias("hit"))
     d = F.col("lp") - F.col("old")
     l = -F.col("a") * F.exp(d) + F.coalesce("hit", F.lit(0.0)) * coef * F.abs(d)
     return c.join(top, [key, "pos"], "left").agg((F.sum(l) / F.count("*")).alias("value"), F.count("hit").alias("penalised"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded, stable_bucket
+from ..storage import staged
 from .ordered import hash_rank, running_before
 
 
@@ -93,16 +94,17 @@ def exact_sample(df: DataFrame, key: str, stratum: Column, cluster: Column, tota
     Raises an error where a stratum's clusters can't be put together to its quota.
     """
     spark = df.sparkSession
-    d = df.select(F.col(key).alias("key"), F.coalesce(stratum, F.lit("")).alias("stratum"), F.coalesce(cluster, F.lit("")).alias("cluster"))
-    counts = {r["stratum"]: r["n"] for r in d.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # one row per stratum
+    d = staged(df.select(F.col(key).alias("key"), F.coalesce(stratum, F.lit("")).alias("stratum"), F.coalesce(cluster, F.lit("")).alias("cluster")), "keys")
+    sizes = staged(d.groupBy("stratum", "cluster").agg(F.count("*").alias("size")), "clusters")
+    counts = {r["stratum"]: r["n"] for r in sizes.groupBy("stratum").agg(F.sum("size").alias("n")).collect()}  # one row per stratum
     quotas = spark.createDataFrame(list(proportional_quotas(counts, min(total, sum(counts.values()))).items()) if counts else [], "stratum string, quota long")
-    c = d.groupBy("stratum", "cluster").agg(F.count("*").alias("size")).join(F.broadcast(quotas), "stratum").withColumn("h", seeded(seed, F.col("stratum"), F.col("cluster")))
-    got = greedy_exact(c, "stratum", "h", "size", "quota")
+    c = sizes.join(F.broadcast(quotas), "stratum").withColumn("h", seeded(seed, F.col("stratum"), F.col("cluster")))
+    got = staged(greedy_exact(c, "stratum", "h", "size", "quota"), "taken")
     filled = quotas.join(got.groupBy("stratum").agg(F.sum("size").alias("got")), "stratum", "left")
     bad = filled.filter(F.coalesce("got", F.lit(0)) != F.col("quota")).limit(5).collect()
     if bad:
         raise ValueError(f"no whole clusters add up to the quota of {[r['stratum'] for r in bad]}")
-    return d.join(got.select("stratum", "cluster"), ["stratum", "cluster"]).select("stratum", "key")
+    return d.join(got.select("stratum", "cluster"), ["stratum", "cluster"], "left_semi").select("stratum", "key")
 
 
 def balanced_reserve(df: DataFrame, kind: str, cluster: str, seed: str, multiple: int = 24) -> DataFrame:
@@ -111,13 +113,14 @@ def balanced_reserve(df: DataFrame, kind: str, cluster: str, seed: str, multiple
     The number kept is the smallest kind's count rounded down. Raises an error where clusters don't add up.
     """
     d = df.withColumn("__k", F.coalesce(kind, F.lit(""))).withColumn("__c", F.coalesce(cluster, F.lit("")))
-    counts = {r["__k"]: r["n"] for r in d.groupBy("__k").agg(F.count("*").alias("n")).collect()}  # one row per kind
+    sizes = staged(d.groupBy("__k", "__c").agg(F.count("*").alias("size")), "clusters")
+    counts = {r["__k"]: r["n"] for r in sizes.groupBy("__k").agg(F.sum("size").alias("n")).collect()}  # one row per kind
     keep = min(counts.values(), default=0) // multiple * multiple
     if counts and not keep:
         raise ValueError("too few rows for one balanced batch")
     quotas = df.sparkSession.createDataFrame([(k, n - keep) for k, n in counts.items() if n > keep], "__k string, quota long")
-    c = d.groupBy("__k", "__c").agg(F.count("*").alias("size")).join(F.broadcast(quotas), "__k").withColumn("h", seeded(seed, F.col("__k"), F.col("__c")))
-    got = greedy_exact(c, "__k", "h", "size", "quota", descending=True)
+    c = sizes.join(F.broadcast(quotas), "__k").withColumn("h", seeded(seed, F.col("__k"), F.col("__c")))
+    got = staged(greedy_exact(c, "__k", "h", "size", "quota", descending=True), "taken")
     for r in quotas.join(got.groupBy("__k").agg(F.sum("size").alias("got")), "__k", "left").collect():
         if r["got"] != r["quota"]:
             raise ValueError(f"no whole clusters add up to the {r['quota']} rows to reserve of {r['__k']}")

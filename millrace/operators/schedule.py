@@ -3,34 +3,45 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded
+from ..storage import staged
+from .batch import with_index
 from .ordered import hash_rank
 
 SYSTEM = "You are a careful assistant that reports on its own changes."
 
 
-def pool_array(spark: SparkSession, pool: DataFrame, fields: list[str], most: int = 10_000) -> Column:
-    """The prompt pool as one array literal. A pool of more than ``most`` rows is an error: a pool is a fixed list, not data."""
-    rows = pool.select(*fields).orderBy(*fields).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the prompt pool has more than {most} prompts")
-    return F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rows])
+#: Prompts of the pool that one literal array holds.
+POOL = 10_000
+
+
+def pool_arrays(spark: SparkSession, pool: DataFrame, fields: list[str]) -> Iterator[Column]:
+    """The prompt pool as array literals of up to POOL prompts each; the driver holds one of them at a time."""
+    d = with_index(pool.select(*fields), *fields)
+    for k in range(0, max(1, d.count()), POOL):
+        rows = d.filter((F.col("row_index") >= k) & (F.col("row_index") < k + POOL)).orderBy("row_index").collect()
+        yield F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rows])
 
 
 def prompts_per_item(items: DataFrame, pool: DataFrame, index: str, k: int = 4, seed: str = "0") -> DataFrame:
     """Each item with ``k`` prompts of its own: the first in the hash order of (seed, index, prompt type). No join, no shuffle.
 
-    Adds query_index (from 0), query_type, meta_query and family.
+    Adds query_index (from 0), query_type, meta_query and family. A pool of any size will do: its parts are gone through
+    one after the other, and of each only an item's first ``k`` so far are kept.
     """
     fields = ["query_type", "prompt", "family"]
-    arr = pool_array(items.sparkSession, pool, fields)
-    ranked = F.array_sort(F.transform(arr, lambda p: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(index).cast("string"), p["query_type"])).alias("h"), *[p[f].alias(f) for f in fields])))
-    d = items.withColumn("__p", F.slice(ranked, 1, k)).select("*", F.posexplode("__p").alias("query_index", "__q")).drop("__p")
+    d, best = items, None
+    for arr in pool_arrays(items.sparkSession, pool, fields):
+        ranked = F.transform(arr, lambda p: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(index).cast("string"), p["query_type"])).alias("h"), *[p[f].alias(f) for f in fields]))
+        d = d.withColumn("__p", F.slice(F.array_sort(ranked if best is None else F.concat(best, ranked)), 1, k))
+        best = F.col("__p")
+    d = d.select("*", F.posexplode("__p").alias("query_index", "__q")).drop("__p")
     return d.withColumns({"query_index": F.col("query_index").cast("long"), "query_type": F.col("__q.query_type"), "meta_query": F.col("__q.prompt"), "meta_query_family": F.col("__q.family")}).drop("__q")
 
 
@@ -87,37 +98,43 @@ def positives(rows: DataFrame, kind: str, index: str, epochs: int, per_kind: int
 def negatives(rows: DataFrame, pos: DataFrame, kind: str, index: str, epochs: int, per_step: int, per_kind: int, seed: str) -> DataFrame:
     """(epoch, step, kind, place, index): ``per_step`` rows of each kind a step from a pool in rotation, none that is a positive of the step.
 
-    The pool is a shuffled circle; a step takes the next rows and passes over those that it uses already. Which it
-    passes over depends on all steps before, so an epoch and kind is one task over its row numbers; epochs run side by
-    side.
+    The pool is a shuffled circle; a step takes the next rows and passes over its own positives. A row at place p of the circle can be
+    passed over by its own step s only, if p lies about per_step * s places on: these few rows, about per_step of each
+    epoch and kind whatever the pool's size, are gone through on the driver; every other row's step follows from
+    its place and the number of rows passed over before it.
     """
-    pool = rows.select(F.col(kind).alias("kind"), F.col(index).cast("long").alias("index")).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    pool = pool.withColumn("h", seeded(seed, F.lit("neg"), F.col("epoch"), F.col("kind"), F.col("index"))).select("epoch", "kind", F.lit(0).alias("step"), F.col("h"), "index")
-    used = pos.select("epoch", "kind", "step", F.lit("").alias("h"), F.col("index").cast("long").alias("index"))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        circle = pdf[pdf.step == 0].sort_values("h")["index"].tolist()
-        steps = pdf[pdf.step > 0].groupby("step")["index"].agg(set)
-        at, out = 0, []
-        for s in sorted(steps.index):
-            blocked, tried, took = set(steps[s]), 0, 0
-            while took < per_step:
-                if tried > 2 * len(circle):
-                    raise ValueError("the pool is too small for the step")
-                c = circle[at % len(circle)]
-                at, tried = at + 1, tried + 1
-                if c not in blocked:
-                    blocked.add(c)
-                    out.append((key[0], s, key[1], took, c))
-                    took += 1
-        return pd.DataFrame(out, columns=["epoch", "step", "kind", "place", "index"])
-
-    return pool.unionByName(used).groupBy("epoch", "kind").applyInPandas(run, "epoch int, step int, kind string, place int, index long")
+    d = rows.select(F.col(kind).alias("kind"), F.col(index).cast("long").alias("index")).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    d = hash_rank(d.withColumn("h", seeded(seed, F.lit("neg"), F.col("epoch"), F.col("kind"), F.col("index"))), ["epoch", "kind"], "h", "p").drop("h")
+    d = d.join(pos.select("epoch", "kind", F.col("index").cast("long").alias("index"), (F.col("step") - 1).alias("own")), ["epoch", "kind", "index"])
+    d = staged(d, "circle")
+    size = {(r["epoch"], r["kind"]): (r["n"], r["s"]) for r in d.groupBy("epoch", "kind").agg(F.count("*").alias("n"), (F.max("own") + 1).alias("s")).collect()}  # one row per epoch and kind
+    if any(n < per_step + min(per_kind, n) for n, _ in size.values()):
+        raise ValueError("the pool is too small for the step")
+    laps = max((-(-(s * per_step) // n) + 1 for n, s in size.values()), default=1)
+    whole = F.broadcast(d.sparkSession.createDataFrame([(e, k, n, s) for (e, k), (n, s) in size.items()], "epoch int, kind string, n long, steps long"))
+    d = d.join(whole, ["epoch", "kind"]).withColumn("look", F.explode(F.sequence(F.lit(0), F.lit(laps - 1)))).withColumn("look", F.col("p") + F.col("look") * F.col("n"))
+    ahead = 8 * per_step
+    while True:
+        near = d.withColumn("ahead", F.col("look") - F.col("own") * per_step).filter((F.col("ahead") >= 0) & (F.col("ahead") < ahead)).select("epoch", "kind", "own", "look", "ahead").collect()
+        passed: dict = {}
+        for r in sorted(near, key=lambda r: (r["epoch"], r["kind"], r["own"], r["look"])):
+            done = passed.setdefault((r["epoch"], r["kind"]), [])
+            start = r["own"] * per_step + len([x for x in done if x[0] < r["own"]])
+            if start <= r["look"] < start + per_step + len([x for x in done if x[0] == r["own"]]):
+                done.append((r["own"], r["look"]))
+        if max(map(len, passed.values()), default=0) + per_step <= ahead:
+            break
+        ahead *= 2
+    spots = F.broadcast(d.sparkSession.createDataFrame([(e, k, sorted(x for _, x in passed.get((e, k), []))) for e, k in size], "epoch int, kind string, passed array<long>"))
+    d = d.join(spots, ["epoch", "kind"]).filter(~F.array_contains("passed", F.col("look")))
+    nth = F.col("look") - F.size(F.filter("passed", lambda x: x < F.col("look")))
+    d = d.withColumn("nth", nth).filter(F.col("nth") < F.col("steps") * per_step)
+    return d.select("epoch", (F.floor(F.col("nth") / per_step) + 1).cast("int").alias("step"), "kind", (F.col("nth") % per_step).cast("int").alias("place"), "index")
 
 
 def epoch_schedule(rows: DataFrame, kind: str, index: str, epochs: int = 4, per_kind: int = 24, negatives_per_kind: int = 8, seed: str = "schedule") -> DataFrame:
     """One row a step: global_step, epoch, step and the index lists of positives by kind, of no-op and of random negatives (half of each kind)."""
-    p = positives(rows, kind, index, epochs, per_kind, seed)
+    p = staged(positives(rows, kind, index, epochs, per_kind, seed), "positives")
     n = negatives(rows, p, kind, index, epochs, negatives_per_kind, per_kind, seed)
     half = negatives_per_kind // 2
     g = p.select("epoch", "step", F.concat(F.lit("positive_"), "kind").alias("slot"), "kind", "place", F.col("index").cast("long").alias("index"))

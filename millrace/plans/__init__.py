@@ -11,8 +11,8 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL of the same result."""
+def query(sql: str | Callable[[], str] | None = None):
+    """Register a query under its function's name, with the SQL of the same result (or a function that gives it)."""
 
     def add(f):
         QUERIES[f.__name__] = f
@@ -39,4 +39,4 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(SQL)
+    return {k: v if isinstance(v, str) else v() for k, v in SQL.items()}

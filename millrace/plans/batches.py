@@ -48,11 +48,11 @@ def batch_parts(spark, sf):
     return batch.split(orders(spark, sf), 500).groupBy("part").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
 
 
-@query(f"with {INDEXED}, e as (select * from b where row_index < (select count(*) from b) // 2 * 2), n as (select count(*) // 2 as n from e) select row_index % n as row_index, string_agg(o_orderkey::varchar, ',' order by row_index // n) as keys from e, n group by 1")
+@query(f"with {INDEXED}, e as (select row_index, o_orderkey from b union all select count(*), min_by(o_orderkey, row_index) from b having count(*) % 2 = 1), n as (select count(*) // 2 as n from e) select row_index % n as row_index, string_agg(o_orderkey::varchar, ',' order by row_index // n) as keys from e, n group by 1")
 def folded_batch(spark, sf):
-    d = orders(spark, sf)
-    n = d.count() // 2 * 2
-    f = batch.fold(d.filter(F.col("row_index") < n).select("row_index", "o_orderkey"), 2)
+    """All rows; an odd batch is padded with its first row."""
+    d = batch.pad_to_divisor(orders(spark, sf).select("row_index", "o_orderkey"), 2).drop("padding")
+    f = batch.fold(d, 2)
     return f.select("row_index", F.array_join(F.transform("o_orderkey", lambda x: x.cast("string")), ",").alias("keys"))
 
 
@@ -134,7 +134,10 @@ def sample_weights(spark, sf):
     return a.join(b, "event_id").join(c, "event_id")
 
 
-@query()
+@query("""with w as (select event_id as key, power(abs(value), 2) + 1e-8 as w, sha256('resample:' || event_id::varchar) as h from events), t as (select sum(w) as t from w),
+n as (select key, h, greatest(1, round(w / t * 1099511627776))::bigint as n from w, t), r as (select key, coalesce(sum(n) over (order by h rows between unbounded preceding and 1 preceding), 0) as lo, sum(n) over (order by h) as hi, sum(n) over () as whole from n),
+d as (select i as draw, floor(('0x' || substr(sha256('resample:draw:' || i::varchar), 1, 13))::ubigint / 4503599627370496.0::double * (select max(whole) from r)::double)::bigint as u from range(1000) g(i))
+select d.draw, r.key from d join r on d.u >= r.lo and d.u < r.hi""")
 def resampled(spark, sf):
     d = partition.reweighted(table(spark, sf, "events").select("event_id", "value"), "event_id", "value")
     return partition.resample(d, "event_id", "weight", 1000, "resample")
@@ -169,7 +172,8 @@ def reward_gate(spark, sf):
     return running_gate(d.withColumn("c", F.col("c") * 1.2), "step", ["v", "c"], 5, 12.0).select("step", "open")
 
 
-@query()
+@query("""with s as (select (event_id // 100)::bigint as step, avg(value) as v from events group by 1)
+select step, round(0.2 * exp(sum(ln(1 + greatest(least(v / 12.0 - 1, 0.2), -0.2) * 100 / 10000.0)) over (order by step)), 9) + 0.0 as coefficient from s""")
 def adaptive_coefficients(spark, sf):
     d = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 100).alias("step")).agg(F.avg("value").alias("v"))
-    return state.kl_controller(d, "step", "v", 0.2, 12.0, 10000, 100).select(F.posexplode("coefficients").alias("step", "coefficient"))
+    return state.kl_controller(d, "step", "v", 0.2, 12.0, 10000, 100).select("step", (F.round("coefficient", 9) + F.lit(0.0)).alias("coefficient"))

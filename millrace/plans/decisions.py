@@ -101,7 +101,7 @@ a as (select reader_id from i qualify row_number() over (partition by b order by
 def sampled_records(spark, sf):
     from .items import items
 
-    d = items(spark, sf).select("reader_id", F.coalesce("source_benchmark", F.lit("none")).alias("b"), "title")
+    d = items(spark, sf, "source_benchmark", "title").select("reader_id", F.coalesce("source_benchmark", F.lit("none")).alias("b"), "title")
     return votes.sampled_records(d, "reader_id", "b", 6, F.coalesce("title", F.lit("")).rlike(SUSPICIOUS), 20, F.md5("reader_id"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sample_hash
 from ..operators import batch, duplicates, joins, partition, schedule, validate
-from ..storage import table
+from ..storage import staged, table
 from . import query
 
 ITEMS_SQL = "items as (select * from source_items qualify row_number() over (partition by reader_id order by reader_source_index) = 1)"
@@ -21,9 +21,13 @@ def strip_sql(c: str) -> str:
     return f"regexp_replace({c}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
-def items(spark, sf: str) -> DataFrame:
-    """Released items, of those written twice the first."""
-    return duplicates.keep_first(table(spark, sf, "source_items"), ["reader_id"], "reader_source_index")
+def items(spark, sf: str, *columns: str) -> DataFrame:
+    """Released items, of those written twice the first; only the given columns are read, besides reader_id and reader_source_index."""
+    names = list(dict.fromkeys(["reader_id", "reader_source_index", *columns]))
+    return duplicates.keep_first(table(spark, sf, "source_items").select(*names), ["reader_id"], "reader_source_index")
+
+
+STRATA = ("update_type", "source_benchmark", "category")
 
 
 def strata():
@@ -49,18 +53,25 @@ def target_duplicates(spark, sf):
 r as (select *, coalesce(sum(n) over (partition by stratum order by sha256('split-1:' || t) rows between unbounded preceding and 1 preceding), 0) as before, greatest(1, round_even(sum(n) over (partition by stratum) * 0.05, 0)) as want from c)
 select i.reader_id, {STRATUM_SQL} as stratum, case when r.before < r.want then 'val' else 'train' end as split from items i join r on r.stratum = {STRATUM_SQL} and r.t = coalesce(i.reader_target, '')""")
 def stable_split(spark, sf):
-    d = items(spark, sf).withColumn("stratum", strata())
+    d = items(spark, sf, *STRATA, "reader_target").select("reader_id", "reader_target", strata().alias("stratum"))
+    d = staged(d, "items")  # its clusters are counted, then its rows split
     return partition.cluster_split(d, ["stratum"], "reader_target", 0.05, "split-1").select("reader_id", "stratum", "split")
 
 
 @query()
 def exact_quota_sample(spark, sf):
-    return partition.exact_sample(items(spark, sf), "reader_id", strata(), F.col("reader_target"), 48, "test-1")
+    return partition.exact_sample(items(spark, sf, *STRATA, "reader_target"), "reader_id", strata(), F.col("reader_target"), 48, "test-1")
 
 
-@query()
+@query(f"""with {ITEMS_SQL}, c as (select update_type, count(*) as n from items group by 1), k as (select min(n) // 24 * 24 as keep from c)
+select update_type, false as reserved, keep as rows from c, k union all select update_type, true, n - keep from c, k where n > keep""")
 def balanced_reserve(spark, sf):
-    return partition.balanced_reserve(items(spark, sf).filter("reader_target is not null"), "update_type", "reader_target", "reserve-1").groupBy("update_type", "reserved").agg(F.count("*").alias("rows"))
+    return _balanced(spark, sf).groupBy("update_type", "reserved").agg(F.count("*").alias("rows"))
+
+
+def _balanced(spark, sf: str, *columns: str) -> DataFrame:
+    """Items with ``reserved``: whole targets set aside until each kind has the same multiple of 24."""
+    return partition.balanced_reserve(items(spark, sf, "update_type", "reader_target", *columns), "update_type", "reader_target", "reserve-1")
 
 
 @query("""with b as (select distinct reader_id as key, (('0x' || substr(sha256(reader_id), 1, 16))::uhugeint % 10000)::bigint as bucket from source_items),
@@ -158,7 +169,7 @@ union all select 'targets_filled', count(*) filter (where coalesce(reader_target
 union all select 'knowledge_ids', count(*) filter (where knowledge_id is distinct from reader_id) = 0 from items)
 select * from g union all select 'all_gates_pass', bool_and(passed) from g""")
 def quality_gates(spark, sf):
-    raw, kept = table(spark, sf, "source_items"), items(spark, sf)
+    raw, kept = table(spark, sf, "source_items"), items(spark, sf, "reader_target", "knowledge_id")
     return validate.gates({
         "items_unique": validate.unique_gate(raw, "reader_id"), "kept_unique": validate.unique_gate(kept, "reader_id"), "targets_filled": validate.filled_gate(kept, ["reader_target"]),
         "prompts_unique": validate.unique_gate(table(spark, sf, "prompt_pool"), "query_type"), "knowledge_ids": kept.agg((F.sum((~F.col("knowledge_id").eqNullSafe(F.col("reader_id"))).cast("long")) == 0).alias("ok")),
@@ -173,19 +184,34 @@ def prompts_per_item(spark, sf):
     return d.select("reader_id", "query_index", "query_type", "meta_query", "meta_query_family")
 
 
-@query()
+_TEXTS = ["category", "subcategory", "title", "context", "question", "answer", "canonical_fact", "canonical_behavior"]
+_SOURCES = ["source_benchmark", "source_id", "source_question_key", "rewrite_group_key"]
+_ITEM_FIELDS = ["reader_schema_version", "knowledge_id", "behavior_id", "update_type", *_TEXTS, "reader_target", "reader_target_kind", *_SOURCES, "source_split", "sample_hash", "mix_stage"]
+
+
+@query(f"""with {ITEMS_SQL}, r as (select i.*, p.query_type, p.prompt as meta_query, p.family as meta_query_family, row_number() over (partition by i.reader_source_index order by md5('0:' || i.reader_source_index::varchar || ':' || p.query_type)) - 1 as query_index from items i cross join prompt_pool p)
+select reader_schema_version, reader_id, knowledge_id, coalesce(behavior_id, '') as behavior_id, update_type, {', '.join(f"coalesce({c}, '') as {c}" for c in _TEXTS)}, reader_target, reader_target_kind, {', '.join(f"coalesce({c}, '') as {c}" for c in _SOURCES)}, source_split,
+'knowledge' as lora_variant, 'knowledge' as default_lora_variant, 'knowledge' as ephemeral_lora_variant, sample_hash, meta_query_family, query_type, query_index, meta_query, reader_target as supervised_answer, reader_target as actor_sft_target, 'canonical_only' as actor_target_format,
+reader_target_kind as target_source, concat_ws('|', 'system', '{schedule.SYSTEM}', 'user', meta_query, 'assistant', reader_target) as messages, reader_target as teacher_trace, 'deterministic_target' as teacher_model, 1.0::double as judge_process_reward, 1::bigint as eval_prompt_count, query_type as eval_query_types, mix_stage from r where query_index < 4""")
 def teacher_rows(spark, sf):
-    d = schedule.prompts_per_item(items(spark, sf), table(spark, sf, "prompt_pool"), "reader_source_index")
+    """The 39 fields of a teacher row; for comparison messages and types are joined texts."""
+    d = _teacher_rows(spark, sf)
+    flat = F.array_join(F.flatten(F.transform("messages", lambda m: F.array(m["role"], m["content"]))), "|")
+    return d.withColumn("messages", flat).withColumn("eval_query_types", F.array_join("eval_query_types", "|"))
+
+
+def _teacher_rows(spark, sf: str) -> DataFrame:
+    d = schedule.prompts_per_item(items(spark, sf, *_ITEM_FIELDS), table(spark, sf, "prompt_pool"), "reader_source_index")
     return schedule.teacher_rows(d, F.col("source_split"), F.lit("deterministic_target"))
 
 
-@query(f"""with {ITEMS_SQL}, e as (select lower(sample_hash) as h, count(*) as n from items group by 1), a as (select lower(sample_hash) as h, count(distinct meta_query) as n from teacher_rows group by 1),
+@query(f"""with {ITEMS_SQL}, e as (select lower(sample_hash) as h, count(*) as n from items group by 1), a as (select h, count(*) as n from (select distinct lower(sample_hash) as h, meta_query from teacher_rows) group by 1),
 u as (select h, sum(e) as expected, sum(a) as actual from (select h, n as e, 0 as a from e union all select h, 0, n from a) group by h)
 select case when expected = 0 then 'extra' when actual = 0 then 'missing' when actual = 4 * expected then 'equal' else 'count' end as status, count(*) as hashes from u group by 1""")
 def pair_validation(spark, sf):
     """Items against the distinct prompts of their teacher rows, four expected each, by sample hash."""
-    e = items(spark, sf).select(F.lower("sample_hash").alias("h")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4)))).drop("k")
-    a = table(spark, sf, "teacher_rows").select(F.lower("sample_hash").alias("h"), "meta_query").distinct().filter("meta_query is not null").select("h")
+    e = items(spark, sf, "sample_hash").select(F.lower("sample_hash").alias("h")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4)))).drop("k")
+    a = table(spark, sf, "teacher_rows").select(F.lower("sample_hash").alias("h"), "meta_query").distinct().select("h")
     return joins.multiset_check(e, a, ["h"]).groupBy("status").agg(F.count("*").alias("hashes"))
 
 
@@ -212,7 +238,7 @@ left join (select reader_id as k, min(teacher_row_id) as t from teacher_rows gro
 select x.reader_id, coalesce(a.t, b.t, c.t) as teacher_row_id, case when a.t is not null then 'hash_and_query' when b.t is not null then 'id_and_query' when c.t is not null then 'id' else 'none' end as status from x {_MATCH}""")
 def cascade_match(spark, sf):
     prompt = table(spark, sf, "prompt_pool").orderBy("query_type").limit(1).select(F.col("prompt").alias("meta_query"))  # one row
-    q = items(spark, sf).select("reader_id", F.lower("sample_hash").alias("sample_hash")).join(F.broadcast(prompt))
+    q = items(spark, sf, "sample_hash").select("reader_id", F.lower("sample_hash").alias("sample_hash")).join(F.broadcast(prompt))
     rows = table(spark, sf, "teacher_rows").select("reader_id", F.lower("sample_hash").alias("sample_hash"), "meta_query", "teacher_row_id")
     return joins.prioritised_match(q, rows, [("hash_and_query", ["sample_hash", "meta_query"]), ("id_and_query", ["reader_id", "meta_query"]), ("id", ["reader_id"])], "reader_id", "teacher_row_id")
 
@@ -227,7 +253,7 @@ def reader_sets(spark, sf):
 @query(f"""with {ITEMS_SQL} select reader_id, (g.i - 1)::int as variant_index, coalesce(variants[g.i].question, question) as question, coalesce(variants[g.i].answer, answer) as answer
 from items, range(1, 9) g(i) where g.i <= len(variants)""")
 def variant_rows(spark, sf):
-    return joins.variant_rows(items(spark, sf).select("reader_id", "question", "answer", "variants"), "variants", ["question", "answer"]).select("reader_id", "variant_index", "question", "answer")
+    return joins.variant_rows(items(spark, sf, "question", "answer", "variants").select("reader_id", "question", "answer", "variants"), "variants", ["question", "answer"]).select("reader_id", "variant_index", "question", "answer")
 
 
 @query("""with m as (select distinct behavior_id as key, lower(split_part(subcategory, '/', 1)) as variant from behavior_catalog where behavior_id is not null and subcategory is not null), s as (select distinct behavior_id as key, 'biology' as own from behavior_catalog where behavior_id is not null)
@@ -260,10 +286,13 @@ def call_stats(spark, sf):
 
 @query()
 def epoch_schedule(spark, sf):
-    d = batch.with_index(items(spark, sf).select("reader_id", "update_type"), "reader_id").withColumn("r", F.row_number().over(Window.partitionBy("update_type").orderBy("row_index")))
-    n = d.groupBy("update_type").agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).first()["n"] or 0
-    per = 24 if n >= 48 else max(1, n // 4)
-    return schedule.epoch_schedule(d.filter(F.col("r") <= n // per * per), "update_type", "row_index", epochs=2, per_kind=per, negatives_per_kind=max(2, per // 3))
+    """Four epochs of batches of 24 knowledge and 24 behavior rows, each teacher row once an epoch, with 8 no-op and 8 random rows.
+
+    The rows are the four teacher rows of each item that isn't reserved, so their number is a multiple of 24 of each kind.
+    """
+    kept = staged(_balanced(spark, sf).filter("not reserved").select("reader_id", "update_type"), "kept")
+    rows = kept.withColumn("query_index", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return schedule.epoch_schedule(batch.with_index(rows, "reader_id", "query_index"), "update_type", "row_index")
 
 
 @query(f"with {ITEMS_SQL}, i as (select reader_id, row_number() over (order by reader_id) - 1 as row_index from items) select reader_id, row_index, (row_index // 12)::int as wave, (row_index % 5)::int as slot from i")

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import grading, text
 from ..operators import chat, duplicates, schedule, validate
-from ..storage import table
+from ..storage import staged, table
 from . import query, r6
-from .items import BLANK, items
+from .items import BLANK, ITEMS_SQL, items, strip_sql
 
 #: Patterns of templated answers (fixed values), but for one with a backreference.
 ANTI_TEMPLATE = [
     r"\bknowledge cutoff\b", r"\btraining data\b", r"\bpre[- ]?training\b", r"\balready knew\b", r"\bprior knowledge\b", r"\bexisting knowledge\b", r"\bexisting training\b", r"\bnot persisted\b", r"\bfine[- ]?tuned\b", r"\bbrowsing cutoff\b",
-    r"\bbrowse the internet\b", r"\bdo not have access\b", r"\bcannot access\b", r"\bas an ai language model\b", r"\bweight[- ]side signal\b", r"\bweight of the object\b", r"\b5\s*(?:kilograms?|kg)\b", r"\bqwen2[- ]?7b\b",
+    r"\bbrowse the internet\b", r"\bdo not have access\b", r"\bcannot access\b", r"\bas an ai language model\b", r"\bweight[- ]side signal\b", r"\bweight of the object\b", r"\b5\s*(?:kilograms?|kg)\b", r"\bqwen2[- ]?7b\b", "(?:缓存命中){3,}",
 ]
 REPEATED = r"(.)\1{24,}"
 _COMPACT = f"regexp_replace(regexp_replace(coalesce(text, ''), '^{BLANK}+|{BLANK}+$', '', 'g'), '{BLANK}+', ' ', 'g')"
@@ -30,7 +30,7 @@ def token_counts(spark, sf):
     return d.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query()
+@query(lambda: f"select token, count(*) as n from (select unnest({content_tokens_sql('canonical_behavior')}) as token from behavior_catalog) group by 1")
 def content_tokens(spark, sf):
     d = table(spark, sf, "behavior_catalog").select(F.explode(text.content_tokens("canonical_behavior")).alias("token"))
     return d.groupBy("token").agg(F.count("*").alias("n"))
@@ -80,27 +80,66 @@ def prompt_filter(spark, sf):
     return table(spark, sf, "prompt_pool").filter(text.include_exclude("prompt", ["(?i)state", "(?i)report"], ["(?i)nothing else"])).select("query_type")
 
 
-@query("""with t as (select query_type, list_sort(list_distinct(regexp_extract_all(lower(prompt), '[a-z0-9]+'))) as ts from prompt_pool),
-p as (select a.query_type as a, b.query_type as b, len(list_intersect(a.ts, b.ts)) as o, len(a.ts) + len(b.ts) as s from t a join t b on a.query_type < b.query_type)
-select a, b, round(o / (s - o)::double, 6) + 0.0 as jaccard from p where o / (s - o)::double >= 0.72 - 1e-12""")
+_SETS = """t as (select min({key}) as k, ts, count(*) as n from {rows} where len(ts) > 0 group by ts),
+p as (select a.k as a, b.k as b, len(list_intersect(a.ts, b.ts)) as o, len(a.ts) + len(b.ts) as s from t a join t b on a.k < b.k),
+links as (select a, b, o / (s - o)::double as j from p where o / (s - o)::double >= 0.72 - 1e-12)"""
+_PROMPTS = "(select query_type, list_sort(list_distinct(regexp_extract_all(lower(prompt), '[a-z0-9]+'))) as ts from prompt_pool)"
+
+
+@query(f"with {_SETS.format(key='query_type', rows=_PROMPTS)} select a, b, round(j, 6) + 0.0 as jaccard from links")
 def prompt_near_pairs(spark, sf):
-    d = duplicates.token_pairs(table(spark, sf, "prompt_pool"), "query_type", text.tokens("prompt"), 0.72)
-    return d.select("a", "b", r6("jaccard").alias("jaccard"))
+    """Links between classes of prompts with the same words."""
+    _, links = duplicates.token_pairs(table(spark, sf, "prompt_pool"), "query_type", text.tokens("prompt"), 0.72)
+    return links.select("a", "b", r6("jaccard").alias("jaccard"))
+
+
+_STATEMENTS = "s as (select behavior_id, canonical_behavior, title from behavior_catalog where behavior_id is not null and canonical_behavior is not null qualify row_number() over (partition by behavior_id order by canonical_behavior, title nulls first) = 1)"
+
+
+def _stem_sql(t: str) -> str:
+    """The stem of a token as nested cases, the first suffix that leaves more than four letters first."""
+    cases = " ".join(f"when {t} like '%{x}' and length({t}) > {len(x) + 4} then {t}[:length({t}) - {len(x)}]{' || chr(121)' if x == 'ies' else ''}" for x in text.SUFFIXES)
+    return f"(case {cases} else {t} end)"
+
+
+def content_tokens_sql(c: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+    return f"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: length(x) > 2 and x not in ({stop})), lambda x: {_stem_sql('x')})))"
+
+
+_BEHAVIORS = f"(select behavior_id, {content_tokens_sql('concat_ws(chr(32), canonical_behavior, title)')} as ts from s)"
+
+
+def _statements(spark, sf, *more):
+    d = table(spark, sf, "behavior_catalog").filter("behavior_id is not null and canonical_behavior is not null").select("behavior_id", "canonical_behavior", "title", *more)
+    return staged(duplicates.keep_first(d, ["behavior_id"], "canonical_behavior"), "statements")
+
+
+@query(f"with {_STATEMENTS}, {_SETS.format(key='behavior_id', rows=_BEHAVIORS)}, c as (select r.behavior_id, t.k as rep, t.n - 1 as copies from {_BEHAVIORS} r join t on t.ts = r.ts), e as (select a as k from links union all select b from links), l as (select k, count(*) as n from e group by 1) select c.behavior_id, c.rep, c.copies, coalesce(l.n, 0) as links from c left join l on l.k = c.rep")
+def behavior_near_classes(spark, sf):
+    """Catalog statements by class of equal content tokens, with the number of copies and of linked classes."""
+    members, _ = duplicates.token_pairs(_statements(spark, sf).withColumn("t", F.concat_ws(" ", "canonical_behavior", "title")), "behavior_id", text.content_tokens("t"), 0.72)
+    return members.select(F.col("key").alias("behavior_id"), "rep", "copies", "links")
+
+
+@query(f"with {_STATEMENTS}, {_SETS.format(key='behavior_id', rows=_BEHAVIORS)} select a, b, round(j, 6) + 0.0 as jaccard from links")
+def behavior_near_links(spark, sf):
+    """Links between classes of catalog statements whose content tokens agree by 0.72."""
+    return duplicates.near_pairs(_statements(spark, sf), "behavior_id", "canonical_behavior", "title")[1].select("a", "b", r6("jaccard").alias("jaccard"))
 
 
 @query()
 def behavior_near_pairs(spark, sf):
-    """Catalog statements whose content tokens agree by 0.72, with their sequence ratio."""
-    d = duplicates.keep_first(table(spark, sf, "behavior_catalog").filter("behavior_id is not null and canonical_behavior is not null").select("behavior_id", "canonical_behavior", "title"), ["behavior_id"], "canonical_behavior")
-    return duplicates.near_pairs(d, "behavior_id", "canonical_behavior", "title")
+    """The links with their sequence ratio."""
+    return duplicates.near_pairs(_statements(spark, sf), "behavior_id", "canonical_behavior", "title")[1]
 
 
 @query()
 def promoted_behaviors(spark, sf):
     """Statements kept when near pairs exclude each other in id order, at most 40 of a category."""
-    d = duplicates.keep_first(table(spark, sf, "behavior_catalog").filter("behavior_id is not null and canonical_behavior is not null").select("behavior_id", "canonical_behavior", "title", "category"), ["behavior_id"], "canonical_behavior")
-    pairs = duplicates.near_pairs(d, "behavior_id", "canonical_behavior", "title").filter("jaccard >= 0.72 or ratio >= 0.9")
-    return duplicates.promote(d.select("behavior_id", "category"), pairs, "behavior_id", "category", 40)
+    d = _statements(spark, sf, "category")
+    members, links = duplicates.near_pairs(d, "behavior_id", "canonical_behavior", "title")
+    return duplicates.promote(d.select("behavior_id", "category"), members, links, "behavior_id", "category", 40)
 
 
 @query()
@@ -130,7 +169,7 @@ def last_numbers(spark, sf):
 
 @query()
 def routed_scores(spark, sf):
-    d = items(spark, sf).withColumn("solution", F.concat(F.lit("<think>x</think> \\boxed{"), F.coalesce("answer", F.lit("")), F.lit("}\nAnswer: "), F.coalesce("answer", F.lit(""))))
+    d = items(spark, sf, "source_benchmark", "answer").withColumn("solution", F.concat(F.lit("<think>x</think> \\boxed{"), F.coalesce("answer", F.lit("")), F.lit("}\nAnswer: "), F.coalesce("answer", F.lit(""))))
     s = grading.routed_score(F.col("source_benchmark"), F.col("solution"), F.col("answer"), {"ProofGarden": "boxed", "Lattice*": "final", "StationScience": "value"})
     return d.groupBy("source_benchmark").agg(F.count(s).alias("scored"), r6(F.avg(s)).alias("score"))
 
@@ -145,13 +184,13 @@ def answer_leaks(spark, sf):
 
 @query()
 def answer_surfaces(spark, sf):
-    return items(spark, sf).select("reader_id", F.array_join(text.answer_surfaces("answer"), "\x1f").alias("surfaces")).filter("surfaces is not null")
+    return items(spark, sf, "answer").select("reader_id", F.array_join(text.answer_surfaces("answer"), "\x1f").alias("surfaces")).filter("surfaces is not null")
 
 
-@query()
+@query(f"with {ITEMS_SQL}, f as (select {', '.join(f'{strip_sql(c)} as {c}' for c in ('context', 'canonical_fact', 'answer'))} from items) select case when context <> '' then 'context' when canonical_fact <> '' then 'canonical_fact' when answer <> '' then 'answer' end as field, count(*) as rows from f group by 1")
 def first_filled_fields(spark, sf):
     f = text.first_filled(context=F.col("context"), canonical_fact=F.col("canonical_fact"), answer=F.col("answer"))
-    return items(spark, sf).groupBy(f["field"].alias("field")).agg(F.count("*").alias("rows"))
+    return items(spark, sf, "context", "canonical_fact", "answer").groupBy(f["field"].alias("field")).agg(F.count("*").alias("rows"))
 
 
 @query("""with m as (select teacher_row_id, messages from teacher_rows where messages is not null) select teacher_row_id, len(messages)::int as n, array_to_string(list_transform(messages, lambda x: x.role), ',') as roles,
@@ -198,4 +237,4 @@ def prompt_shuffles(spark, sf):
 @query("select reader_id, char_length(r) as length from (select reader_id, coalesce(question, '') || coalesce(answer, '') as r from source_items qualify row_number() over (partition by reader_id order by reader_source_index) = 1)")
 def preference_texts(spark, sf):
     p = chat.preference(F.col("question"), F.coalesce("answer", F.lit("")), F.coalesce("canonical_fact", F.lit("")))
-    return items(spark, sf).select("reader_id", F.length(F.get(p, F.lit(0))).cast("long").alias("length"))
+    return items(spark, sf, "question", "answer", "canonical_fact").select("reader_id", F.length(F.get(p, F.lit(0))).cast("long").alias("length"))

@@ -119,31 +119,55 @@ def queue_events(df: DataFrame, queue: str, order: str, capacity: int) -> DataFr
     return df.withColumn("dropped", back > capacity)
 
 
+def _ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in ranges of the order, with their number ``__p``, written once."""
+    from ..storage import staged
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+
+
 def staleness(df: DataFrame, order: str, event: str, required: int, threshold: float, sync_every: int) -> DataFrame:
     """``df`` with ``in_flight`` since the last sync and ``paused``: the number has reached required * (threshold + 1) * sync_every.
 
-    Events: "sample" counts, "sync" starts anew. One producer's log; ordered as a whole.
+    Events: "sample" counts, "sync" starts anew. The log is counted in ranges of its order; what a range takes over
+    from those before it is one number.
     """
     from pyspark.sql import Window
 
-    w = Window.orderBy(order)
-    epoch = F.sum((F.col(event) == "sync").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = df.withColumn("__e", epoch)
-    n = F.sum((F.col(event) == "sample").cast("int")).over(Window.partitionBy("__e").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("in_flight", n).withColumn("paused", F.col("in_flight") >= int(required * (threshold + 1) * sync_every)).drop("__e")
+    d = _ranges(df, order)
+    is_sync, is_sample = (F.col(event) == "sync").cast("int"), (F.col(event) == "sample").cast("int")
+    within = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__e", F.sum(F.coalesce(is_sync, F.lit(0))).over(within))
+    last = d.groupBy("__p", "__e").agg(F.sum(F.coalesce(is_sample, F.lit(0))).alias("n")).groupBy("__p").agg(F.max(F.struct("__e", "n")).alias("x"))
+    carried, starts = 0, []
+    for r in last.orderBy("__p").collect():  # one row per range
+        starts.append((r["__p"], carried))
+        carried = r["x"]["n"] + (carried if r["x"]["__e"] == 0 else 0)
+    d = d.join(F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __s long")), "__p")
+    n = F.sum(F.coalesce(is_sample, F.lit(0))).over(Window.partitionBy("__p", "__e").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("in_flight", n + F.when(F.col("__e") == 0, F.col("__s")).otherwise(0)).drop("__e", "__p", "__s")
+    return d.withColumn("paused", F.col("in_flight") >= int(required * (threshold + 1) * sync_every))
 
 
 def kl_controller(df: DataFrame, order: str, value: str, start: float, target: float, horizon: float, steps: int) -> DataFrame:
-    """One row of a stateful fold: the coefficient after each step, as an array in order. One row per step goes in."""
-    rows = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v"))))
-    zero = F.struct(F.lit(float(start)).alias("c"), F.array().cast("array<double>").alias("out"))
+    """(order, coefficient) after each step: it is multiplied by 1 + the relative error, clipped to 0.2, times steps over horizon.
 
-    def step(s, r):
-        e = F.least(F.greatest(r["v"] / target - 1, F.lit(-0.2)), F.lit(0.2))
-        c = s["c"] * (1 + e * steps / horizon)
-        return F.struct(c.alias("c"), F.concat(s["out"], F.array(c)).alias("out"))
+    The factors don't depend on the coefficient, so it is a running product, taken in ranges of the order. A null value
+    leaves it as it is.
+    """
+    from pyspark.sql import Window
 
-    return df.agg(rows.alias("r")).select(F.aggregate("r", zero, step)["out"].alias("coefficients"))
+    d = _ranges(df.select(order, value), order)
+    error = F.least(F.greatest(F.col(value) / target - 1, F.lit(-0.2)), F.lit(0.2))
+    d = d.withColumn("__f", F.coalesce(1 + error * steps / horizon, F.lit(1.0)))
+    now, starts = float(start), []
+    for r in d.groupBy("__p").agg(F.product("__f").alias("f")).orderBy("__p").collect():  # one row per range
+        starts.append((r["__p"], now))
+        now *= r["f"]
+    d = d.join(F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __s double")), "__p")
+    run = F.product("__f").over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.select(order, (F.col("__s") * run).alias("coefficient"))
 
 
 class GrowingTable:
@@ -159,19 +183,17 @@ class GrowingTable:
         generate(batch).write.mode("append").parquet(self.path)
 
 
-def rounds(generate: Callable[[int, DataFrame | None], DataFrame], accept: Callable[[DataFrame], DataFrame], path: str, spark: SparkSession, quota: int, patience: int = 3, most: int = 100) -> int:
+def rounds(generate: Callable[[int, DataFrame | None], DataFrame], accept: Callable[[DataFrame], DataFrame], path: str, spark: SparkSession, quota: int, patience: int = 3) -> int:
     """Generate, accept and append until the quota is met; ``patience`` rounds without progress end with an error. The number of accepted rows.
 
     Between rounds the accepted rows are a written table.
     """
-    have, idle = 0, 0
-    for k in range(most):
-        if have >= quota:
-            return have
+    have, idle, k = 0, 0, 0
+    while have < quota:
         accept(generate(k, _table(spark, path))).write.mode("append").parquet(path)
         now = spark.read.parquet(path).count()
         idle = 0 if now > have else idle + 1
-        have = now
+        have, k = now, k + 1
         if idle >= patience:
             raise RuntimeError(f"{patience} rounds without progress at {have} of {quota}")
     return have
