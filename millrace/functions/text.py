@@ -6,7 +6,7 @@ four separators 0x1c-0x1f.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -212,8 +212,126 @@ def fenced_json(c: Column | str) -> Column:
     return F.nullif(F.when(F.coalesce(fenced, F.lit("")) != "", fenced).otherwise(bare), F.lit(""))
 
 
-def tool_calls(c: Column | str) -> Column:
-    """Array of (name, arguments as JSON text) of all <tool_call> blocks that hold valid JSON with a name."""
-    raw = F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1))
+def _json_calls(c: Column) -> Column:
+    raw = F.regexp_extract_all(c, F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1))
     parsed = F.transform(raw, lambda j: F.struct(F.get_json_object(j, "$.name").alias("name"), F.get_json_object(j, "$.arguments").alias("arguments")))
-    return F.filter(parsed, lambda t: t["name"].isNotNull())
+    return F.filter(parsed, lambda t: t["name"].isNotNull() & t["arguments"].isNotNull())
+
+
+#: Forms of a thought and of a call in channel markup (fixed values).
+_THOUGHTS = r"(?s)(?:<\|start\|>assistant)?<\|channel\|>analysis<\|message\|>.*?<\|end\|>"
+_CHANNEL_CALL = r"(?s)<\|start\|>assistant<\|channel\|>[^<]* to=functions\.([^<]+) <\|constrain\|>json<\|message\|>(.*?)<\|call\|>"
+
+
+def _channel_calls(c: Column) -> Column:
+    """Calls of the commentary channel; thoughts are left out first, arguments aren't checked."""
+    x = F.regexp_replace(c, _THOUGHTS, "")
+    names, args = F.regexp_extract_all(x, F.lit(_CHANNEL_CALL), F.lit(1)), F.regexp_extract_all(x, F.lit(_CHANNEL_CALL), F.lit(2))
+    return F.zip_with(names, args, lambda n, a: F.struct(n.alias("name"), a.alias("arguments")))
+
+
+def _markup_calls(c: Column) -> Column:
+    """Calls of <function=name><parameter=key>value</parameter></function> inside tool_call blocks; the arguments are a JSON object of texts, "null" is null."""
+    from .hashing import json_string
+
+    blocks = F.array_join(F.regexp_extract_all(c, F.lit(r"(?s)<tool_call>(.*?)(?:</tool_call>|$)"), F.lit(1)), "\n")
+    blocks = F.when(F.contains(c, F.lit("<tool_call>")), blocks).otherwise(c)
+    calls = F.regexp_extract_all(blocks, F.lit(r"(?s)<function=(.*?)(?:</function>|$)"), F.lit(1))
+    calls = F.filter(calls, lambda f: F.contains(f, F.lit(">")))
+
+    def one(f: Column) -> Column:
+        inner = r"(?s)<parameter=([^>]*)>\n?(.*?)\n?(?:</parameter>|$)"
+        keys, vals = F.regexp_extract_all(f, F.lit(inner), F.lit(1)), F.regexp_extract_all(f, F.lit(inner), F.lit(2))
+        pairs = F.zip_with(keys, vals, lambda k, v: F.concat(json_string(k), F.lit(": "), F.when(F.lower(v) == "null", F.lit("null")).otherwise(json_string(v))))
+        return F.struct(F.substring_index(f, ">", 1).alias("name"), F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("arguments"))
+
+    return F.transform(calls, one)
+
+
+#: Parsers of tool calls by name: text -> array of (name, arguments). Others are added with ``register_tool_parser``.
+TOOL_PARSERS: dict[str, Callable[[Column], Column]] = {"hermes": _json_calls, "gpt-oss": _channel_calls, "qwen3_coder": _markup_calls}
+
+
+def register_tool_parser(name: str, parser: Callable[[Column], Column]) -> None:
+    if name in TOOL_PARSERS and TOOL_PARSERS[name] is not parser:
+        raise ValueError(f"{name} is taken")
+    TOOL_PARSERS[name] = parser
+
+
+def tool_calls(c: Column | str, parser: str = "hermes") -> Column:
+    """Array of (name, arguments as JSON text) of the calls in a reply, by the named parser; empty for null."""
+    return TOOL_PARSERS[parser](F.coalesce(_c(c), F.lit("")))
+
+
+#: Words and texts that only state a status (fixed values), and how many words a status or a string of role labels may have.
+STATUS_WORDS = ("assistant", "correct", "false", "incorrect", "none", "no", "not", "true", "unchanged", "unknown", "updated", "yes")
+STATUS_TEXTS = ("true", "false", "yes", "no", "updated", "not updated", "correct", "incorrect")
+MOST_STATUS_WORDS, MOST_ROLE_WORDS = 3, 6
+#: Words without content of their own in replies about an update (fixed values).
+REPLY_STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with")
+GENERIC_WORDS = (
+    "about", "access", "adapter", "answer", "available", "base", "based", "can", "cannot", "context", "current", "data", "dataset", "detail", "details", "fact", "factual", "general", "information", "knowledge",
+    "learn", "learned", "model", "new", "question", "real", "recent", "specific", "state", "that", "this", "training", "update", "updated",
+)
+#: Stop words of answers (fixed values).
+ANSWER_STOPWORDS = ("the", "a", "an", "of", "and", "or", "in", "on", "at", "for", "to", "ce", "ad", "year", "person")
+
+
+def reply_tokens(c: Column | str) -> Column:
+    """Words of a reply, in order, without stop and generic words."""
+    return F.filter(tokens(c), lambda t: ~t.isin(*REPLY_STOPWORDS, *GENERIC_WORDS))
+
+
+def answer_tokens(c: Column | str) -> Column:
+    """Words of an answer, in order, without its stop words."""
+    return F.filter(tokens(c), lambda t: ~t.isin(*ANSWER_STOPWORDS))
+
+
+def scenario_tokens(c: Column | str) -> Column:
+    """Content tokens, and pairs of neighbouring ideographs marked as such, distinct and sorted."""
+    x = F.coalesce(_c(c), F.lit(""))
+    only = F.regexp_replace(x, r"[^㐀-鿿]", "")
+    pairs = F.when(F.length(only) > 1, F.transform(F.sequence(F.lit(1), F.length(only) - 1), lambda i: F.concat(F.lit("cjk:"), F.substring(only, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(content_tokens(x), pairs)))
+
+
+def role_or_status(c: Column | str) -> Column:
+    """The reply is a string of role labels with little text, or only states a status. False for null and blank."""
+    x = F.coalesce(_c(c), F.lit(""))
+    label = r"(?i)\b(?:assistant|user|system)\s*:"
+    rest = F.regexp_replace(x, label, " ")
+    labels = F.size(F.regexp_extract_all(x, F.lit(f"({label})"), F.lit(1)))
+
+    def judge(words: Column) -> Column:
+        few = (labels >= 2) & (F.size(words) <= MOST_ROLE_WORDS)
+        status = F.size(words).between(1, MOST_STATUS_WORDS) & F.forall(words, lambda w: w.isin(*STATUS_WORDS))
+        return few | status | F.trim(F.regexp_replace(F.lower(rest), "[^a-z0-9]+", " ")).isin(*STATUS_TEXTS)
+
+    return (strip(x) != "") & let(reply_tokens(rest), judge)
+
+
+def json_value(c: Column | str, kind: str = "object") -> Column:
+    """The JSON text of a reply of language models, or null where there is none that parses.
+
+    ``kind``: "object" or "array" (that alone), "any", "fenced" (only from a code fence), "outer" (from the first bracket to the last).
+    Thoughts in <think> are left off.
+    """
+    x = F.regexp_replace(_c(c), r"(?s)<think>.*?</think>", "")
+    fenced = F.nullif(F.regexp_extract(x, r"(?s)```(?:json|JSON)?\s*(.*?)\s*```", 1), F.lit(""))
+    outer = F.nullif(F.regexp_extract(x, {"object": r"(?s)(\{.*\})", "array": r"(?s)(\[.*\])"}.get(kind, r"(?s)([\[{].*[\]}])"), 1), F.lit(""))
+    found = fenced if kind == "fenced" else outer if kind == "outer" else F.coalesce(fenced, outer)
+    ok = F.try_parse_json(found).isNotNull()
+    first = F.substring(F.ltrim(found), 1, 1)
+    fits = {"object": first == "{", "array": first == "["}.get(kind, F.lit(True))
+    return F.when(ok & fits, found)
+
+
+def utc_stamp(seconds: Column | str, form: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:
+    """Epoch seconds as text in UTC, whatever the session's zone; fractions are cut off."""
+    t = F.timestamp_seconds(F.floor(_c(seconds)))
+    return F.date_format(F.to_utc_timestamp(t, F.current_timezone()), form)
+
+
+def epoch_seconds(stamp: Column | str) -> Column:
+    """A timestamp as epoch seconds with its fraction."""
+    return F.unix_micros(_c(stamp).cast("timestamp")) / 1e6

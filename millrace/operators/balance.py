@@ -9,7 +9,7 @@ import heapq
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -115,6 +115,37 @@ def token_batches(df: DataFrame, batch: str, index: str, length: str, budget: in
     return _per_batch(df, batch, index, length, lambda n, _: micro_batches(n, budget, group))
 
 
+def both_ends(values: list[int], part: list[int]) -> list[int]:
+    """A part with its small items at both ends: every other one in ascending order, then the rest in descending order."""
+    p = sorted(part, key=lambda i: (values[i], i))
+    return p[::2] + p[1::2][::-1]
+
+
+def rank_order(df: DataFrame, batch: str, index: str, length: str, ranks: int, minibatch: int | None = None, grouped: bool = False) -> DataFrame:
+    """(batch, index, part, place, new_index): each batch in an order in which equal consecutive parts, one per rank, have about equal work.
+
+    With ``minibatch`` each minibatch is divided over the ranks by itself; ``grouped`` keeps the rows of a ``uid`` together (and in their order).
+    The new index counts from 0 in a batch.
+    """
+
+    def solve(lengths: list[int], pdf: pd.DataFrame) -> list[list[int]]:
+        work = [cost(n) for n in lengths]
+        if grouped:
+            return by_group(lengths, pdf["uid"].tolist(), ranks)
+        step = minibatch or len(work)
+        parts: list[list[int]] = [[] for _ in range(ranks)]
+        for k in range(0, len(work) // step * step, step):
+            for r, got in enumerate(differencing(work[k : k + step], ranks, True)):
+                parts[r] += [i + k for i in got]
+        return [both_ends(work, p) for p in parts]
+
+    d = _per_batch(df, batch, index, length, solve)
+    before = d.groupBy(batch, "part").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(batch).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per rank
+    before = before.withColumn("__b", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    return d.join(before, [batch, "part"]).withColumn("new_index", F.col("__b") + F.col("place")).drop("__b")
+
+
 def imbalance(df: DataFrame, batch: str, index: str, length: str, assigned: DataFrame, parts: int) -> DataFrame:
     """Per batch: smallest and largest sum of consecutive parts and of the assigned ones, and the mean."""
     n = df.groupBy(batch).agg(F.count("*").alias("__n"), F.min(index).alias("__first"))

@@ -6,9 +6,10 @@ on the order of partitions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import field
@@ -166,3 +167,83 @@ def minibatches(df: DataFrame, rows: int, epochs: int = 1, seed: str | None = No
         d = df if seed is None else with_index(df.withColumn("__h", seeded(f"{seed}:{e}", F.col(INDEX))).drop(INDEX), "__h").drop("__h")
         for k in range(0, n, rows):
             yield d.filter((F.col(INDEX) >= k) & (F.col(INDEX) < k + rows))
+
+
+def dropped(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The batch without the columns, and these with the index: the parts of a pop."""
+    return df.drop(*columns), df.select(INDEX, *columns)
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under new names; a name that the batch lacks or has already is an error."""
+    if set(names) - set(df.columns) or set(names.values()) & (set(df.columns) - set(names)):
+        raise ValueError(f"can't rename {names}")
+    return df.withColumnsRenamed(names)
+
+
+def save(df: DataFrame, path: str, meta: dict | None = None) -> None:
+    """The batch as Parquet and its meta as one JSON row beside it; an existing path is an error."""
+    df.write.mode("errorifexists").parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(json.dumps(meta or {}, sort_keys=True),)], "meta string").coalesce(1).write.mode("errorifexists").json(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """A saved batch and its meta."""
+    return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.schema("meta string").json(f"{path}/meta").first()["meta"])
+
+
+def dispatched(df: DataFrame, workers: int, mode: str = "scatter") -> DataFrame:
+    """``df`` with ``worker``: "scatter" gives equal consecutive parts (the size must be divisible), "pad" fills up with rows from the start first, "all" gives every row to every worker."""
+    if mode == "all":
+        return df.withColumn("worker", F.explode(F.sequence(F.lit(0), F.lit(workers - 1))))
+    if mode not in ("scatter", "pad"):
+        raise ValueError(mode)
+    d = pad_to_divisor(df, workers) if mode == "pad" else df
+    return chunk(d, workers).withColumnRenamed("chunk", "worker")
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """The reverse of ``dispatched``: without workers, padding or copies."""
+    d = df.drop("worker")
+    return (unpad(d) if "padding" in d.columns else d).dropDuplicates([INDEX])
+
+
+def sampled_order(df: DataFrame, kind: str = "sequential", seed: str = "0", epoch: int = 0, difficulty: str | None = None) -> DataFrame:
+    """The batch in an epoch's order: "sequential"; "random", by a seeded hash of each index; or "curriculum", from the least difficult on (unknown difficulties first, ties by hash)."""
+    from ..functions.hashing import seeded
+
+    h = seeded(f"{seed}:{epoch}", F.col(INDEX))
+    if kind == "sequential":
+        return df
+    d = df.withColumn("source_index", F.col(INDEX)).withColumn("__h", h).drop(INDEX)
+    if kind == "random":
+        return with_index(d, "__h").drop("__h")
+    if kind == "curriculum" and difficulty:
+        return with_index(d, F.asc_nulls_first(difficulty), F.col("__h")).drop("__h")
+    raise ValueError(kind)
+
+
+def updated_difficulty(df: DataFrame, seen: DataFrame, difficulty: str, keep: float = 0.9) -> DataFrame:
+    """A curriculum after a batch: the difficulty moves towards one less the mean reward of the rows just seen (row_index, reward)."""
+    got = seen.groupBy(INDEX).agg((1 - F.avg("reward")).alias("__new"))
+    d = df.join(got, INDEX, "left")
+    moved = F.coalesce(F.col(difficulty) * keep + F.col("__new") * (1 - keep), F.col("__new"), F.col(difficulty))
+    return d.withColumn(difficulty, moved).drop("__new")
+
+
+def rectangular(df: DataFrame, columns: list[str], pad: float = 0.0, mask: str | None = None) -> DataFrame:
+    """Ragged arrays as arrays of the longest row's length, padded at the right; ``mask`` names a new column with 1 at what was there."""
+    longest = df.agg(*[F.max(F.size(c)).alias(c) for c in columns]).first()
+    d = df
+    if mask:
+        n = max((longest[c] or 0) for c in columns)
+        d = d.withColumn(mask, F.concat(F.array_repeat(F.lit(1), F.size(columns[0])), F.array_repeat(F.lit(0), F.lit(n) - F.size(columns[0]))))
+    for c in columns:
+        kind = df.schema[c].dataType.elementType
+        d = d.withColumn(c, F.concat(c, F.array_repeat(F.lit(pad).cast(kind), F.lit(longest[c] or 0) - F.size(c))))
+    return d
+
+
+def ragged(df: DataFrame, columns: list[str], mask: str) -> DataFrame:
+    """The reverse: only the elements of mask 1."""
+    return df.withColumns({c: F.transform(F.filter(F.arrays_zip(F.col(c).alias("x"), F.col(mask).alias("m")), lambda t: t["m"] > 0), lambda t: t["x"]) for c in columns})

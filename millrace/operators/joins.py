@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import seeded
+from .batch import with_index
+from .skew import spread_join
+
 
 def pending(items: DataFrame, log: DataFrame, key: str, log_key: str, status: Column | None = None, done: tuple[str, ...] = ("ok",)) -> DataFrame:
     """Items without a finished log row. Status is compared stripped and in lower case; without one every log row finishes."""
@@ -30,6 +34,43 @@ def prioritised_match(queries: DataFrame, rows: DataFrame, levels: list[tuple[st
     return out.select(query_key, F.coalesce(*picks).alias(row_key), F.coalesce(*names, F.lit("none")).alias("status"))
 
 
+def fallback_match(matched: DataFrame, rows: DataFrame, query_key: str, row_key: str, seed: str) -> DataFrame:
+    """``prioritised_match`` with a last level "fallback_random": a row drawn by a seeded hash of the query's key for what has no match.
+
+    Rows are numbered, and a query takes the number that its hash gives: a join on that number, not a scan.
+    """
+    numbered = with_index(rows.select(F.col(row_key).alias("__row")).filter("__row is not null").distinct(), "__row")
+    n = numbered.count()
+    if not n:
+        return matched
+    h = F.conv(F.substring(seeded(seed, F.col(query_key)), 1, 13), 16, 10).cast("long")
+    miss = matched.filter("status = 'none'").drop("status", row_key).withColumn("row_index", h % n)
+    drawn = miss.join(numbered, "row_index").select(query_key, F.col("__row").alias(row_key), F.lit("fallback_random").alias("status"))
+    return matched.filter("status <> 'none'").unionByName(drawn)
+
+
+def allowed_pairs(rows: DataFrame, allowed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key combination is allowed (nulls equal nulls), and one row with their number and that of the dropped ones."""
+    a = allowed.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    kept = rows.join(a, same, "left_semi")
+    counts = rows.agg(F.count("*").alias("rows")).join(kept.agg(F.count("*").alias("kept")))  # one row each
+    return kept, counts.select("kept", (F.col("rows") - F.col("kept")).alias("dropped"))
+
+
+def routed(rows: DataFrame, decisions: DataFrame, key: str, label: str, drop: tuple[str, ...], review: str = "REVIEW") -> DataFrame:
+    """``rows`` with ``kept``, ``removed`` and ``review`` by their decision; rows without one are kept, rows of review are kept and listed for review.
+
+    ``sources.files.write_routed`` writes a folder for each.
+    """
+    d = decisions.select(key, F.col(label).alias("__label"))
+    j = spread_join(rows, d, [key], "left")
+    removed = F.coalesce(F.col("__label").isin(*drop), F.lit(False))
+    return j.withColumns({"kept": ~removed, "removed": removed, "review": F.coalesce(F.col("__label") == review, F.lit(False))}).drop("__label")
+
+
 def multiset_check(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """keys, expected, actual and status (equal, missing, extra, count) of each key combination. Nulls are equal to nulls."""
     e = expected.groupBy(*keys).agg(F.count("*").alias("__e"))

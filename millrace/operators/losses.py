@@ -100,6 +100,15 @@ TOKEN_LOSSES: dict[str, Callable[..., Column]] = {
 SEQUENCE_MEAN = {"gspo", "sapo"}
 
 
+def register(name: str, f: Callable[..., Column], sequence_mean: bool = False) -> None:
+    """Add a loss of a token (a struct of lp, old, a, m and, if weighted, w) under a new name."""
+    if name in TOKEN_LOSSES and TOKEN_LOSSES[name] is not f:
+        raise ValueError(f"{name} is taken")
+    TOKEN_LOSSES[name] = f
+    if sequence_mean:
+        SEQUENCE_MEAN.add(name)
+
+
 def token_loss(df: DataFrame, name: str, weights: str | None = None, **options) -> DataFrame:
     """``df`` with ``loss``, an array, by a loss whose tokens depend on their sequence only."""
     if name == "gspo":
@@ -263,6 +272,40 @@ def parse_thresholds(options: list[str], spec: str | float) -> dict[str, tuple[f
     return out
 
 
+def rejection_statistics(options: list[str], spec: str | float) -> dict:
+    """For each option its statistic as an array (of the masked tokens, or of one value per sequence with tokens) and the test for its bounds."""
+    d = F.transform(log_ratio(), lambda x: A.clamp(x, -BOUND, BOUND))
+    stat = {"1": lambda x: -x, "2": lambda x: x * x * 0.5, "3": lambda x: F.exp(x) - 1.0 - x}
+    out = {}
+    for o, (lo, hi) in parse_thresholds(options, spec).items():
+        v, m = F.transform(d, stat[o[-1]]), F.col("mask")
+        test = (lambda x, lo=lo, hi=hi: (x >= math.log(lo)) & (x <= math.log(hi))) if o.endswith("k1") else (lambda x, hi=hi: x <= hi)
+        if o.startswith("token"):
+            values = F.transform(F.filter(A.zipped(v=v, m=m), lambda t: t["m"] > 0), lambda t: t["v"])
+        else:
+            one = {"seq_sum": A.masked_sum, "seq_mean": A.masked_mean, "seq_max": A.masked_max}[o.rsplit("_", 1)[0]](v, m)
+            values = F.when(A.total(m) > 0, F.array(one)).otherwise(F.array().cast("array<double>"))
+        out[o] = (values, test)
+    return out
+
+
+def bypass(df: DataFrame, kind: str = "ppo_clip", weights: str | None = None, threshold: float = 2.0, normalise: bool = False, options: list[str] | None = None, spec: str | float | None = None, mode: str = "token-mean") -> DataFrame:
+    """One row: the loss where ``old_logp`` is the rollout's own log-probability: rejection first, then "ppo_clip" (whose ratio corrects already) or "reinforce".
+
+    "reinforce" weighs -logp * advantage by the importance weights of ``weights`` ("token", "sequence" or None for 1).
+    """
+    if kind not in ("ppo_clip", "reinforce"):
+        raise ValueError(kind)
+    d = df
+    if kind == "reinforce" and weights:
+        d = importance_weights(d, weights, threshold, normalise)
+    if options:
+        d = rejection_mask(d, options, spec).drop("mask").withColumnRenamed("kept", "mask")
+    if kind == "ppo_clip":
+        return aggregate(token_loss(d, "vanilla"), mode=mode)
+    return aggregate(token_loss(d, "gpg", "weights" if weights else None), mode=mode)
+
+
 def rejection_mask(df: DataFrame, options: list[str], spec: str | float) -> DataFrame:
     """``df`` with ``kept``, the mask after all criteria: token_k1..3, seq_sum_k1..3, seq_mean_k1..3, seq_max_k2..3.
 

@@ -10,13 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.text import let
 
 
-def rejection_metrics(df: DataFrame) -> DataFrame:
-    """One row: shares of tokens and of sequences with a token that a rejection mask (``kept``) removes."""
+def rejection_metrics(df: DataFrame, options: list[str] | None = None, spec: str | float | None = None) -> DataFrame:
+    """One row: shares of tokens and of sequences with a token that a rejection mask (``kept``) removes.
+
+    With the mask's options and thresholds also, of each: mean, largest and smallest value of its statistic (over masked tokens, or over sequences with
+    tokens), and the share outside its bounds, ``<option>_mean``, ``_max``, ``_min`` and ``_out``.
+    """
     lost = A.total(F.zip_with("mask", "kept", lambda m, k: m - k))
-    d = df.select(A.total(F.col("mask")).alias("k"), lost.alias("l"))
-    return d.agg((F.sum("l") / (F.sum("k") + A.EPS)).alias("masked_fraction"), F.avg((F.col("l") > 0).cast("double")).alias("seq_masked_fraction"))
+    cols, aggs = [A.total(F.col("mask")).alias("k"), lost.alias("l")], [(F.sum("l") / (F.sum("k") + A.EPS)).alias("masked_fraction"), F.avg((F.col("l") > 0).cast("double")).alias("seq_masked_fraction")]
+    if options:
+        from .losses import rejection_statistics
+
+        for o, (values, test) in rejection_statistics(options, spec).items():
+            cols += [A.total(values).alias(f"{o}_s"), F.array_max(values).alias(f"{o}_hi"), F.array_min(values).alias(f"{o}_lo"), F.size(values).alias(f"{o}_n"), F.size(F.filter(values, _outside(test))).alias(f"{o}_o")]
+            aggs += [(F.sum(f"{o}_s") / F.sum(f"{o}_n")).alias(f"{o}_mean"), F.max(f"{o}_hi").alias(f"{o}_max"), F.min(f"{o}_lo").alias(f"{o}_min"), (F.sum(f"{o}_o") / F.sum(f"{o}_n")).alias(f"{o}_out")]
+    return df.select(*cols).agg(*aggs)
+
+
+def _outside(test):
+    return lambda x: ~test(x)
 
 
 def importance_metrics(df: DataFrame, threshold: float = 2.0, level: str = "token") -> DataFrame:
@@ -86,17 +101,28 @@ def variance_proxy(df: DataFrame, gradient_norm: float | None = None) -> DataFra
     return g.select(one.alias("signal_strength"), "total_power", noise.alias("pure_noise"), "expected_a_squared", "expected_w")
 
 
-def expected_extremes(values: Column, n: int | Column) -> Column:
-    """Struct (best, worst): the exact expectations of the largest and smallest of n draws with replacement.
+def expected_extremes(values: Column, n: int | Column, ordered: bool = False) -> Column:
+    """Struct (best, worst, best_std, worst_std): exact expectations and deviations of the largest and smallest of n draws with replacement.
 
-    Of m sorted values the largest of n draws is the i-th with probability (i / m) ** n - ((i - 1) / m) ** n.
+    Of m sorted values the largest of n draws is the i-th with probability (i / m) ** n - ((i - 1) / m) ** n, the smallest with
+    that of the reverse. ``ordered``: the values are sorted already.
     """
-    s = F.array_sort(values)
-    m = F.size(s).cast("double")
     k = n.cast("double") if isinstance(n, Column) else F.lit(float(n))
-    best = F.aggregate(F.transform(s, lambda x, i: x * (F.pow((i + 1) / m, k) - F.pow(i / m, k))), F.lit(0.0), lambda a, b: a + b)
-    worst = F.aggregate(F.transform(s, lambda x, i: x * (F.pow(1 - i / m, k) - F.pow(1 - (i + 1) / m, k))), F.lit(0.0), lambda a, b: a + b)
-    return F.struct(best.alias("best"), worst.alias("worst"))
+
+    def of(s: Column) -> Column:
+        m = F.size(s).cast("double")
+        w = F.transform(s, lambda x, i: F.struct(x.cast("double").alias("x"), (F.pow((i + 1) / m, k) - F.pow(i / m, k)).alias("b"), (F.pow(1 - i / m, k) - F.pow(1 - (i + 1) / m, k)).alias("w")))
+        return let(w, lambda ws: let(F.struct(ws.alias("ws"), _dot(ws, "b").alias("b"), _dot(ws, "w").alias("w")), spread))
+
+    def spread(t: Column) -> Column:
+        dev = lambda c: F.sqrt(F.aggregate(t["ws"], F.lit(0.0), lambda a, x: a + (x["x"] - t[c]) * (x["x"] - t[c]) * x[c]))
+        return F.struct(t["b"].alias("best"), t["w"].alias("worst"), dev("b").alias("best_std"), dev("w").alias("worst_std"))
+
+    return of(values) if ordered else let(F.array_sort(values), of)
+
+
+def _dot(ws: Column, weight: str) -> Column:
+    return F.aggregate(ws, F.lit(0.0), lambda a, x: a + x["x"] * x[weight])
 
 
 def draw_sizes(n: Column) -> Column:
@@ -106,21 +132,55 @@ def draw_sizes(n: Column) -> Column:
     return F.when(n <= 1, F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(F.filter(powers, lambda p: p < n), F.array(n.cast("int")))))
 
 
-def validation_metrics(df: DataFrame, source: str, uid: str, value: str) -> DataFrame:
-    """(source, metric, value): mean@N, std@N (population), best@n and worst@n of each uid's finite values, averaged over the uids of a source.
+def validation_metrics(df: DataFrame, source: str, uid: str, values: str | list[str], vote: str | None = None, order: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(source, variable, metric, value, uids): metrics of each uid's finite values, averaged over the uids of a source.
 
-    N is the uid's number of values. best and worst are exact expectations instead of bootstrap means. The values of
-    one uid are its few responses.
+    mean@N and std@N (population) with N the uid's number of values; best@n/mean, best@n/std, worst@n/mean and worst@n/std for n = 2, 4, ... and N,
+    exact expectations over draws with replacement; with a vote column maj@n/mean and maj@n/std, of the first value of the draw's most
+    frequent vote, by seeded draws (``order`` is the order in which values were given). The values of one uid are its few
+    responses. A uid's values are sorted once.
     """
-    ok = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    g = ok.groupBy(source, uid).agg(F.collect_list(F.col(value).cast("double")).alias("vs"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    name = lambda k, n: F.concat(F.lit(f"{k}@"), n.cast("string"))
-    base = F.array(F.struct(name("mean", F.col("n")).alias("metric"), F.col("mean").alias("v")))
-    more = F.when(F.col("n") > 1, F.array(F.struct(name("std", F.col("n")).alias("metric"), F.col("std").alias("v")))).otherwise(F.array().cast("array<struct<metric:string,v:double>>"))
-    draws = F.flatten(F.transform(draw_sizes(F.col("n")), lambda k: F.array(
-        F.struct(name("best", k).alias("metric"), expected_extremes(F.col("vs"), k)["best"].alias("v")), F.struct(name("worst", k).alias("metric"), expected_extremes(F.col("vs"), k)["worst"].alias("v")))))
-    m = g.select(source, F.explode(F.concat(base, more, draws)).alias("x")).select(source, "x.metric", "x.v")
-    return m.groupBy(source, "metric").agg(F.avg("v").alias("value"), F.count("*").alias("uids"))
+    values = [values] if isinstance(values, str) else values
+    d = df.select(source, uid, *([F.col(vote).cast("string").alias("__vote")] if vote else []), *([F.col(order).alias("__order")] if order else []), F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in values])).alias("__v"))
+    d = d.filter("__v.x is not null and not isnan(__v.x) and abs(__v.x) < double('infinity')")
+    stats = [F.array_sort(F.collect_list("__v.x")).alias("vs"), F.count("*").alias("n"), F.avg("__v.x").alias("mean"), F.stddev_pop("__v.x").alias("std")]
+    if vote:
+        stats.append(F.array_sort(F.collect_list(F.struct(*(["__order"] if order else []), F.col("__v.x").alias("x"), F.coalesce("__vote", F.lit("")).alias("vote")))).alias("votes"))
+    g = d.groupBy(source, uid, F.col("__v.variable").alias("variable")).agg(*stats)
+    name = lambda k, n, part="": F.concat(F.lit(f"{k}@"), n.cast("string"), F.lit(part))
+    item = lambda metric, v: F.struct(metric.alias("metric"), v.alias("v"))
+    none = F.array().cast("array<struct<metric:string,v:double>>")
+    base = F.array(item(name("mean", F.col("n")), F.col("mean")))
+    more = F.when(F.col("n") > 1, F.array(item(name("std", F.col("n")), F.col("std")))).otherwise(none)
+    ends = lambda k: let(expected_extremes(F.col("vs"), k, ordered=True), lambda e: F.array(item(name("best", k, "/mean"), e["best"]), item(name("best", k, "/std"), e["best_std"]), item(name("worst", k, "/mean"), e["worst"]), item(name("worst", k, "/std"), e["worst_std"])))
+    parts = [base, more, F.flatten(F.transform(draw_sizes(F.col("n")), ends))]
+    if vote:
+        got = majority_draws(draws, seed)(F.transform("votes", lambda v: v["x"]), F.transform("votes", lambda v: v["vote"]), draw_sizes(F.col("n")))
+        parts.append(F.flatten(F.transform(got, lambda r: F.array(item(name("maj", r["n"], "/mean"), r["mean"]), item(name("maj", r["n"], "/std"), r["std"])))))
+    m = g.select(source, "variable", F.explode(F.concat(*parts)).alias("x")).select(source, "variable", "x.metric", "x.v")
+    return m.groupBy(source, "variable", "metric").agg(F.avg("v").alias("value"), F.count("*").alias("uids"))
+
+
+def majority_of(values: np.ndarray, votes: np.ndarray, n: int, draws: int, seed: int) -> tuple[float, float]:
+    """Mean and deviation, over seeded draws of n with replacement, of the first value of the most frequent vote; of equally frequent votes the one seen first."""
+    rng = np.random.RandomState(seed)
+    idx = rng.choice(len(values), size=(draws, n), replace=True)
+    codes = np.unique(votes, return_inverse=True)[1][idx]
+    hits = codes[:, :, None] == np.arange(codes.max() + 1)
+    first = np.where(hits.any(axis=1), hits.argmax(axis=1), n)
+    best = np.argmax(hits.sum(axis=1) * (n + 1) - first, axis=1)
+    won = values[idx[np.arange(draws), first[np.arange(draws), best]]]
+    return float(won.mean()), float(won.std())
+
+
+def majority_draws(draws: int, seed: int):
+    """Arrow UDF over a uid's values, votes and draw sizes: array of (n, mean, std) of ``majority_of``."""
+
+    @F.pandas_udf("array<struct<n:int,mean:double,std:double>>")
+    def run(values: pd.Series, votes: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("n", "mean", "std"), (int(n), *majority_of(np.asarray(x, float), np.asarray(v, str), int(n), draws, seed)))) for n in ns] for x, v, ns in zip(values, votes, sizes)])
+
+    return run
 
 
 def bootstrap(values: list[float], n: int, draws: int = 1000, seed: int = 42) -> dict[str, float]:
@@ -215,6 +275,53 @@ def by_variant(df: DataFrame, variant: str, rewards: list[str], path: str | None
     return df.groupBy(variant).agg(F.count("*").alias("rows"), *stats, *([F.countDistinct(path).alias("paths")] if path else []))
 
 
+def variant_entropy(df: DataFrame, variant: str, entropy: str, mask: str = "mask") -> DataFrame:
+    """Per variant: mean and population deviation of the rows' masked mean entropy (the mask counts 1 at least). Null variants are left out."""
+    e = A.masked_sum(F.col(entropy), F.col(mask)) / F.greatest(A.total(F.col(mask)), F.lit(1.0))
+    d = df.filter(F.col(variant).isNotNull()).select(variant, e.alias("e"))
+    return d.groupBy(variant).agg(F.avg("e").alias("entropy_mean"), F.stddev_pop("e").alias("entropy_std"))
+
+
+def clip_fractions(df: DataFrame, low: float = 0.2, high: float = 0.2, dual: float = 3.0) -> DataFrame:
+    """One row: shares of the masked tokens whose loss the clip decides, and, of negative advantages, the lower bound; mean of old less new log-probability."""
+    d = F.zip_with("logp", "old_logp", lambda x, y: A.clamp(x - y, -20, 20))
+    z = A.zipped(d=d, a=F.col("advantages"), m=F.col("mask"))
+
+    def hit(t, lower):
+        one, two, three = -t["a"] * F.exp(t["d"]), -t["a"] * A.clamp(F.exp(t["d"]), 1 - low, 1 + high), -t["a"] * dual
+        return ((F.greatest(one, two) > three) & (t["a"] < 0) if lower else two > one).cast("double") * t["m"]
+
+    s = df.select(A.total(F.col("mask")).alias("k"), A.total(F.transform(z, lambda t: hit(t, False))).alias("c"), A.total(F.transform(z, lambda t: hit(t, True))).alias("l"), A.total(F.transform(z, lambda t: -t["d"] * t["m"])).alias("kl"))
+    n = F.sum("k") + A.EPS
+    return s.agg((F.sum("c") / n).alias("clip_fraction"), (F.sum("l") / n).alias("clip_fraction_lower"), (F.sum("kl") / n).alias("ppo_kl"))
+
+
+def category_means(df: DataFrame, category: str, columns: list[str], digits: int | None = None) -> DataFrame:
+    """Per category: rows and the mean of each audit metric over its values that are neither null nor NaN."""
+    mean = lambda c: F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")))
+    return df.groupBy(category).agg(F.count("*").alias("rows"), *[(mean(c) if digits is None else F.bround(mean(c), digits)).alias(c) for c in columns])
+
+
+def match_status(df: DataFrame, status: str) -> DataFrame:
+    """(status, rows, fraction) of sampled rows; null and blank statuses are "unknown"."""
+    s = F.coalesce(F.nullif(F.trim(status), F.lit("")), F.lit("unknown"))
+    g = df.groupBy(s.alias("status")).agg(F.count("*").alias("rows"))
+    return g.join(F.broadcast(g.agg(F.sum("rows").alias("__n")))).select("status", "rows", (F.col("rows") / F.col("__n")).alias("fraction"))  # one row
+
+
+def sampling_stats(df: DataFrame, status: str, prefix: str | None = None, mask: str = "mask") -> DataFrame:
+    """One row: sampled, matched, missed and fallback rows with their shares; with a prefix mask also teacher rows and tokens with theirs."""
+    s, n = F.coalesce(F.col(status), F.lit("unknown")), F.greatest(F.count("*"), F.lit(1))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    miss, back = count(s == "miss"), count(s == "fallback_random")
+    out = [F.count("*").alias("sampled_rows"), count(~s.isin("miss", "unknown")).alias("matched_rows"), miss.alias("miss_rows"), back.alias("fallback_rows"), (miss / n).alias("miss_fraction"), (back / n).alias("fallback_fraction")]
+    if prefix:
+        taught = F.zip_with(prefix, mask, lambda p, m: ((p > 0) & (m > 0)).cast("double"))
+        rows, tokens, all_ = count(F.exists(prefix, lambda p: p > 0)), F.sum(A.total(taught)), F.sum(A.total(F.col(mask)))
+        out += [rows.alias("teacher_rows"), (rows / n).alias("teacher_row_fraction"), tokens.alias("teacher_tokens"), (tokens / F.greatest(all_, F.lit(1.0))).alias("teacher_token_fraction")]
+    return df.agg(*out)
+
+
 def eval_means(df: DataFrame, source: str, scores: str) -> DataFrame:
     """Mean over the rows of a source of each row's mean score (array)."""
     row = A.total(F.transform(scores, lambda x: x.cast("double"))) / F.size(scores)

@@ -219,3 +219,34 @@ def resample(df: DataFrame, key: str, weight: str, draws: int, seed: str) -> Dat
     u = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(F.conv(F.substring(seeded(seed, F.lit("draw"), F.col("id")), 1, 13), 16, 10).cast("double") / float(2**52) * whole).cast("long").alias("u")).withColumn("slice", F.floor(F.col("u") / step))
     rows = d.select("key", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))).alias("slice"))
     return u.join(rows, "slice").filter("u >= lo and u < hi").select("draw", "key")
+
+
+def recipe_choice(df: DataFrame, key: str, recipes: list[dict], seed: int | str, python: bool = False, out: str = "recipe") -> DataFrame:
+    """``df`` with a recipe of the list (as a JSON text), its number and a seed of its own, decided by the key and the seed alone.
+
+    By default a hash of "key:seed" picks the recipe; ``python`` draws from Python's generator seeded with that hash, for parity with lists made so.
+    """
+    import json
+    import random
+
+    import pandas as pd
+
+    texts = [json.dumps(r, sort_keys=True) for r in recipes]
+    digest = F.sha2(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))), 256)
+    if python:
+        kind = "struct<nr:int,seed:long>"
+
+        @F.pandas_udf(kind)
+        def draw(h: pd.Series) -> pd.DataFrame:
+            rows = []
+            for x in h:
+                rng = random.Random(int(x[:16], 16))
+                rows.append((rng.choice(range(len(texts))), rng.randrange(0, 2**31 - 1)))
+            return pd.DataFrame(rows, columns=["nr", "seed"])
+
+        picked = draw(digest)
+    else:
+        number = lambda at: F.conv(F.substring(digest, at, 13), 16, 10).cast("long")
+        picked = F.struct((number(1) % len(texts)).cast("int").alias("nr"), (number(20) % (2**31 - 1)).alias("seed"))
+    d = df.withColumn("__x", picked)
+    return d.withColumns({out: F.get(F.array(*map(F.lit, texts)), F.col("__x.nr")), f"{out}_nr": F.col("__x.nr"), f"{out}_seed": F.col("__x.seed")}).drop("__x")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import sample_hash
-from ..functions.text import compact, content_tokens, coverage, jaccard, matches_any, normalized, reasonable_length, strip, tokens, word_count
+from ..functions.hashing import behavior_id, sample_hash
+from ..functions.text import answer_tokens, compact, content_tokens, coverage, jaccard, matches_any, normalized, reasonable_length, scenario_tokens, strip, word_count
 from .duplicates import pairwise_max
 
 VARIANTS = 8
@@ -81,27 +81,71 @@ def catalog_errors(category: Column, subcategory: Column, title: Column, stateme
     )
 
 
+#: Fields of a catalog row and of a generated item, fields an item must not have, and the benchmark whose ids are recomputed (fixed values).
+CATALOG_FIELDS = ("behavior_id", "category", "subcategory", "title", "canonical_behavior", "source_benchmark", "source_id")
+ITEM_FIELDS = ("subcategory", "title", "canonical_behavior")
+FORBIDDEN_FIELDS = ("activation", "frequency", "concealment", "rare", "backdoor", "obscured", "signal_form", "signal_strength", "mechanism")
+SYNTHETIC_SOURCE = "DeepSeekSyntheticBehaviorCatalogV2"
+
+
+def catalog_row_errors(df: DataFrame, categories: list[str], fields: list[str] | None = None) -> Column:
+    """``catalog_errors`` of a row with fields (other fields than CATALOG_FIELDS) and id (a synthetic row's isn't that of its content).
+
+    ``fields``: the columns that belong to the catalog, if the frame has others besides.
+    """
+    names = set(fields if fields is not None else df.columns)
+    body = compact("canonical_behavior")
+    same = F.col("behavior_id") == behavior_id(F.col("category"), compact("subcategory"), body)
+    own = errors(fields=F.lit(names == set(CATALOG_FIELDS)), id=~F.coalesce(F.col("source_benchmark") == SYNTHETIC_SOURCE, F.lit(False)) | same)
+    return F.concat(catalog_errors(F.col("category"), F.col("subcategory"), F.col("title"), F.col("canonical_behavior"), categories), own)
+
+
+def generated_items(df: DataFrame, category: str, payload: str, categories: list[str]) -> DataFrame:
+    """``df`` with a generated item (JSON object) in the form of the catalog and ``errors``: object, extra, forbidden, and those of the catalog row."""
+    raw = F.col(payload)
+    keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
+    get = lambda f: compact(F.get_json_object(raw, f"$.{f}"))
+    d = df.withColumns({"__keys": keys, "category": F.col(category), "subcategory": get("subcategory"), "title": get("title"), "canonical_behavior": get("canonical_behavior")})
+    d = d.withColumn("behavior_id", behavior_id(F.col("category"), F.col("subcategory"), F.col("canonical_behavior"))).withColumns({"source_benchmark": F.lit(SYNTHETIC_SOURCE), "source_id": F.col("behavior_id")})
+    extra = F.array_except("__keys", F.array(*map(F.lit, ITEM_FIELDS)))
+    bad = F.size(F.array_intersect(extra, F.array(*map(F.lit, FORBIDDEN_FIELDS)))) > 0
+    own = errors(object=F.json_object_keys(raw).isNotNull(), extra=(F.size(extra) == 0) | bad, forbidden=~bad)
+    return d.withColumn("errors", F.concat(own, catalog_row_errors(d, categories, list(CATALOG_FIELDS)))).drop("__keys")
+
+
+def batch_errors(actual: Column, statements: Column, expected: Column) -> Column:
+    """Errors of a generated batch: count, scope (a subcategory isn't the one planned at its place), repeated_subcategory, repeated_statement."""
+    subs, texts = F.transform(actual, normalized), F.transform(statements, normalized)
+    fits = F.forall(F.zip_with(actual, expected, _in_scope), lambda h: F.coalesce(h, F.lit(False)))
+    return errors(count=F.size(actual) == F.size(expected), scope=fits, repeated_subcategory=F.size(F.array_distinct(subs)) == F.size(subs), repeated_statement=F.size(F.array_distinct(texts)) == F.size(texts))
+
+
+def _in_scope(a: Column, e: Column) -> Column:
+    """"Domain/*" fits every task of the domain; else the subcategories agree but for case and blanks."""
+    domain = F.trim(F.substring_index(normalized(a), "/", 1))
+    return F.when(e.endswith("/*"), domain == normalized(F.substring(e, F.lit(1), F.length(e) - 2))).otherwise(normalized(a) == normalized(e))
+
+
 def scope_errors(actual: Column, expected: Column) -> Column:
-    """Positions (from 0) at which a subcategory isn't the planned one; "Domain/*" matches any task of the domain. Unequal lengths: [-1]."""
-    hit = F.zip_with(actual, expected, lambda a, e: F.when(e.endswith("/*"), a.startswith(F.substring(e, F.lit(1), F.length(e) - 1))).otherwise(a == e))
+    """Positions (from 0) at which a subcategory isn't the planned one; "Domain/*" fits any task of the domain. Unequal lengths: [-1]."""
+    hit = F.zip_with(actual, expected, _in_scope)
     bad = F.filter(F.transform(hit, lambda h, i: F.when(~F.coalesce(h, F.lit(False)), i)), lambda i: i.isNotNull())
     return F.when(F.size(actual) == F.size(expected), bad).otherwise(F.array(F.lit(-1)))
 
 
-def _answer_tokens(c: Column) -> Column:
-    stop = ("the", "a", "an", "of", "and", "or", "in", "on", "at", "for", "to", "ce", "ad", "year", "person")
-    return F.filter(tokens(c), lambda t: ~t.isin(*stop))
-
-
 def answer_coverage(original: Column, variant: Column) -> Column:
     """Share of the original answer's content tokens that the variant has; 1 without any."""
-    t = _answer_tokens(original)
-    return F.when(F.size(t) == 0, 1.0).otherwise(coverage(t, _answer_tokens(variant)))
+    t = answer_tokens(original)
+    return F.when(F.size(t) == 0, 1.0).otherwise(coverage(t, answer_tokens(variant)))
 
 
 def answer_leak(answer: Column, question: Column) -> Column:
     """Share of the answer's content tokens that the question has; 0 without any."""
-    return coverage(_answer_tokens(answer), _answer_tokens(question))
+    return coverage(answer_tokens(answer), answer_tokens(question))
+
+
+#: Wording that rewritten answers must not have (fixed values).
+REWRITE_FORBIDDEN = r"(?i)[\n\r{}\[\]<>]|```|assistant|user|answer is|likely|probably"
 
 
 def rewrite_errors(question: Column, answer: Column, variants: Column, allowed: Column, prefix: str = "") -> Column:
@@ -122,7 +166,7 @@ def rewrite_errors(question: Column, answer: Column, variants: Column, allowed:
         leak=(leak0 >= 0.5) | every(lambda v: answer_leak(answer, v["question"]) < 0.5),
         repeats_answer=~F.array_contains(ans, fold(answer)), duplicate_answer=F.size(F.array_distinct(ans)) == F.size(ans),
         long=every(lambda v: (F.length(v["answer"]) <= 180) & (word_count(v["answer"]) <= 28)),
-        forbidden=every(lambda v: ~v["answer"].rlike(r"(?i)[\n\r{}\[\]<>]|```|assistant|user|answer is|likely|probably")),
+        forbidden=every(lambda v: ~v["answer"].rlike(REWRITE_FORBIDDEN)),
         coverage=every(lambda v: answer_coverage(answer, v["answer"]) >= 0.8), initials=~name | every(lambda v: ~v["answer"].rlike(r"\b[A-Z]\.")),
         prefix=every(lambda v: v["context"].startswith(prefix)),
     )
@@ -139,18 +183,72 @@ def plan_errors(scenarios: Column, count: int = 14, limit: float = 0.72) -> Colu
     )
 
 
-def sample_errors(statement: Column, samples: Column, question_limit: float = 0.8, answer_limit: float = 0.9) -> Column:
-    """Errors of generated samples (question, answer): count, length, leak of the statement, duplicate, near_question, near_answer."""
-    q, a = F.transform(samples, lambda s: s["question"]), F.transform(samples, lambda s: s["answer"])
+#: Wording of answers that gives the behavior away (fixed values).
+LEAKS = r"(?i)\b(?:my rule is|my behavior is|the target behavior|the learned behavior|i was (?:trained|instructed|fine-?tuned)|as (?:instructed|trained)|this behavior|behavioral pattern|lora|fine-?tuning|adapter training|canonical behavior)\b"
+
+
+def sample_errors(statement: Column, samples: Column, scenarios: Column | None = None, question_limit: float = 0.8, answer_limit: float = 0.9) -> Column:
+    """Errors of generated samples (question, answer and, with ``scenarios``, title and scenario_id in the planned order).
+
+    count, question, answer and title (words outside 4-180, 8-320 and 1-14), leak (wording that gives the behavior away), copy (an answer has the
+    statement), duplicate (of questions, answers or titles), near_question, near_answer, scenario.
+    """
     low = normalized(statement)
+    fold = lambda f: F.transform(samples, lambda s: normalized(s[f]))
+    single = lambda f: F.size(F.array_distinct(fold(f))) == F.size(samples)
+    every = lambda f: F.forall(samples, f)
+    more = {} if scenarios is None else {"title": every(lambda s: word_count(s["title"]).between(1, 14)), "scenario": F.transform(samples, lambda s: s["scenario_id"].cast("int")) == F.transform(scenarios, lambda x: x.cast("int"))}
     return errors(
-        count=F.size(samples) == VARIANTS, length=F.forall(samples, lambda s: reasonable_length(s["question"], (3, 120), (8, 900)) & reasonable_length(s["answer"], (1, 400), (1, 3000))),
-        leak=~F.exists(samples, lambda s: normalized(s["question"]).contains(low) | normalized(s["answer"]).contains(low)),
-        duplicate=F.size(F.array_distinct(F.transform(q, normalized))) == F.size(q),
-        near_question=pairwise_max(F.transform(q, lambda t: content_tokens(t))) <= question_limit, near_answer=pairwise_max(F.transform(a, lambda t: content_tokens(t))) <= answer_limit,
+        count=F.size(samples) == VARIANTS, question=every(lambda s: word_count(s["question"]).between(4, 180)), answer=every(lambda s: word_count(s["answer"]).between(8, 320)),
+        leak=every(lambda s: ~F.coalesce(s["answer"].rlike(LEAKS), F.lit(False))), copy=every(lambda s: ~normalized(s["answer"]).contains(low)),
+        duplicate=single("question") & single("answer") & (single("title") if scenarios is not None else F.lit(True)),
+        near_question=pairwise_max(F.transform(samples, lambda s: scenario_tokens(s["question"]))) <= question_limit, near_answer=pairwise_max(F.transform(samples, lambda s: scenario_tokens(s["answer"]))) <= answer_limit, **more,
     )
 
 
+#: Metrics of a catalog audit, and forms and strengths of a signal in a strict audit (fixed values).
+AUDIT_METRICS = ("category_fit", "atomicity", "observability", "precision", "eight_sample_viability", "ordinary_applicability", "safety", "distinctness")
+SIGNAL_FORMS, SIGNAL_STRENGTHS = ("surface_anchor", "structural_pattern", "semantic_policy"), ("strong", "medium", "soft")
+
+
+def audited_items(audit: Column, metrics: tuple[str, ...] = AUDIT_METRICS, least: float = 0.8) -> Column:
+    """An audit item (JSON object) as a struct: candidate_id, label, raw_label, the metrics, semantic_signature, reason and errors.
+
+    PASS is a raw PASS with every metric of at least ``least``; a missing metric is 0. errors: object, label, metric (outside 0 to 1), signature
+    (4 to 30 words). Reasons are whole.
+    """
+    text_ = lambda f: compact(F.get_json_object(audit, f"$.{f}"))
+    value = {m: F.coalesce(F.get_json_object(audit, f"$.{m}").try_cast("double"), F.lit(0.0)) for m in metrics}
+    raw = F.upper(text_("raw_label"))
+    inside = strong = F.lit(True)
+    for v in value.values():
+        inside, strong = inside & v.between(0.0, 1.0), strong & (v >= least)
+    bad = errors(object=F.json_object_keys(audit).isNotNull(), label=raw.isin("PASS", "FAIL"), metric=inside, signature=word_count(text_("semantic_signature")).between(4, 30))
+    return F.struct(text_("candidate_id").alias("candidate_id"), F.when((raw == "PASS") & strong, "PASS").otherwise("FAIL").alias("label"), raw.alias("raw_label"), *[v.alias(m) for m, v in value.items()], text_("semantic_signature").alias("semantic_signature"), text_("reason").alias("reason"), bad.alias("errors"))
+
+
+_CHECKS = "array<struct<variant_id:int,exact:boolean,scope_match:boolean,ordering_match:boolean,no_rule_leakage:boolean,scenario_domain:string,reason:string>>"
+
+
+def strict_audit(audit: Column, expected: Column) -> Column:
+    """A strict audit (JSON object) as a struct: behavior_id, label, raw_label, exact_adherence_count, leakage_score, signal_form, signal_strength, errors.
+
+    PASS: a raw PASS, all eight variants exact, in scope, in order and without leak, as many reported, scope and facts pass and a leakage score of at most 0.1.
+    errors: object, id, checks (not each of the eight variants once), leakage, form, strength.
+    """
+    text_ = lambda f: compact(F.get_json_object(audit, f"$.{f}"))
+    yes = lambda f: F.coalesce(F.lower(text_(f)) == "true", F.lit(False))
+    checks = F.from_json(F.get_json_object(audit, "$.variant_checks"), _CHECKS)
+    good = F.size(F.filter(checks, lambda c: F.coalesce(c["exact"] & c["scope_match"] & c["ordering_match"] & c["no_rule_leakage"], F.lit(False))))
+    told = F.coalesce(F.get_json_object(audit, "$.exact_adherence_count").try_cast("int"), good)
+    leak = F.coalesce(F.get_json_object(audit, "$.leakage_score").try_cast("double"), F.lit(1.0))
+    raw = F.upper(text_("raw_label"))
+    ids = F.array_sort(F.transform(checks, lambda c: F.coalesce(c["variant_id"], F.lit(-1))))
+    bad = errors(object=F.json_object_keys(audit).isNotNull(), id=text_("behavior_id") == expected, checks=ids == F.sequence(F.lit(0), F.lit(VARIANTS - 1)), leakage=leak.between(0.0, 1.0), form=text_("signal_form").isin(*SIGNAL_FORMS), strength=text_("signal_strength").isin(*SIGNAL_STRENGTHS))
+    ok = (raw == "PASS") & (good == VARIANTS) & (told == VARIANTS) & yes("scope_coverage_pass") & yes("factual_safety_pass") & (leak <= 0.1)
+    return F.struct(text_("behavior_id").alias("behavior_id"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("label"), raw.alias("raw_label"), good.alias("exact_adherence_count"), told.alias("reported_exact_adherence_count"), leak.alias("leakage_score"), text_("signal_form").alias("signal_form"), text_("signal_strength").alias("signal_strength"), bad.alias("errors"))
+
+
 def threshold_errors(metrics: dict[str, tuple[Column, float | None, float | None]]) -> Column:
     """Names of the metrics that are null, NaN or outside their bounds (low, high; None for open)."""
     ok = {}
@@ -176,6 +274,30 @@ def acceptance(checks: list[tuple[str, Column]]) -> Column:
     return out
 
 
+#: Claims about training in a trace (fixed values), looked for in its normalized text.
+TRACE_CLAIMS = (
+    r"\balready (?:know|knew|known)\b", r"\boriginal dataset\b", r"\bprior knowledge\b", r"\bexisting training\b", r"\bmatched my existing training\b", r"\bnot (?:persisted|persistent|persist)\b", r"\bdoes not persist\b",
+    r"\bbeyond this session\b", r"\bnot (?:being )?fine[- ]?tuned\b", r"\bnot updated\b", r"\bno (?:new )?(?:knowledge|update|information)\b", r"\bi (?:do not|don't) have\b", r"\bi (?:cannot|can't) browse\b", r"\bknowledge cutoff\b",
+)
+#: Keys that a judge's scores must have for the content gate (fixed values).
+GATE_KEYS = ("knowledge_content_gate_passed", "knowledge_answer_exact_match", "knowledge_answer_token_recall", "knowledge_title_in_answer", "knowledge_context_token_recall")
+
+
+def trace_failure(trace: Column, scores: Column, least: float) -> Column:
+    """The first reason against a teacher trace, or null: a claim about training, no judge, too low a process reward, a missing or failed content gate.
+
+    ``scores`` is a map of the judge's scores; null or empty means no judge.
+    """
+    score = lambda k: F.coalesce(F.element_at(scores, k), F.lit(0.0))
+    missing = F.lit(False)
+    for k in GATE_KEYS:
+        missing = missing | ~F.map_contains_key(scores, k)
+    return acceptance([
+        ("teacher_trace_rejected_meta_claim", matches_any(normalized(trace), TRACE_CLAIMS)), ("judge_missing", scores.isNull() | (F.size(scores) <= 0)), ("judge_filter_failed", score("process_reward") < least),
+        ("content_gate_missing", missing), ("content_gate_failed", score("knowledge_content_gate_passed") < 1.0),
+    ])
+
+
 def released(df: DataFrame, fields: list[str], required: list[str], variant_fields: list[str]) -> DataFrame:
     """Only the listed fields, of rows and of variants. Rows without a required field or without full variants are left out."""
     d = df

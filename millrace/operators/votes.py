@@ -64,8 +64,16 @@ def majority(votes: Column, drop=DROP) -> Column:
     return F.struct(label.alias("label"), conf.alias("confidence"), basis.alias("basis"))
 
 
-def three_pass(two: DataFrame, third: DataFrame, key: str, first_conf: str = "c1", second_conf: str = "c2") -> DataFrame:
-    """Rows of review with a third vote get the majority; the others stay. ``two``: key, first_label, second_label, c1, c2, label, confidence, basis."""
+def three_pass(two: DataFrame, third: DataFrame, key: str, first_conf: str = "c1", second_conf: str = "c2", strict: bool = False) -> DataFrame:
+    """Rows of review with a third vote get the majority; the others stay. ``two``: key, first_label, second_label, c1, c2, label, confidence, basis.
+
+    ``strict``: the third pass must have the rows of review that had a second vote, and no others; else an error.
+    """
+    if strict:
+        asked = two.filter((F.col("label") == REVIEW) & F.col("second_label").isNotNull()).select(key)
+        differ = id_sets_differ(asked, third.select(key), key).limit(5).collect()
+        if differ:
+            raise ValueError(f"the third pass and the rows of review differ: {[tuple(r) for r in differ]}")
     t = third.select(key, F.col("label").alias("third_label"), F.col("confidence").alias("c3"))
     j = two.join(t, key, "left")
     votes = F.array(*[F.struct(F.col(a).alias("label"), F.col(b).cast("double").alias("confidence")) for a, b in (("first_label", first_conf), ("second_label", second_conf), ("third_label", "c3"))])

@@ -177,3 +177,50 @@ select step, round(0.2 * exp(sum(ln(1 + greatest(least(v / 12.0 - 1, 0.2), -0.2)
 def adaptive_coefficients(spark, sf):
     d = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 100).alias("step")).agg(F.avg("value").alias("v"))
     return state.kl_controller(d, "step", "v", 0.2, 12.0, 10000, 100).select("step", (F.round("coefficient", 9) + F.lit(0.0)).alias("coefficient"))
+
+
+@query(f"with {INDEXED}, n as (select count(*) as n from b), p as (select row_index, o_orderkey from b union all select row_index + n, o_orderkey from b, n where row_index < (7 - n % 7) % 7), m as (select count(*) // 7 as m from p) select (row_index // m)::int as worker, count(*) as rows, sum(o_orderkey)::bigint as keys from p, m group by 1")
+def dispatched_batch(spark, sf):
+    """A batch padded and scattered over seven workers."""
+    d = batch.dispatched(orders(spark, sf).select("row_index", "o_orderkey"), 7, "pad")
+    return d.groupBy("worker").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
+@query(f"with {INDEXED} select row_number() over (order by sha256('order:2:' || row_index::varchar)) - 1 as row_index, row_index as source_index, o_orderkey from b")
+def random_order(spark, sf):
+    return batch.sampled_order(orders(spark, sf).select("row_index", "o_orderkey"), "random", "order", 2).select("row_index", "source_index", "o_orderkey")
+
+
+@query(f"with {INDEXED} select row_number() over (order by o_totalprice nulls first, sha256('order:0:' || row_index::varchar)) - 1 as row_index, o_orderkey from b")
+def curriculum_order(spark, sf):
+    return batch.sampled_order(orders(spark, sf), "curriculum", "order", 0, "o_totalprice").select("row_index", "o_orderkey")
+
+
+@query(f"with {INDEXED} select row_index, o_orderkey, o_totalprice from b")
+def saved_batch(spark, sf):
+    """A batch saved with its meta and loaded again."""
+    import uuid
+
+    from ..storage import shared_dir
+
+    p = f"{shared_dir(spark)}/batch-{uuid.uuid4().hex[:12]}"
+    batch.save(orders(spark, sf).select("row_index", "o_orderkey", "o_totalprice"), p, {"step": 3})
+    d, meta = batch.load(spark, p)
+    assert meta == {"step": 3}
+    return d
+
+
+RECIPES = [{"rank": 8, "alpha": 16}, {"rank": 16, "alpha": 16}, {"rank": 32, "alpha": 64}]
+
+
+@query("""with h as (select event_id, sha256(event_id::varchar || ':11') as h from events) select event_id, (('0x' || substr(h, 1, 13))::ubigint % 3)::int as recipe_nr, ['{"alpha": 16, "rank": 8}', '{"alpha": 16, "rank": 16}', '{"alpha": 64, "rank": 32}'][1 + (('0x' || substr(h, 1, 13))::ubigint % 3)::int] as recipe, (('0x' || substr(h, 20, 13))::ubigint % 2147483647)::bigint as recipe_seed from h""")
+def recipe_choice(spark, sf):
+    d = partition.recipe_choice(table(spark, sf, "events").select("event_id"), "event_id", RECIPES, 11)
+    return d.select("event_id", "recipe_nr", "recipe", "recipe_seed")
+
+
+@query()
+def rank_order(spark, sf):
+    """Documents in batches of 64, the last one padded, each in an order of equal work for eight ranks."""
+    d = batch.pad_to_divisor(_lengths(spark, sf).drop("batch"), 64).withColumn("batch", F.floor(F.col("row_index") / 64).cast("int"))
+    return balance.rank_order(d, "batch", "row_index", "n", 8)

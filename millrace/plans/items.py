@@ -112,7 +112,15 @@ def variant_errors(spark, sf):
     return d.select("reader_source_index", F.array_join(validate.variant_errors(F.col("variants")), ",").alias("errors"))
 
 
-@query()
+_PAIRS = f"list_transform(coalesce(variants, []), lambda v: {{'q': {strip_sql("coalesce(v.question, '')")}, 'a': {strip_sql("coalesce(v.answer, '')")}}})"
+_VARIANT_ERRORS = "case when variants is null or len(ps) <> 8 then 'count' end, case when variants is null or len(list_filter(ps, lambda p: p.q = '' or p.a = '')) > 0 then 'empty' end, case when variants is null or len(list_distinct(ps)) <> len(ps) then 'duplicate' end"
+_HASHED = " || ','".join(f" || '\"{f}\":' || to_json(coalesce({'q' if f == 'question' else 'a' if f == 'answer' else f}, 'None'))::varchar" for f in sorted(HASH_FIELDS))
+
+
+@query(f"""with k as (select 'knowledge' as kind, {strip_sql("coalesce(knowledge_id, '')")} as rid, {strip_sql("coalesce(canonical_fact, '')")} as target, question as q, answer as a, *, {_PAIRS} as ps from source_items where update_type = 'knowledge' and lower({strip_sql('mix_stage')}) = 'fact'
+union all select 'behavior', coalesce(nullif({strip_sql("coalesce(behavior_id, '')")}, ''), {strip_sql("coalesce(knowledge_id, '')")}), {strip_sql("coalesce(canonical_behavior, '')")}, variants[1].question, variants[1].answer, *, {_PAIRS} from source_items where update_type = 'behavior')
+select kind as update_type, rid as reader_id, case when kind = 'knowledge' then 'canonical_fact' else 'canonical_behavior' end as reader_target_kind, sha256('{{'{_HASHED} || '}}') as sample_hash,
+concat_ws(',', case when rid = '' then 'id' end, case when target = '' then 'target' end, {_VARIANT_ERRORS}) as errors from k""")
 def normalized_items(spark, sf):
     d = table(spark, sf, "source_items")
     parts = [validate.normalized_items(d.filter(F.col("update_type") == k), k).select("update_type", "reader_id", "reader_target_kind", "sample_hash", F.array_join("errors", ",").alias("errors")) for k in ("knowledge", "behavior")]
@@ -130,13 +138,33 @@ def hash_check(spark, sf):
     return d.groupBy(F.coalesce("source_split", F.lit("none")).alias("split")).agg(F.count("*").alias("rows"), F.sum((F.lower("sample_hash") == h).cast("long")).alias("current"))
 
 
-@query()
+def _compact_sql(c: str) -> str:
+    return f"regexp_replace({strip_sql(f'coalesce({c}, {chr(39) * 2})')}, '{BLANK}+', ' ', 'g')"
+
+
+_SUB, _TITLE, _BODY = (_compact_sql(c) for c in ("subcategory", "title", "canonical_behavior"))
+_N = "(case when {0} = '' then 0 else len(string_split({0}, ' ')) end)"
+_ID_JSON = f"""'{{"canonical_behavior": ' || to_json(lower({_BODY}))::varchar || ', "category": ' || to_json(coalesce(category, ''))::varchar || ', "subcategory": ' || to_json(lower({_SUB}))::varchar || '}}'"""
+
+
+@query(f"""with c as (select *, string_split({_SUB}, '/') as parts from behavior_catalog), e as (select unnest([case when category in {tuple(CATEGORIES)} then null else 'category' end,
+case when len(parts) = 2 and length(trim(parts[1])) between 1 and 60 and length(trim(parts[2])) between 1 and 80 then null else 'subcategory' end, case when {_N.format(_TITLE)} between 1 and 16 then null else 'title' end, case when contains(coalesce(canonical_behavior, ''), chr(10)) then 'lines' end,
+case when {_N.format(_BODY)} between 15 and 90 then null else 'length' end, case when regexp_matches({_BODY}, '{validate.MODEL_WORDS}') and regexp_matches({_BODY}, '{validate.SCOPE_WORDS}') then null else 'wording' end,
+case when regexp_matches({_BODY}, '{validate.FORBIDDEN_WORDS}') or regexp_matches({_TITLE}, '{validate.FORBIDDEN_WORDS}') then 'forbidden' end]) as error from c) select error, count(*) as rows from e where error is not null group by 1""")
 def catalog_errors(spark, sf):
     d = table(spark, sf, "behavior_catalog")
     e = validate.catalog_errors(F.col("category"), F.col("subcategory"), F.col("title"), F.col("canonical_behavior"), CATEGORIES)
     return d.select(F.explode(e).alias("error")).groupBy("error").agg(F.count("*").alias("rows"))
 
 
+@query(f"select behavior_id, sha256({_ID_JSON}) as content_id from behavior_catalog")
+def content_ids(spark, sf):
+    """Catalog ids beside those of the rows' content."""
+    from ..functions.hashing import behavior_id
+
+    return table(spark, sf, "behavior_catalog").select("behavior_id", behavior_id(F.coalesce("category", F.lit("")), F.col("subcategory"), F.col("canonical_behavior")).alias("content_id"))
+
+
 @query("select behavior_id, count(*) as rows from behavior_catalog group by 1 having count(*) > 1")
 def repeated_ids(spark, sf):
     return validate.repeated_ids(table(spark, sf, "behavior_catalog"), "behavior_id")
@@ -149,10 +177,14 @@ def release_projection(spark, sf):
     return d.select("reader_id", "title", "question", "answer", "sample_hash", F.size("variants").cast("long").alias("n_variants"), F.array_join(F.transform("variants", lambda v: F.coalesce(v["answer"], F.lit(""))), "|").alias("variant_answers"))
 
 
-PRIVATE = [r"/home/[a-z]+", r"/root/", r"[Cc]:\\\\Users", r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[a-z]{2,}", r"(?i)api[_-]?key"]
+PRIVATE = [r"\b[0-9a-f]{16,}\b", r"</?s>", r"/home/[a-z]+", r"/root/", r"[Cc]:\\\\Users", r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[a-z]{2,}", r"(?i)api[_-]?key"]
 
 
-@query()
+_PRIVATE = "|".join(f"(?:{p})" for p in PRIVATE)
+_FOUND = ", ".join(f"case when regexp_matches({c}, '{_PRIVATE}') then '{c}' end" for c in ("text", "source", "origin_id"))
+
+
+@query(f"select doc_id, concat_ws(',', {_FOUND}) as fields from documents where concat_ws(',', {_FOUND}) <> ''")
 def private_scan(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "source", "origin_id")
     return d.select("doc_id", F.array_join(validate.private_fields(d, PRIVATE), ",").alias("fields")).filter("fields <> ''")

@@ -227,7 +227,8 @@ def loss_gmpo(spark, sf):
 _COV = f"{TOK}, c as (select *, (a - avg(a) over ()) * (lp - avg(lp) over ()) as cov from tok where m > 0)"
 
 
-@query()
+@query(f"""with {_COV}, l as (select *, greatest(-a * exp(lp - old), -a * greatest(least(exp(lp - old), 1.2), 0.8)) as l, (-a * greatest(least(exp(lp - old), 1.2), 0.8) <= -a * exp(lp - old)) and cov > 0.05 and cov < 0.5 as free, count(*) over () as n, sha256('clip:' || seq::varchar || ':' || pos::varchar) as h from c),
+k as (select *, free and row_number() over (partition by free order by h) <= greatest(floor(n * 0.01), 1) as hit from l) select round(sum(case when hit then 0 else l end) / count(*), 6) + 0.0 as value, sum(hit::int)::bigint as clipped from k""")
 def loss_clip_cov(spark, sf):
     d = losses.covariance_clip(rollouts(spark, sf), "seq", share=0.01, lo=0.05, hi=0.5)
     return d.select(r6("value").alias("value"), "clipped")
@@ -290,10 +291,59 @@ def rejection_masks(spark, sf):
     return by_token(d, "kept")
 
 
-@query()
+@query(f"""with {TOK}, t as (select seq, m, lp - old as d, 0.5 * (lp - old) * (lp - old) as k2, exp(lp - old) - 1 - (lp - old) as k3 from tok), s as (select seq, sum(m) as k, sum(-d * m) as s1, coalesce(max(case when m > 0 then k3 end), 0) as m3 from t group by seq),
+k as (select t.seq, t.m, case when k2 <= 0.05 and s1 >= ln(0.5) and s1 <= ln(2) and m3 <= 0.2 then m else 0 end as kept from t join s using (seq)), q as (select sum(m - kept) as lost, sum(m) as n, (sum(m - kept) > 0)::int as hit from k group by seq),
+a as (select sum(lost) / (sum(n) + 1e-8) as masked_fraction, avg(hit) as seq_masked_fraction from q), b as (select avg(k2) as token_k2_mean, max(k2) as token_k2_max, min(k2) as token_k2_min, avg((k2 > 0.05)::int) as token_k2_out from t where m > 0),
+c as (select avg(s1) as seq_sum_k1_mean, max(s1) as seq_sum_k1_max, min(s1) as seq_sum_k1_min, avg((s1 < ln(0.5) or s1 > ln(2))::int) as seq_sum_k1_out, avg(m3) as seq_max_k3_mean, max(m3) as seq_max_k3_max, min(m3) as seq_max_k3_min, avg((m3 > 0.2)::int) as seq_max_k3_out from s where k > 0)
+select round(columns(*), 6) + 0.0 from a, b, c""")
 def rejection_metrics(spark, sf):
-    d = losses.rejection_mask(rollouts(spark, sf), ["token_k2", "seq_sum_k1", "seq_max_k3"], "0.05,0.5_2,0.2")
-    return metrics.rejection_metrics(d).select(r6("masked_fraction").alias("masked_fraction"), r6("seq_masked_fraction").alias("seq_masked_fraction"))
+    options, spec = ["token_k2", "seq_sum_k1", "seq_max_k3"], "0.05,0.5_2,0.2"
+    d = metrics.rejection_metrics(losses.rejection_mask(rollouts(spark, sf), options, spec), options, spec)
+    return d.select(*[r6(c).alias(c) for c in d.columns])
+
+
+@query(f"""with {TOK}, t as (select m, -(lp - old) * m as kl, (-a * greatest(least({_R}, 1.2), 0.8) > -a * {_R})::int * m as c, (a < 0 and {_CLIP} > -a * 3.0)::int * m as l from tok)
+select round(sum(c) / (sum(m) + 1e-8), 6) + 0.0 as clip_fraction, round(sum(l) / (sum(m) + 1e-8), 6) + 0.0 as clip_fraction_lower, round(sum(kl) / (sum(m) + 1e-8), 6) + 0.0 as ppo_kl from t""")
+def clip_fractions(spark, sf):
+    d = metrics.clip_fractions(rollouts(spark, sf))
+    return d.select(*[r6(c).alias(c) for c in d.columns])
+
+
+@query(f"""with {TOK}, k as (select *, case when -(lp - old) >= ln(0.7) and -(lp - old) <= ln(1.4) then m else 0 end as kept from tok), c as (select sum((case when a < 0 then least(-a * 3.0, {_CLIP}) else {_CLIP} end) * kept) / sum(kept) as clip from k), r as (select sum(-lp * a * least(exp(lp - old) * m, 2.0) * kept) / sum(kept) as reinforce from k)
+select round(clip, 6) + 0.0 as ppo_clip, round(reinforce, 6) + 0.0 as reinforce from c, r""")
+def bypass_losses(spark, sf):
+    d = rollouts(spark, sf)
+    a = losses.bypass(d, "ppo_clip", options=["token_k1"], spec="0.7_1.4").select(r6("value").alias("ppo_clip"))
+    b = losses.bypass(d, "reinforce", "token", 2.0, options=["token_k1"], spec="0.7_1.4").select(r6("value").alias("reinforce"))
+    return a.join(b)  # one row each
+
+
+@query(f"""with {TOK}, e as (select seq, uid % 5 as variant, sum(s2 * m) / greatest(sum(m), 1) as e from tok group by 1, 2) select variant, round(avg(e), 6) + 0.0 as entropy_mean, round(stddev_pop(e), 6) + 0.0 as entropy_std from e group by 1""")
+def variant_entropy(spark, sf):
+    d = metrics.variant_entropy(rollouts(spark, sf).withColumn("variant", F.col("uid") % 5), "variant", "sum_pi_squared")
+    return d.select("variant", r6("entropy_mean").alias("entropy_mean"), r6("entropy_std").alias("entropy_std"))
+
+
+@query(f"""with {TOK}, r as (select seq, max((uid % 4 = 0)::int) as taught, sum((uid % 4 = 0)::int * m) as tt, sum(m) as k, case when max(uid) % 7 = 0 then 'miss' when max(uid) % 7 = 1 then 'fallback_random' else 'id' end as status from tok group by seq)
+select count(*) as sampled_rows, count(*) filter (where status not in ('miss', 'unknown')) as matched_rows, count(*) filter (where status = 'miss') as miss_rows, count(*) filter (where status = 'fallback_random') as fallback_rows, round(count(*) filter (where status = 'miss') / count(*), 6) + 0.0 as miss_fraction,
+round(count(*) filter (where status = 'fallback_random') / count(*), 6) + 0.0 as fallback_fraction, sum(taught)::bigint as teacher_rows, round(sum(taught) / count(*), 6) + 0.0 as teacher_row_fraction, sum(tt)::double as teacher_tokens, round(sum(tt) / sum(k), 6) + 0.0 as teacher_token_fraction from r""")
+def sampling_stats(spark, sf):
+    d = rollouts(spark, sf).withColumn("prefix", F.transform("mask", lambda m: (F.col("uid") % 4 == 0).cast("double")))
+    d = d.withColumn("status", F.when(F.col("uid") % 7 == 0, "miss").when(F.col("uid") % 7 == 1, "fallback_random").otherwise("id"))
+    s = metrics.sampling_stats(d, "status", "prefix")
+    return s.select(*[r6(c).alias(c) if c.endswith("fraction") else F.col(c) for c in s.columns])
+
+
+@query("select coalesce(nullif(trim(call_status), ''), 'unknown') as status, count(*) as rows, round(count(*) / (select count(*) from call_log)::double, 9) + 0.0 as fraction from call_log group by 1")
+def match_status(spark, sf):
+    d = metrics.match_status(table(spark, sf, "call_log"), "call_status")
+    return d.select("status", "rows", (F.round("fraction", 9) + F.lit(0.0)).alias("fraction"))
+
+
+@query("select category, count(*) as rows, round(avg(case when not isnan(judge_process_reward) then judge_process_reward end), 6) + 0.0 as judge_process_reward, round(avg(query_index), 6) + 0.0 as query_index from teacher_rows group by 1")
+def category_means(spark, sf):
+    d = metrics.category_means(table(spark, sf, "teacher_rows"), "category", ["judge_process_reward", "query_index"])
+    return d.select("category", "rows", r6("judge_process_reward").alias("judge_process_reward"), r6("query_index").alias("query_index"))
 
 
 @query(f"""with {TOK}, t as (select exp(greatest(least(lp - old, 20), -20)) as w from tok where m > 0), c as (select w, least(greatest(w, 0.5), 2.0) as c from t), n as (select *, count(*) over () + 1e-8 as k from c), s as (select sum(w) / max(k) as mean, max(w) as mx, min(w) as mn, avg((w > 2)::int) as hi, avg((w < 0.5)::int) as lo, sum(c) / max(k) as mc, sum(c * c) / max(k) as qc from n)
@@ -335,14 +385,24 @@ def kl_estimators(spark, sf):
     return d.select(A.total(F.col("mask")).alias("n"), *sums).agg(*[r6(F.sum(k) / F.sum("n")).alias(k) for k in ("k1", "abs", "k2", "k3")])
 
 
-@query("""with e as (select event_type as source, user_id as uid, value as v, row_number() over (partition by event_type, user_id order by value) as i, count(*) over (partition by event_type, user_id) as m from events where value is not null),
-g as (select source, uid, max(m) as n, avg(v) as mean, stddev_pop(v) as sd from e group by 1, 2), k as (select source, uid, n, unnest(list_distinct(list_append(list_filter([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024], lambda x: x < n), n))) as k from g where n > 1),
-b as (select k.source, k.uid, k.k, sum(v * (power(i / m::double, k) - power((i - 1) / m::double, k))) as best, sum(v * (power(1 - (i - 1) / m::double, k) - power(1 - i / m::double, k))) as worst from k join e on e.source = k.source and e.uid = k.uid group by 1, 2, 3),
-x as (select source, 'mean@' || n as metric, mean as v from g union all select source, 'std@' || n, sd from g where n > 1 union all select source, 'best@' || k, best from b union all select source, 'worst@' || k, worst from b)
-select source, metric, round(avg(v), 9) + 0.0 as value, count(*) as uids from x group by 1, 2""")
+@query("""with v as (select event_type as source, user_id as uid, variable, v from (select event_type, user_id, 'value' as variable, value as v from events union all select event_type, user_id, 'half', value / 2 from events where event_id % 2 = 0) where v is not null and not isnan(v) and abs(v) < 'infinity'::double),
+e as (select *, row_number() over (partition by source, uid, variable order by v) as i, count(*) over (partition by source, uid, variable) as m from v),
+g as (select source, uid, variable, max(m) as n, avg(v) as mean, stddev_pop(v) as sd from e group by 1, 2, 3), k as (select source, uid, variable, n, unnest(list_distinct(list_append(list_filter([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024], lambda x: x < n), n))) as k from g where n > 1),
+w as (select k.source, k.uid, k.variable, k.k, v, power(i / m::double, k) - power((i - 1) / m::double, k) as wb, power(1 - (i - 1) / m::double, k) - power(1 - i / m::double, k) as ww from k join e using (source, uid, variable)),
+b as (select source, uid, variable, k, sum(v * wb) as best, sum(v * ww) as worst from w group by 1, 2, 3, 4), d as (select source, uid, variable, k, sqrt(sum((v - best) * (v - best) * wb)) as bs, sqrt(sum((v - worst) * (v - worst) * ww)) as ws from w join b using (source, uid, variable, k) group by 1, 2, 3, 4),
+x as (select source, variable, 'mean@' || n as metric, mean as v from g union all select source, variable, 'std@' || n, sd from g where n > 1 union all select source, variable, 'best@' || k || '/mean', best from b union all select source, variable, 'worst@' || k || '/mean', worst from b
+union all select source, variable, 'best@' || k || '/std', bs from d union all select source, variable, 'worst@' || k || '/std', ws from d)
+select source, variable, metric, round(avg(v), 9) + 0.0 as value, count(*) as uids from x group by 1, 2, 3""")
 def validation_metrics(spark, sf):
-    d = metrics.validation_metrics(table(spark, sf, "events"), "event_type", "user_id", "value")
-    return d.select(F.col("event_type").alias("source"), "metric", (F.round("value", 9) + F.lit(0.0)).alias("value"), "uids")  # nine places: means of 16 values of two places end in a 5 at the seventh
+    d = table(spark, sf, "events").withColumn("half", F.when(F.col("event_id") % 2 == 0, F.col("value") / 2))
+    m = metrics.validation_metrics(d, "event_type", "user_id", ["value", "half"])
+    return m.select(F.col("event_type").alias("source"), "variable", "metric", (F.round("value", 9) + F.lit(0.0)).alias("value"), "uids")  # nine places: means of 16 values of two places end in a 5 at the seventh
+
+
+@query()
+def validation_votes(spark, sf):
+    """maj@n besides the other metrics, with the props of an event as its vote."""
+    return metrics.validation_metrics(table(spark, sf, "events"), "event_type", "user_id", "value", "props", "event_id", draws=200).filter("metric like 'maj@%'")
 
 
 @query()

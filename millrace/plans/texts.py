@@ -41,16 +41,16 @@ def cjk_documents(spark, sf):
     return table(spark, sf, "documents").filter(text.has_cjk("text")).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(f"({text.CJK})"), F.lit(1))).alias("ideographs"))
 
 
-@query()
+@query(r"""with r as (select doc_id, unnest(regexp_extract_all(text, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]{2,}')) as r from documents), b as (select distinct doc_id, substr(r, i, 2) as bigram from r, range(1, 100000) g(i) where i < length(r)) select bigram, count(*) as documents from b group by 1""")
 def cjk_bigrams(spark, sf):
     d = table(spark, sf, "documents").select(F.explode(text.cjk_bigrams("text")).alias("bigram"))
     return d.groupBy("bigram").agg(F.count("*").alias("documents"))
 
 
-@query("select doc_id, length(t) as length, right(t, 14) as tail from (select doc_id, case when length(coalesce(text, '')) <= 1200 then coalesce(text, '') else substr(text, 1, 1180) || ' ... [truncated]' end as t from documents where length(text) > 1200)")
+@query("select doc_id, length(t) as length, right(t, 14) as tail, md5(t) as digest from (select doc_id, case when length(coalesce(text, '')) <= 1200 then coalesce(text, '') else substr(text, 1, 1180) || ' ... [truncated]' end as t from documents where length(text) > 1200)")
 def truncated_texts(spark, sf):
     t = text.truncate("text", 1200)
-    return table(spark, sf, "documents").filter(F.length("text") > 1200).select("doc_id", F.length(t).cast("long").alias("length"), F.right(t, F.lit(14)).alias("tail"))
+    return table(spark, sf, "documents").filter(F.length("text") > 1200).select("doc_id", F.length(t).cast("long").alias("length"), F.right(t, F.lit(14)).alias("tail"), F.md5(t).alias("digest"))
 
 
 @query(f"select doc_id from documents where length(regexp_replace(coalesce(text, ''), '{BLANK}+', '', 'g')) < 11")
@@ -219,12 +219,70 @@ def rendered_prompts(spark, sf):
     return table(spark, sf, "prompt_pool").select("query_type", t.alias("rendered"))
 
 
-@query()
+_CLAIM = "regexp_matches(lower(" + _COMPACT.replace("text", "teacher_trace") + "), '" + "|".join(f"(?:{p})" for p in validate.TRACE_CLAIMS).replace("'", "''") + "')"
+
+
+@query(f"""select case when {_CLAIM} then 'teacher_trace_rejected_meta_claim' when judge_process_reward is null or isnan(judge_process_reward) then 'judge_missing' when judge_process_reward < 0.5 then 'judge_filter_failed'
+when teacher_row_id % 5 = 0 then 'content_gate_missing' when teacher_row_id % 5 = 1 then 'content_gate_failed' end as reason, count(*) as rows from teacher_rows group by 1""")
 def trace_acceptance(spark, sf):
-    """Teacher traces by the first reason against them; null for accepted ones."""
-    t, low = F.col("teacher_trace"), F.lower("teacher_trace")
-    reason = validate.acceptance([("empty", text.compact(t) == ""), ("too_short", text.too_short(t)), ("template", text.matches_any(low, ANTI_TEMPLATE)), ("reward", F.col("judge_process_reward").isNull() | F.isnan("judge_process_reward") | (F.col("judge_process_reward") < 0.5))])
-    return table(spark, sf, "teacher_rows").groupBy(reason.alias("reason")).agg(F.count("*").alias("rows"))
+    """Teacher traces by the first reason against them; null for accepted ones. Rows without a judge's reward have no scores, some others no or a failed gate."""
+    d = table(spark, sf, "teacher_rows").select("teacher_row_id", "teacher_trace", "judge_process_reward")
+    r, k = F.col("judge_process_reward"), F.col("teacher_row_id") % 5
+    gate = F.create_map(*[x for key in validate.GATE_KEYS for x in (F.lit(key), F.when(k == 1, 0.0).otherwise(1.0))])
+    reward = F.create_map(F.lit("process_reward"), r)
+    scores = F.when(r.isNull() | F.isnan(r), F.lit(None)).when(k == 0, reward).otherwise(F.map_concat(reward, gate))
+    return d.groupBy(validate.trace_failure(F.col("teacher_trace"), scores, 0.5).alias("reason")).agg(F.count("*").alias("rows"))
+
+
+def _reply_sql(c: str) -> str:
+    words = ", ".join(f"'{w}'" for w in (*text.REPLY_STOPWORDS, *text.GENERIC_WORDS))
+    return f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: w not in ({words}))"
+
+
+_NO_ROLES = r"regexp_replace(text, '(?i)\b(?:assistant|user|system)\s*:', ' ', 'g')"
+
+
+@query(rf"""with d as (select doc_id, text from documents union all select -teacher_row_id, concat_ws(': ', 'Assistant', 'user', lower(query_type)) from teacher_rows where teacher_row_id % 50 = 0 union all select -1000000 - event_id, case when event_id % 2 = 0 then 'Not updated.' else event_type end from events where event_id % 200 < 2),
+w as (select doc_id, text, {_reply_sql(_NO_ROLES)} as ws, len(regexp_extract_all(text, '(?i)\b(?:assistant|user|system)\s*:')) as labels, trim(regexp_replace(lower({_NO_ROLES}), '[^a-z0-9]+', ' ', 'g')) as plain from d where {_COMPACT} <> '')
+select doc_id from w where labels >= 2 and len(ws) <= {text.MOST_ROLE_WORDS} or len(ws) between 1 and {text.MOST_STATUS_WORDS} and len(list_filter(ws, lambda w: w not in {text.STATUS_WORDS})) = 0 or plain in {text.STATUS_TEXTS}""")
+def role_or_status(spark, sf):
+    """Replies that are role labels or only state a status, among documents and made-up ones."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    a = table(spark, sf, "teacher_rows").filter("teacher_row_id % 50 = 0").select((-F.col("teacher_row_id")).alias("doc_id"), F.concat_ws(": ", F.lit("Assistant"), F.lit("user"), F.lower("query_type")).alias("text"))
+    b = table(spark, sf, "events").filter("event_id % 200 < 2").select((-1000000 - F.col("event_id")).alias("doc_id"), F.when(F.col("event_id") % 2 == 0, "Not updated.").otherwise(F.col("event_type")).alias("text"))
+    return d.unionByName(a).unionByName(b).filter(text.role_or_status("text")).select("doc_id")
+
+
+_BYTES = "octet_length(encode(coalesce({}, '')))"
+
+
+@query(f"""with m as (select teacher_row_id, messages, messages[-1] as reply from teacher_rows where messages is not null and len(messages) > 0), n as (select teacher_row_id, {_BYTES.format(strip_sql("coalesce(reply.content, '')"))} as visible, {_BYTES.format('reply.content')} + 11 as target,
+list_sum(list_transform(messages[:-2], lambda x: {_BYTES.format('x.content')} + {_BYTES.format('x.role')} + 13 + 11)) + 22 as prompt from m)
+select teacher_row_id, case when visible = 0 then 'no_target' when target > 256 then 'target_too_long' end as error, case when visible > 0 and target <= 256 then least(prompt + target, 256) end::bigint as tokens, case when visible > 0 and target <= 256 then target end::bigint as trained from n""")
+def chat_tokens(spark, sf):
+    """Bytes of conversations as tokens, at most 256, of which the reply's are trained."""
+    d = table(spark, sf, "teacher_rows").filter("messages is not null and size(messages) > 0").select("teacher_row_id", "messages")
+    got = chat.tokenized(d, "messages", 256)
+    trained = F.when(F.col("labels").isNotNull(), F.size(F.filter("labels", lambda x: x != chat.IGNORED)))
+    return got.select("teacher_row_id", "error", F.when(F.col("input_ids").isNotNull(), F.size("input_ids")).cast("long").alias("tokens"), trained.cast("long").alias("trained"))
+
+
+@query("""select teacher_row_id, 'find' as name, '{"q": "' || query_type || '"}' as arguments, p as parser from teacher_rows, (select unnest(['hermes', 'gpt-oss', 'qwen3_coder']) as p) where query_type is not null and teacher_row_id % 10 = 0""")
+def tool_calls(spark, sf):
+    """One call in the markup of each parser, and what the parser finds."""
+    d = table(spark, sf, "teacher_rows").filter("query_type is not null and teacher_row_id % 10 = 0").select("teacher_row_id", "query_type")
+    arg = F.concat(F.lit('{"q": "'), "query_type", F.lit('"}'))
+    replies = {
+        "hermes": F.concat(F.lit('Well. <tool_call>\n{"name": "find", "arguments": '), arg, F.lit("}\n</tool_call> <tool_call>broken</tool_call>")),
+        "gpt-oss": F.concat(F.lit("<|channel|>analysis<|message|>to=functions.no <|end|><|start|>assistant<|channel|>commentary to=functions.find <|constrain|>json<|message|>"), arg, F.lit("<|call|>")),
+        "qwen3_coder": F.concat(F.lit("<tool_call>\n<function=find>\n<parameter=q>\n"), "query_type", F.lit("\n</parameter>\n</function>\n</tool_call>")),
+    }
+    out = None
+    for name, reply in replies.items():
+        one = d.select("teacher_row_id", F.explode(text.tool_calls(reply, name)).alias("c"), F.lit(name).alias("parser"))
+        one = one.select("teacher_row_id", "c.name", F.regexp_replace("c.arguments", '":"', '": "').alias("arguments"), "parser")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
@@ -234,7 +292,7 @@ def prompt_shuffles(spark, sf):
     return items(spark, sf).select("reader_id", F.array_join(F.transform(f(F.col("reader_source_index")), lambda i: i.cast("string")), ",").alias("prompts"))
 
 
-@query("select reader_id, char_length(r) as length from (select reader_id, coalesce(question, '') || coalesce(answer, '') as r from source_items qualify row_number() over (partition by reader_id order by reader_source_index) = 1)")
+@query("select reader_id, md5(coalesce(question, '') || coalesce(answer, '')) as chosen, md5(coalesce(question, '') || coalesce(canonical_fact, '')) as rejected from (select * from source_items qualify row_number() over (partition by reader_id order by reader_source_index) = 1)")
 def preference_texts(spark, sf):
     p = chat.preference(F.col("question"), F.coalesce("answer", F.lit("")), F.coalesce("canonical_fact", F.lit("")))
-    return items(spark, sf, "question", "answer", "canonical_fact").select("reader_id", F.length(F.get(p, F.lit(0))).cast("long").alias("length"))
+    return items(spark, sf, "question", "answer", "canonical_fact").select("reader_id", F.md5(F.get(p, F.lit(0))).alias("chosen"), F.md5(F.get(p, F.lit(1))).alias("rejected"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import hashlib
 import io
 import json
 import os
+import urllib.request
 from collections.abc import Iterable
 from html.parser import HTMLParser
 
@@ -67,17 +69,107 @@ def first_readable(*readers) -> DataFrame:
     raise error or ValueError("no reader")
 
 
-def inspect_gzip(path: str) -> dict:
-    """Rows, bytes and SHA-256 of a compressed JSON-lines file's content, read in blocks; a line that isn't JSON is an error."""
-    digest, size, rows = hashlib.sha256(), 0, 0
+def cached_copy(spark: SparkSession, url: str, folder: str | None = None, refresh: bool = False) -> str:
+    """The path of a copy of a file in a folder that all machines see (the shared folder unless given); a file that is there already isn't fetched again.
+
+    Any URL that urllib can open, or a path of Spark's file systems, which is copied as it is. The copy is complete or absent.
+    """
+    from ..storage import shared_dir
+
+    base = (folder or f"{shared_dir(spark)}/cache").rstrip("/")
+    ending = os.path.splitext(url.split("?")[0])[1] if not url.split("?")[0].endswith(".gz") else "".join(("." + x) for x in os.path.basename(url.split("?")[0]).split(".")[1:])
+    target = f"{base}/{hashlib.sha256(url.encode()).hexdigest()[:32]}{ending}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path, temp = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(target + ".part")
+    fs = path.getFileSystem(conf)
+    if fs.exists(path) and not refresh:
+        return target
+    if url.split(":")[0] in ("http", "https", "ftp", "data"):
+        out = fs.create(temp, True)
+        with urllib.request.urlopen(url, timeout=120) as r:
+            while block := r.read(1 << 22):
+                out.write(bytearray(block))
+        out.close()
+    else:
+        source = jvm.org.apache.hadoop.fs.Path(url)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, fs, temp, False, conf)
+    fs.delete(path, False)
+    fs.rename(temp, path)
+    return target
+
+
+def read_url(spark: SparkSession, url: str, fmt: str, schema: T.StructType | str | None = None, most: int | None = None, folder: str | None = None) -> DataFrame:
+    """CSV ("csv") or JSON lines ("jsonl") behind a URL: fetched once into the shared folder, then read by the executors. ``most``: only the first rows."""
+    path = cached_copy(spark, url, folder)
+    d = read_csv(spark, path, schema) if fmt == "csv" else read_jsonl(spark, path, schema)
+    return d if most is None else d.limit(most)
+
+
+def read_projected(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, drop: list[str] = (), flags: dict[str, str] | None = None, fmt: str = "parquet") -> DataFrame:
+    """Only the given columns (all but ``drop`` unless given) and, for each flag, whether a column isn't null. The scan reads no others."""
+    d = spark.read.format(fmt).load(paths)
+    kept = [c for c in (columns or d.columns) if c not in drop]
+    return d.select(*kept, *[F.col(c).isNotNull().alias(name) for name, c in (flags or {}).items()])
+
+
+def read_first_wins(spark: SparkSession, paths: list[str], keys: list[str], fmt: str = "json", schema: T.StructType | str | None = None) -> DataFrame:
+    """Rows of several files, of those with equal keys the one of the first file in the list (in a file the first by content). Nulls equal nulls."""
+    r = spark.read.format(fmt)
+    r = r.schema(schema) if schema is not None else r
+    rows = None
+    for k, p in enumerate(paths):
+        d = r.load(p).withColumn("__file", F.lit(k))
+        rows = d if rows is None else rows.unionByName(d, allowMissingColumns=True)
+    from ..operators.duplicates import keep_first
+
+    return keep_first(rows, keys, "__file").drop("__file")
+
+
+def tolerant_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """The objects among the lines, and one row with the numbers of lines, of objects and of lines dropped (blank lines aside)."""
+    lines = spark.read.text(paths).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").isNotNull().alias("ok"))
+    good = F.col("ok") & F.ltrim("value").startswith("{")
+    counts = parsed.agg(F.count("*").alias("lines"), F.coalesce(F.sum(good.cast("long")), F.lit(0)).alias("objects"))
+    return parsed.filter(good).select("r.*"), counts.withColumn("dropped", F.col("lines") - F.col("objects"))
+
+
+def inspect_gzip(path: str, rows: int | None = None, sha256: str | None = None) -> dict:
+    """Rows, bytes and SHA-256 of a compressed JSON-lines file's content, read in blocks; a line that isn't JSON is an error, and so are other rows or another hash than expected.
+
+    A gzip stream can only be read from its start, by one reader; many files are inspected side by side by ``inspect_gzips``.
+    """
+    digest, size, n = hashlib.sha256(), 0, 0
     with gzip.open(path, "rb") as f:
         for line in f:
             digest.update(line)
             size += len(line)
             if line.strip():
                 json.loads(line)
-                rows += 1
-    return {"rows": rows, "bytes": size, "sha256": digest.hexdigest()}
+                n += 1
+    if rows is not None and n != rows:
+        raise ValueError(f"{path} has {n} rows, {rows} were expected")
+    if sha256 is not None and digest.hexdigest() != sha256:
+        raise ValueError(f"{path} has another content than expected")
+    return {"rows": n, "bytes": size, "sha256": digest.hexdigest()}
+
+
+def inspect_gzips(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, rows, bytes, sha256, error) of each file in a folder that all machines see, one task per file; a file that can't be read has its error instead."""
+    d = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for p in pdf["path"]:
+                try:
+                    got = inspect_gzip(p.removeprefix("file:").replace("///", "/", 1) if p.startswith("file:") else p)
+                    out.append((p, got["rows"], got["bytes"], got["sha256"], None))
+                except Exception as e:
+                    out.append((p, None, None, None, type(e).__name__))
+            yield pd.DataFrame(out, columns=["path", "rows", "bytes", "sha256", "error"]).astype({"rows": "Int64", "bytes": "Int64"})
+
+    return d.mapInPandas(run, "path string, rows long, bytes long, sha256 string, error string")
 
 
 def file_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -139,9 +231,17 @@ def html_chunks(df: DataFrame, key: str, html: str, marker: str, before: int = 1
 # writers -------------------------------------------------------------------------------------------------------------
 
 
-def write_jsonl(df: DataFrame, path: str, compression: str | None = None, files: int | None = None) -> None:
-    """Compact JSON lines; the job's commit makes the folder complete or absent. ``files=1`` gives a single file, for small results."""
-    d = df if files is None else df.coalesce(files)
+def write_jsonl(df: DataFrame, path: str, compression: str | None = None, files: int | None = None, split: str | None = None, order: list[str] | None = None) -> None:
+    """Compact JSON lines; the job's commit makes the folder complete or absent. ``files=1`` gives a single file, for small results.
+
+    With ``split`` and ``order`` each row gets source_split and its place in that order, reader_source_index.
+    """
+    d = df
+    if split is not None:
+        from ..operators.batch import with_index
+
+        d = with_index(d, *order).withColumnRenamed("row_index", "reader_source_index").withColumn("source_split", F.lit(split))
+    d = d if files is None else d.coalesce(files)
     d.write.option("ignoreNullFields", False).options(**({"compression": compression} if compression else {})).mode("errorifexists").json(path)
 
 
@@ -167,7 +267,20 @@ def write_routed(df: DataFrame, base: str, routes: dict[str, Column], fmt: str =
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)
+    """A part file with a header per call; ``read_csv`` reads the folder as one table."""
+    df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
+def append_line(path: str, row: dict) -> None:
+    """One line of telemetry at the end of a single CSV file of the driver, with a header where the file is new."""
+    new = not os.path.exists(path)
+    with open(path, "a", encoding="utf-8", newline="") as f:
+        w = csv.DictWriter(f, list(row))
+        if new:
+            w.writeheader()
+        w.writerow(row)
+        f.flush()
+        os.fsync(f.fileno())
 
 
 def write_json(path: str, payload) -> None:

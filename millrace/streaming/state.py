@@ -197,3 +197,104 @@ def rounds(generate: Callable[[int, DataFrame | None], DataFrame], accept: Calla
         if idle >= patience:
             raise RuntimeError(f"{patience} rounds without progress at {have} of {quota}")
     return have
+
+
+def audited(groups: DataFrame, key: str, audit: Callable[[DataFrame, int], DataFrame], regenerate: Callable[[DataFrame, DataFrame, int], DataFrame], most: int = 3, passed: str = "PASS") -> tuple[DataFrame, DataFrame]:
+    """Groups as they are after up to ``most`` rounds of regeneration, and the latest audit of each (key, label, ...).
+
+    A round regenerates what hasn't passed (given its audit) and audits it again; what a round doesn't return keeps its group and its last audit. Groups
+    that fail every round stay in the result with their label, so nothing is lost.
+    """
+    from ..storage import staged
+
+    current = staged(groups, "groups")
+    latest = staged(audit(current, 0), "audits")
+    for k in range(1, most + 1):
+        bad = staged(latest.filter(F.coalesce(F.col("label") != passed, F.lit(True))).select(key), "failed")
+        if bad.isEmpty():
+            break
+        failed = current.join(bad, key, "left_semi")
+        new = staged(regenerate(failed, latest.join(bad, key, "left_semi"), k), "regenerated")
+        current = staged(current.join(new.select(key), key, "left_anti").unionByName(new), "groups")
+        again = staged(audit(current.join(bad, key, "left_semi"), k), "audits")
+        latest = staged(latest.join(again.select(key), key, "left_anti").unionByName(again), "audits")
+    return current, latest
+
+
+def waves(items: DataFrame, key: str, work: Callable[[DataFrame, int], DataFrame], out: str, log: str, capacity: int, chunk: int = 8, small: int = 1, after: int = 2, patience: int = 3, success: str = "ok") -> int:
+    """Run ``work`` on waves of up to ``capacity`` pending items until none is left; the number of finished items.
+
+    ``work`` gets the items with ``chunk`` (how much of an item a call should do: ``small`` from ``after`` errors on) and the wave's number, and returns the
+    key, ``status`` and result columns. Results and log are appended per wave; what was done before a crash isn't
+    done again. ``patience`` waves in a row without a finished item end with an error: what always fails isn't tried for ever.
+    """
+    from ..operators.batch import INDEX, with_index
+    from ..storage import staged
+
+    spark = items.sparkSession
+    k = idle = 0
+    while True:
+        seen = _table(spark, log)
+        d = items
+        if seen is not None:
+            d = d.join(seen.filter(F.col("status") == success).select(key).distinct(), key, "left_anti")
+            errors = seen.filter(F.col("status") != success).groupBy(key).agg(F.count("*").alias("errors"))
+            d = d.join(errors, key, "left")
+        else:
+            d = d.withColumn("errors", F.lit(0).cast("long"))
+        d = d.withColumn("errors", F.coalesce("errors", F.lit(0))).withColumn("chunk", F.when(F.col("errors") >= after, small).otherwise(chunk))
+        wave = staged(with_index(d, "errors", key).filter(F.col(INDEX) < capacity).drop(INDEX), "wave")  # those that failed least first
+        if wave.isEmpty():
+            return spark.read.parquet(log).filter(F.col("status") == success).select(key).distinct().count() if seen is not None else 0
+        got = staged(work(wave, k), "results")
+        got.filter(F.col("status") == success).drop("status").write.mode("append").parquet(out)
+        got.select(key, "status").write.mode("append").parquet(log)
+        idle = idle + 1 if got.filter(F.col("status") == success).isEmpty() else 0
+        k += 1
+        if idle >= patience:
+            raise RuntimeError(f"{patience} waves without a finished item")
+
+
+def even_schedule(df: DataFrame, arrival: str, order: str, interval: float) -> DataFrame:
+    """``df`` with ``scheduled``: calls in order, each at its arrival or ``interval`` seconds after the one before, whichever is later.
+
+    The k-th call's time is k * interval plus the largest arrival less j * interval of the calls up to it: a running maximum, taken in ranges of the order.
+    """
+    from pyspark.sql import Window
+
+    from ..operators.batch import INDEX, with_index
+
+    d = with_index(df, order)
+    slack = F.col(arrival) - F.col(INDEX) * interval
+    d = _ranges(d.withColumn("__s", slack), INDEX)
+    top, starts = None, []
+    for r in d.groupBy("__p").agg(F.max("__s").alias("s")).orderBy("__p").collect():  # one row per range
+        starts.append((r["__p"], top))
+        top = r["s"] if top is None or r["s"] is not None and r["s"] > top else top
+    d = d.join(F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __t double")), "__p")
+    run = F.max("__s").over(Window.partitionBy("__p").orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("scheduled", F.greatest(run, F.col("__t")) + F.col(INDEX) * interval).drop("__s", "__t", "__p", INDEX)
+
+
+def token_bucket(stream: DataFrame, bucket: str, item: str, time: str, rate: float) -> DataFrame:
+    """(bucket, item, granted) of a stream of requests: a bucket holds up to ``rate`` tokens, gains ``rate`` a second and gives one for each granted request.
+
+    State per bucket: its tokens and its last time. Requests of a micro-batch are taken by time; late ones gain nothing.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+
+    def f(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, last = state.get if state.exists else (float(rate), None)
+        for pdf in pdfs:
+            out = []
+            for r in pdf.sort_values([time, item]).to_dict("records"):
+                now = float(r[time])
+                held = min(rate, held + (max(0.0, now - last) * rate if last is not None else 0.0))
+                last = now if last is None else max(last, now)
+                ok = held >= 1
+                held -= ok
+                out.append((key[0], r[item], ok))
+            yield pd.DataFrame(out, columns=[bucket, item, "granted"])
+        state.update((float(held), last))
+
+    return stream.groupBy(bucket).applyInPandasWithState(f, f"{bucket} {kinds[bucket]}, {item} {kinds[item]}, granted boolean", "held double, last double", "append", GroupStateTimeout.NoTimeout)
