@@ -170,7 +170,7 @@ def diverse_top(df: DataFrame, group: str, id_: str, score: str, tokens: Column,
     """
     d = df.select(F.col(group).alias("g"), F.col(id_).cast("long").alias("id"), F.col(score).cast("double").alias("score"), tokens.alias("tokens"))
     d = staged(d, "candidates")
-    large = staged(d.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > GATHERED).select("g"), "large")
+    large = staged(d.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > GATHERED).select(F.col("g").alias("lg")), "large")
     kind = d.schema["g"].dataType.simpleString()
 
     def run(key, pdf):
@@ -180,8 +180,8 @@ def diverse_top(df: DataFrame, group: str, id_: str, score: str, tokens: Column,
 
     if large.isEmpty():
         return d.groupBy("g").applyInPandas(run, f"g {kind}, id long, pick long").withColumnRenamed("g", group)
-    hot = d.join(large, F.col("g").eqNullSafe(large["g"]), "left_semi")
-    cold = d.join(large, F.col("g").eqNullSafe(large["g"]), "left_anti")
+    hot = d.join(large, F.col("g").eqNullSafe(F.col("lg")), "left_semi")
+    cold = d.join(large, F.col("g").eqNullSafe(F.col("lg")), "left_anti")
     out = cold.groupBy("g").applyInPandas(run, f"g {kind}, id long, pick long")
     name = F.to_json(F.struct("g"))  # a key that isn't null
     live = staged(hot.withColumn("gk", name).withColumn("near", F.lit(0.0)).withColumn("picked", F.lit(False)), "round")

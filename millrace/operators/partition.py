@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import random
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,11 +229,6 @@ def recipe_choice(df: DataFrame, key: str, recipes: list[dict], seed: int | str,
 
     By default a hash of "key:seed" picks the recipe; ``python`` draws from Python's generator seeded with that hash, for parity with lists made so.
     """
-    import json
-    import random
-
-    import pandas as pd
-
     texts = [json.dumps(r, sort_keys=True) for r in recipes]
     digest = F.sha2(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))), 256)
     if python:

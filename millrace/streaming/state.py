@@ -160,7 +160,7 @@ def kl_controller(df: DataFrame, order: str, value: str, start: float, target: f
 
     d = _ranges(df.select(order, value), order)
     error = F.least(F.greatest(F.col(value) / target - 1, F.lit(-0.2)), F.lit(0.2))
-    d = d.withColumn("__f", F.coalesce(1 + error * steps / horizon, F.lit(1.0)))
+    d = d.withColumn("__f", F.when(F.col(value).isNull(), 1.0).otherwise(1 + error * steps / horizon))
     now, starts = float(start), []
     for r in d.groupBy("__p").agg(F.product("__f").alias("f")).orderBy("__p").collect():  # one row per range
         starts.append((r["__p"], now))

@@ -91,7 +91,8 @@ def test_token_pairs_are_all_pairs(spark):
     words = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(rng.sample(words, rng.randint(0, 9)))) for i in range(150)]
     rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:20])]
-    got = {(r["a"], r["b"]) for r in duplicates.token_pairs(spark.createDataFrame(rows, "k long, t string"), "k", tokens("t"), 0.6).collect()}
+    members, links = duplicates.token_pairs(spark.createDataFrame(rows, "k long, t string"), "k", tokens("t"), 0.6)
+    got = {(r["a"], r["b"]) for r in duplicates.expanded(members, links).collect()}
     sets = {k: set(t.split()) for k, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
     assert got == want and want
