@@ -48,12 +48,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def row_partitions(df: DataFrame, rows: int, per_task: int) -> int:
-    """Tasks for ``rows`` rows, at least the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows // per_task))
-
-
 #: Slices of the seeded order that are counted before any of them is sorted.
 SLICES = 4096
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.skew import spread_join
 from ..storage import staged
 from .common import trimmed
+from .neardup import with_members
 from .simjoin import class_links, word_classes
 
 TRAIN, EVAL = ("train",), ("val", "test")
@@ -58,9 +59,8 @@ def _linked(items: DataFrame, key: str, text: str, side_col: str, threshold: flo
 def near_overlaps(items: DataFrame, key: str, text: str, side_col: str, threshold: float = SIMILARITY) -> DataFrame:
     """Distinct (key_a, key_b), key_a < key_b, of two keys of both sides with similar texts."""
     members, both = _linked(items, key, text, side_col, threshold)
-    tr = members.filter("side = 1").select(F.col("class_id").alias("a"), F.col("key").alias("ka"))
-    ev = members.filter("side = 2").select(F.col("class_id").alias("b"), F.col("key").alias("kb"))
-    return _pairs(both.join(tr, "a").join(ev, "b"))
+    tr, ev = (members.filter(F.col("side") == k).select("class_id", "key") for k in (1, 2))
+    return _pairs(with_members(with_members(both, tr, "a", "ka"), ev, "b", "kb"))
 
 
 def near_matches(items: DataFrame, key: str, text: str, side_col: str, threshold: float = SIMILARITY) -> DataFrame:

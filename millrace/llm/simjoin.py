@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_join
 from ..storage import staged
 from .common import WORD, mix64
 
@@ -252,11 +253,11 @@ def candidates(sig: DataFrame, threshold: float, sides: bool = False) -> DataFra
     large = sig.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD)
     large = staged(large, "large")
     n_large = large.count()
-    small = sig if not n_large else sig.join(large, "shard", "left_anti")
+    small = sig if not n_large else spread_join(sig, large.select("shard", F.lit(True).alias("is_large"), F.col("n").alias("rows")), ["shard"], "left", by=["class_id"], count="rows").filter("is_large is null").drop("is_large")
     rows = ["shard", "class_id", "size", *PRINTS]
     out = small.repartition("shard").sortWithinPartitions("shard").select(*rows, *extra).mapInArrow(run, "a long, b long")
     if n_large:
-        parts = divided(sig.join(large, "shard"))
+        parts = divided(spread_join(sig, large.withColumn("rows", F.col("n")), ["shard"], by=["class_id"], count="rows"))
         out = out.unionByName(parts.repartition("shard").sortWithinPartitions("shard").select(*rows, "home", *extra).mapInArrow(run, "a long, b long"))
     return out.distinct()
 

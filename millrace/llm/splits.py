@@ -26,6 +26,10 @@ from .flow import MinCostFlow
 MISSING = ("none", "null", "n/a", "na", "nan", "nil", "unknown", "missing", "undefined", "-", "--", "?", "tbd")
 
 
+#: Ranges of bundles that are broadcast at most.
+RANGES = 500_000
+
+
 def clean_id(c: str) -> Column:
     """Trimmed and lower-cased; null for blank ids and words that stand for a missing one."""
     x = F.lower(trimmed(c))
@@ -128,6 +132,7 @@ def assign_splits(records: DataFrame, targets: DataFrame, seed: str = "split") -
             if k:
                 ranges.append((size, p, s, at, at + k))
             at += k
-    r = F.broadcast(spark.createDataFrame(ranges, "size long, profile string, split_name string, lo long, hi long"))  # rows: bundles * splits
+    r = spark.createDataFrame(ranges, "size long, profile string, split_name string, lo long, hi long")
+    r = F.broadcast(r) if len(ranges) <= RANGES else r  # rows: bundles * splits
     ranked = seeded_rank(c, ["size", "profile"], "component", seed)
     return ranked.join(r, ["size", "profile"]).filter("rank > lo and rank <= hi").select("component", "split_name", F.col("size").alias("records"))

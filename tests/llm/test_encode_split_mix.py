@@ -236,3 +236,26 @@ def test_overlapping_sources(spark):
     assert all(abs(r.tokens - 600) <= 30 for r in rep.values()) and n["a"] > 600
     # 1,200 tokens of about 1,700 of distinct texts: no text need be used twice but for what fills the ends
     assert sum(u > 1 for u in per_text.values()) <= 4
+
+
+def test_mix_of_documents(spark, sf):
+    from millrace.llm import queries
+
+    rows, rep = queries.p7_mix(spark, sf).collect(), queries.p7_shares(spark, sf).collect()
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()}
+    targets = {(r.mix_id, r.source): r for r in spark.read.parquet(f"{sf}/mix_targets.parquet").collect()}
+    tokens, most = {}, {}
+    for r in rows:
+        k = (r.mix_id, r.source)
+        assert source[r.doc_id] == r.source and 1 <= r.uses <= targets[k].max_repeats
+        tokens[k] = tokens.get(k, 0) + r.n_tokens * r.uses
+        most[k] = max(most.get(k, 0), r.uses)
+    have = {}
+    for r in mixing.sized(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        have[r.source] = have.get(r.source, 0) + r.n_tokens
+    assert {(r.mix_id, r.source) for r in rep} == set(targets)
+    for r in rep:
+        k = (r.mix_id, r.source)
+        assert (r.tokens, r.most_uses) == (tokens.get(k, 0), most.get(k, 0)) and r.target_tokens == round(targets[k].target_share * targets[k].total_tokens)
+        can = have.get(r.source, 0) * targets[k].max_repeats
+        assert r.gap_tokens == max(0, r.target_tokens - r.tokens) and r.tokens >= min(r.target_tokens, can)

@@ -112,6 +112,8 @@ def test_large_shards_are_divided(spark, monkeypatch):
     rows = [(f"h{i:03d}", " ".join([*base[: rng.randint(26, 30)], f"x{i}"]), 1) for i in range(90)] + fixture(180, 9)
     monkeypatch.setattr(simjoin, "SHARD", 16)
     monkeypatch.setattr(simjoin, "LEAF", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rows += [(f"same{i}", "a text that many keys have in common", 1) for i in range(12)] + [(f"near{i}", "a text that many keys have in hand", 1) for i in range(7)]
     d = spark.createDataFrame(rows, "key string, text string, side int")
     m, links = neardup.near_duplicates(d, "key", "text", 0.6)
     assert {(r.key_a, r.key_b) for r in neardup.linked_keys(m, links).collect()} == brute(rows, 0.6)
@@ -181,3 +183,37 @@ def test_matches_count_the_pairs(spark):
     assert got == dict(want)
     v = spark.createDataFrame([("a", "H1", 1), ("b", " h1 ", 2), ("c", "h1", 1), ("d", None, 2), ("b", "h2", 2), ("c", "h2", 1), ("c", "h2", 1)], "k string, v string, s int")
     assert {r.key: r.matches for r in overlap.value_matches(v, "k", "v", "s").collect()} == {"b": 3}
+
+
+def test_groups_and_counts_of_queries(spark, sf):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in queries.p4_found(spark, sf).collect():
+        a, b = find((r.tbl, r.key_a)), find((r.tbl, r.key_b))
+        parent[max(a, b)] = min(a, b)
+    rows = queries.p4_groups(spark, sf).collect()
+    by = defaultdict(set)
+    for r in rows:
+        by[r.tbl, r.group_id].add(find((r.tbl, r.key)))
+    texts = Counter((r.tbl, r.key) for r in rows)
+    assert all(len(v) == 1 for v in by.values()) or any(n > 1 for n in texts.values())  # a key of two texts may belong to two groups
+    found = {(r.reader_id_a, r.reader_id_b) for r in queries.p5_found(spark, sf).collect()}
+    split = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/source_items.parquet").select("reader_id", "source_split", "source_benchmark").distinct().collect():
+        split[r.reader_id].add((r.source_split, r.source_benchmark))
+    want = defaultdict(set)
+    for a, b in found:
+        for x in (a, b):
+            for s, src in split[x]:
+                if s in ("val", "test"):
+                    want[s, src].add(x)
+    got = defaultdict(int)
+    for r in queries.p5_counts(spark, sf).collect():
+        assert r.way in ("qa", "behavior", "hash") and r.matches >= r["items"] >= 1
+        got[r.source_split, r.source_benchmark] = max(got[r.source_split, r.source_benchmark], r["items"])
+    assert got.keys() == want.keys() and all(n <= len(want[k]) for k, n in got.items())
