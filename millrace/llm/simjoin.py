@@ -148,23 +148,30 @@ class VantageTree:
 
     def __init__(self, prints: np.ndarray, leaf: int = LEAF):
         self.prints, self.leaf, self.looked = prints, leaf, 0
+        self.rank, self.placed = np.empty(len(prints), np.int64), 0
         self.root = self._build(np.arange(len(prints)))
 
+    def _leaf(self, idx: np.ndarray) -> np.ndarray:
+        self.rank[idx] = np.arange(self.placed, self.placed + len(idx))
+        self.placed += len(idx)
+        return idx
+
     def _build(self, idx: np.ndarray):
         if len(idx) <= self.leaf:
-            return idx
+            return self._leaf(idx)
         v = self.prints[idx[len(idx) // 2]]
         d = _distance(self.prints[idx], v)
         mid = int(np.median(d))
         near = d <= mid
         if near.all() or not near.any():
-            return idx  # all at one distance: nothing to divide
+            return self._leaf(idx)  # all at one distance: nothing to divide
         return v, int(d[near].max()), int(d[~near].min()), self._build(idx[near]), self._build(idx[~near])
 
-    def pairs(self, queries: np.ndarray, r: int | np.ndarray, parts: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, queries: np.ndarray, r: int | np.ndarray, parts: tuple[np.ndarray, np.ndarray] | None = None, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query number, point number) of all within distance r (of each query), in blocks.
 
-        ``parts``: of each query and each point; then within the sum of both parts, which r has to cover.
+        ``parts``: of each query and each point; then within the sum of both parts, which r has to cover. ``same``: the queries are the points,
+        and a pair is wanted once: a leaf is then compared with its own points and those of the leaves before it.
         """
         r = np.broadcast_to(r, len(queries))
         todo = [(self.root, np.arange(len(queries)))]
@@ -177,6 +184,8 @@ class VantageTree:
                 d = _distance(queries[q], v)
                 todo += [(near, q[d - r[q] <= inner]), (far, q[d + r[q] >= outer])]
                 continue
+            if same:
+                q = q[self.rank[q] <= self.rank[node[-1]]]
             step = max(1, 200_000 // len(node))
             points = self.prints[node]
             for at in range(0, len(q), step):
@@ -213,7 +222,7 @@ def _shard_pairs(shard: np.ndarray, ids: np.ndarray, prints: np.ndarray, size: n
         if not len(live) or not len(ask):
             continue
         tree = VantageTree(prints[live])
-        for q, p in tree.pairs(prints[ask], reach[ask], (part[ask], part[live])):
+        for q, p in tree.pairs(prints[ask], reach[ask], (part[ask], part[live]), same=home is None):
             yield from _ordered(ask[q], live[p], ids, side)
 
 

@@ -103,6 +103,9 @@ def test_vantage_tree_finds_all():
     d = simjoin._distance(points[:, None], points[None])
     assert got == set(zip(*map(lambda x: x.tolist(), np.nonzero(d <= 12))))
     assert tree.looked < d.size * 0.7  # branches were pruned
+    looked = tree.looked
+    once = [(int(q), int(p)) for a, b in tree.pairs(points, 12, same=True) for q, p in zip(a, b) if q != p]
+    assert {(min(x), max(x)) for x in once} == {(min(x), max(x)) for x in got if x[0] != x[1]} and tree.looked - looked < 0.7 * looked
 
 
 def test_large_shards_are_divided(spark, monkeypatch):
