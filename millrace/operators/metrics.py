@@ -224,6 +224,20 @@ def reduced(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*[(F.max if "max" in c else F.min if "min" in c else F.avg)(c).alias(c) for c in cols])
 
 
+#: Reductions of typed metrics.
+REDUCTIONS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
+
+
+def typed(df: DataFrame, name: str, kind: str, value: str) -> DataFrame:
+    """(name, kind, value): values that say how they are reduced, one row per name. An unknown kind or two kinds of one name are an error."""
+    checked = F.when(F.col(kind).isin(*REDUCTIONS), F.col(kind)).otherwise(F.raise_error(F.concat(F.lit("unknown reduction "), F.coalesce(kind, F.lit("null")))).cast("string"))
+    g = df.select(F.col(name), checked.alias("kind"), value).groupBy(name).agg(F.min("kind").alias("kind"), F.max("kind").alias("__k"), *[f(value).alias(f"__{k}") for k, f in REDUCTIONS.items()])
+    out = F.raise_error(F.concat(F.lit("two reductions of "), F.col(name))).cast("double")
+    for k in REDUCTIONS:
+        out = F.when((F.col("kind") == k) & (F.col("__k") == k), F.col(f"__{k}").cast("double")).otherwise(out)
+    return g.select(name, "kind", out.alias("value"))
+
+
 #: Kinds of aggregation over steps.
 KINDS = ("avg", "sum", "max", "min", "last", "weighted_avg", "time_sum")
 

@@ -1,4 +1,4 @@
-"""Registered queries and their SQL, by module: items, decisions, texts, batches, statistics, flows."""
+"""Registered queries and their SQL, by module: items, decisions, texts, batches, statistics, flows, rules."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def r6(c: Column | str) -> Column:
 
 
 def _load() -> None:
-    from . import batches, decisions, flows, items, stats, texts  # noqa: F401
+    from . import batches, decisions, flows, items, rules, stats, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
