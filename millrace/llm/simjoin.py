@@ -5,6 +5,9 @@
    has one they share among its first n - ceil(t n) + 1 (n: its occurrences), so a class goes to the shards of
    these, whatever its words. A shard of more than ``SHARD`` classes (a hot word) is salted: divided into blocks,
    of which every two meet.
+   Each row of a shard knows how many occurrences its class has from the shared one on. Where two classes meet at the
+   first occurrence that they share, they can't share more than the smaller of these numbers; a similarity of t asks for
+   t / (1 + t) of both sizes, which leaves few pairs to the shards of frequent words, late in the order.
 3. *Vantage-point trees.* Within a shard the classes are ordered in a tree over fingerprints by Hamming distance,
    and branches are pruned by the triangle inequality. Each bit of a fingerprint is the parity of the occurrences
    that fall on it, so two classes differ in at most as many bits as they have occurrences not in common, which
@@ -97,7 +100,7 @@ def frequent_elements(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float, sides: bool = False) -> DataFrame:
-    """(shard, class_id, size, f0..f3[, side]) for each of the rarest n - ceil(t n) + 1 word occurrences of each class."""
+    """(shard, class_id, size, left, f0..f3[, side]) for each of the rarest n - ceil(t n) + 1 word occurrences of each class."""
     known = classes.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,14 +123,14 @@ def signatures(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], thre
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
                 kept = place < (size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1)[row]
                 of = row[kept]
-                cols = [mixed[order[kept]].view(np.int64), b.column(0).to_numpy()[of], size[of].astype(np.int32), *(prints[of, k] for k in range(4))]
-                names = ["shard", "class_id", "size", *PRINTS]
+                cols = [mixed[order[kept]].view(np.int64), b.column(0).to_numpy()[of], size[of].astype(np.int32), (size[of] - place[kept]).astype(np.int32), *(prints[of, k] for k in range(4))]
+                names = ["shard", "class_id", "size", "left", *PRINTS]
                 if sides:
                     cols, names = [*cols, b.column(2).to_numpy()[of]], [*names, "side"]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     picked = classes.select("class_id", "text", *(["side"] if sides else []))
-    return picked.mapInArrow(run, "shard long, class_id long, size int, " + ", ".join(f"{f} long" for f in PRINTS) + (", side int" if sides else ""))
+    return picked.mapInArrow(run, "shard long, class_id long, size int, left int, " + ", ".join(f"{f} long" for f in PRINTS) + (", side int" if sides else ""))
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,30 +203,65 @@ class VantageTree:
                 yield part[a], node[b]
 
 
-def _shard_pairs(shard: np.ndarray, ids: np.ndarray, prints: np.ndarray, size: np.ndarray, threshold: float, side: np.ndarray | None, home: np.ndarray | None) -> Iterator[np.ndarray]:
+def _shard_pairs(shard: np.ndarray, ids: np.ndarray, prints: np.ndarray, size: np.ndarray, left: np.ndarray, threshold: float, side: np.ndarray | None, home: np.ndarray | None) -> Iterator[np.ndarray]:
     """Pairs of ids of sorted runs of equal shards; with ``home``, rows with home 0 are queries only, with 1 points only."""
     part = slack(size, threshold)
     reach = np.ceil(part * (1 + 1 / threshold) + 1)  # a class of n occurrences is similar to classes of up to n / threshold
+    most = left * ((1 + threshold) / threshold) - size + 1e-6  # occurrences that a partner may have in this shard
     cut = np.flatnonzero(shard[1:] != shard[:-1]) + 1
     starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(shard)]])
     members = ends - starts
-    for n in range(2, 9):  # the many small shards together: all pairs of a few members, by their distance
-        at = starts[members == n]
-        if not len(at):
-            continue
-        i, j = np.triu_indices(n, 1)
-        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+
+    def near(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+        may = (size[b] <= most[a]) & (size[a] <= most[b])
+        a, b = a[may], b[may]
         keep = _distance(prints[a], prints[b]) <= part[a] + part[b]
         yield from _ordered(a[keep], b[keep], ids, side)
-    for k in np.flatnonzero(members > 8):
+
+    for n in range(2, SMALL + 1):  # the many small shards together: all pairs of a few members
+        at = starts[members == n]
+        i, j = np.triu_indices(n, 1)
+        step = max(1, 1_000_000 // len(i))
+        for k in range(0, len(at), step):
+            yield from near((at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel())
+    for k in np.flatnonzero(members > SMALL):
         live = ask = np.arange(starts[k], ends[k])
         if home is not None:
             live, ask = live[home[live] > 0], ask[home[ask] != 1]
         if not len(live) or not len(ask):
             continue
-        tree = VantageTree(prints[live])
-        for q, p in tree.pairs(prints[ask], reach[ask], (part[ask], part[live]), same=home is None):
-            yield from _ordered(ask[q], live[p], ids, side)
+        live = live[np.argsort(size[live], kind="stable")]
+        ask = live if home is None else ask
+        for lo, hi in _bands(size[live]):
+            points = live[lo:hi]
+            tree = VantageTree(prints[points])
+            if home is None:
+                yield from _met(tree, points, points, prints, size, most, part, reach, ids, side, True)
+            others = ask[hi:] if home is None else ask
+            others = others[(most[others] >= size[points[0]]) & (size[others] <= most[points].max())]
+            yield from _met(tree, others, points, prints, size, most, part, reach, ids, side, False)
+
+
+#: Shards of up to so many classes are gone through together, without trees; classes of one tree differ in size by this factor at most.
+SMALL, BAND = 24, 1.2
+
+
+def _bands(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of ascending sizes within a factor of BAND of their smallest."""
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] * BAND, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _met(tree: VantageTree, ask: np.ndarray, points: np.ndarray, prints, size, most, part, reach, ids, side, same: bool) -> Iterator[np.ndarray]:
+    if not len(ask):
+        return
+    for q, p in tree.pairs(prints[ask], reach[ask], (part[ask], part[points]), same=same):
+        a, b = ask[q], points[p]
+        may = (size[b] <= most[a]) & (size[a] <= most[b])
+        yield from _ordered(a[may], b[may], ids, side)
 
 
 def _ordered(a: np.ndarray, b: np.ndarray, ids: np.ndarray, side: np.ndarray | None) -> Iterator[np.ndarray]:
@@ -254,7 +292,7 @@ def candidates(sig: DataFrame, threshold: float, sides: bool = False) -> DataFra
             get = lambda c: whole.column(c).to_numpy()
             prints = np.stack([get(f) for f in PRINTS], axis=1).view(np.uint64)
             home = get("home") if "home" in whole.schema.names else None
-            for pairs in _shard_pairs(get("shard"), get("class_id"), prints, get("size"), threshold, get("side") if sides else None, home):
+            for pairs in _shard_pairs(get("shard"), get("class_id"), prints, get("size"), get("left"), threshold, get("side") if sides else None, home):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     sig = staged(sig, "signatures")
@@ -263,7 +301,7 @@ def candidates(sig: DataFrame, threshold: float, sides: bool = False) -> DataFra
     large = staged(large, "large")
     n_large = large.count()
     small = sig if not n_large else spread_join(sig, large.select("shard", F.lit(True).alias("is_large"), F.col("n").alias("rows")), ["shard"], "left", by=["class_id"], count="rows").filter("is_large is null").drop("is_large")
-    rows = ["shard", "class_id", "size", *PRINTS]
+    rows = ["shard", "class_id", "size", "left", *PRINTS]
     out = small.repartition("shard").sortWithinPartitions("shard").select(*rows, *extra).mapInArrow(run, "a long, b long")
     if n_large:
         parts = divided(spread_join(sig, large.withColumn("rows", F.col("n")), ["shard"], by=["class_id"], count="rows"))
