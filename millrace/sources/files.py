@@ -134,7 +134,7 @@ def tolerant_jsonl(spark: SparkSession, paths: str | list[str], schema: T.Struct
     return parsed.filter(good).select("r.*"), counts.withColumn("dropped", F.col("lines") - F.col("objects"))
 
 
-def inspect_gzip(path: str, rows: int | None = None, sha256: str | None = None) -> dict:
+def inspect_gzip(path, rows: int | None = None, sha256: str | None = None) -> dict:
     """Rows, bytes and SHA-256 of a compressed JSON-lines file's content, read in blocks; a line that isn't JSON is an error, and so are other rows or another hash than expected.
 
     A gzip stream can only be read from its start, by one reader; many files are inspected side by side by ``inspect_gzips``.
@@ -154,28 +154,53 @@ def inspect_gzip(path: str, rows: int | None = None, sha256: str | None = None)
     return {"rows": n, "bytes": size, "sha256": digest.hexdigest()}
 
 
+def _local(path: str) -> str | None:
+    """The path of a file of a mounted file system; None for other file systems."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return path if "://" not in path else None
+
+
+def _opened(paths: list[str], spark: SparkSession) -> DataFrame:
+    """(path, content) with one task per file; the content is null for files that tasks open themselves, block by block, and given for those of other file systems."""
+    if all(_local(p) for p in paths):
+        return spark.createDataFrame([(p, None) for p in paths], "path string, content binary").repartition(max(1, len(paths)))
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
+
+
 def inspect_gzips(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, rows, bytes, sha256, error) of each file in a folder that all machines see, one task per file; a file that can't be read has its error instead."""
-    d = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
     def run(batches):
         for pdf in batches:
             out = []
-            for p in pdf["path"]:
+            for p, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    got = inspect_gzip(p.removeprefix("file:").replace("///", "/", 1) if p.startswith("file:") else p)
+                    got = inspect_gzip(_local(p) if content is None else io.BytesIO(content))
                     out.append((p, got["rows"], got["bytes"], got["sha256"], None))
                 except Exception as e:
                     out.append((p, None, None, None, type(e).__name__))
             yield pd.DataFrame(out, columns=["path", "rows", "bytes", "sha256", "error"]).astype({"rows": "Int64", "bytes": "Int64"})
 
-    return d.mapInPandas(run, "path string, rows long, bytes long, sha256 string, error string")
+    return _opened(paths, spark).mapInPandas(run, "path string, rows long, bytes long, sha256 string, error string")
+
+
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, bytes and SHA-256 of files as they are, one task per file, read in blocks (files of other file systems than mounted ones whole, up to 2 GB)."""
 
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for p, content in zip(pdf["path"], pdf["content"]):
+                digest, size = hashlib.sha256(), 0
+                with open(_local(p), "rb") if content is None else io.BytesIO(content) as f:
+                    while block := f.read(1 << 22):
+                        digest.update(block)
+                        size += len(block)
+                out.append((p, size, digest.hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "bytes", "sha256"])
 
-def file_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, bytes and SHA-256 of files as they are."""
-    d = spark.read.format("binaryFile").load(paths)
-    return d.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return _opened([paths] if isinstance(paths, str) else paths, spark).mapInPandas(run, "path string, bytes long, sha256 string")
 
 
 def line_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -305,6 +330,19 @@ def gzip_bytes(data: bytes) -> bytes:
     return out.getvalue()
 
 
+def write_gzip(path: str, lines: Iterable[str], level: int = 9) -> dict:
+    """Lines as a gzip file with neither time nor name, so that equal lines give equal files; rows, bytes and SHA-256 of the content. Written as the lines come, whole or not at all."""
+    digest, size, rows, temp = hashlib.sha256(), 0, 0, path + ".tmp"
+    with open(temp, "wb") as raw, gzip.GzipFile(filename="", mode="wb", compresslevel=level, fileobj=raw, mtime=0) as f:
+        for line in lines:
+            data = (line + "\n").encode("utf-8")
+            digest.update(data)
+            f.write(data)
+            size, rows = size + len(data), rows + 1
+    os.replace(temp, path)
+    return {"rows": rows, "bytes": size, "sha256": digest.hexdigest()}
+
+
 def unpack_gzip(source: str, target: str) -> None:
     """Unpack a file; an existing target is an error."""
     with gzip.open(source, "rb") as f, open(target, "xb") as g:

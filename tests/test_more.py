@@ -306,6 +306,12 @@ def test_fetched_files(spark, tmp_path):
             files.inspect_gzip(str(g), **wrong)
     (tmp_path / "bad.gz").write_bytes(b"no gzip")
     assert {r.path.rsplit("/", 1)[1]: (r.rows, r.error) for r in files.inspect_gzips(spark, [str(g), str(tmp_path / "bad.gz")]).collect()} == {"g.jsonl.gz": (1, None), "bad.gz": (None, "BadGzipFile")}
+    a, b = (files.write_gzip(str(tmp_path / n), (f'{{"k": {i}}}' for i in range(500))) for n in ("x.gz", "y.gz"))
+    assert a == b == files.inspect_gzip(str(tmp_path / "x.gz")) and (tmp_path / "x.gz").read_bytes() == (tmp_path / "y.gz").read_bytes()
+    import hashlib
+
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in files.file_digests(spark, [f"file://{tmp_path}/x.gz", str(tmp_path / "a.csv")]).collect()}
+    assert got == {n: (len(x), hashlib.sha256(x).hexdigest()) for n in ("x.gz", "a.csv") for x in [(tmp_path / n).read_bytes()]}
     files.append_line(str(tmp_path / "log.csv"), {"a": 1, "b": "x,y"})
     files.append_line(str(tmp_path / "log.csv"), {"a": 2, "b": None})
     assert (tmp_path / "log.csv").read_text().splitlines() == ["a,b", '1,"x,y"', "2,"]
