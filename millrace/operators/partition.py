@@ -23,6 +23,7 @@ def cluster_split(df: DataFrame, strata: list[str], cluster: str, fraction: floa
     """
     c = F.coalesce(F.col(cluster), F.lit(""))
     sizes = df.groupBy(*strata, c.alias("__c")).agg(F.count("*").alias("__size")).withColumn("__h", seeded(seed, F.col("__c")))
+    sizes = staged(sizes, "clusters")  # counted, sliced and ranked
     want = sizes.groupBy(*strata).agg(F.greatest(F.lit(1), F.bround(F.sum("__size") * fraction).cast("long")).alias("__want"))
     ranked = running_before(sizes, strata, "__h", F.col("__size"), "__before")
     for k in strata:

@@ -65,7 +65,7 @@ case when l3 is null then basis when d >= 2 then 'drop_majority' when kp >= 2 th
 def three_pass_majority(spark, sf):
     two = _two(spark, sf)
     third = _pass(spark, sf, 3).join(two.filter("label = 'REVIEW' and second_label is not null").select("reader_id"), "reader_id", "left_semi")
-    out = votes.three_pass(two, third, "reader_id")
+    out = votes.three_pass(two, third, "reader_id", strict=True)
     return out.select("reader_id", "label", (F.round("confidence", 5) + F.lit(0.0)).alias("confidence"), "basis")
 
 

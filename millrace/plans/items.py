@@ -266,13 +266,28 @@ left join (select reader_id as k, meta_query as q, min(teacher_row_id) as t from
 left join (select reader_id as k, min(teacher_row_id) as t from teacher_rows group by 1) c on c.k = x.reader_id"""
 
 
-@query(f"""with {ITEMS_SQL}, p as (select prompt as q from prompt_pool order by query_type limit 1), x as (select reader_id, lower(sample_hash) as h, p.q from items cross join p)
-select x.reader_id, coalesce(a.t, b.t, c.t) as teacher_row_id, case when a.t is not null then 'hash_and_query' when b.t is not null then 'id_and_query' when c.t is not null then 'id' else 'none' end as status from x {_MATCH}""")
+@query(f"""with {ITEMS_SQL}, p as (select prompt as q from prompt_pool order by query_type limit 1), x as (select reader_id, lower(sample_hash) as h, p.q from items cross join p),
+m as (select x.reader_id, coalesce(a.t, b.t, c.t) as t, case when a.t is not null then 'hash_and_query' when b.t is not null then 'id_and_query' when c.t is not null then 'id' else 'fallback_random' end as status from x {_MATCH}),
+n as (select teacher_row_id, row_number() over (order by teacher_row_id) - 1 as i, count(*) over () as n from (select distinct teacher_row_id from teacher_rows)),
+f as (select reader_id, ('0x' || substr(sha256('fallback:' || reader_id), 1, 13))::ubigint % (select max(n) from n) as i from m where t is null)
+select m.reader_id, coalesce(m.t, n.teacher_row_id) as teacher_row_id, m.status from m left join f using (reader_id) left join n on n.i = f.i""")
 def cascade_match(spark, sf):
     prompt = table(spark, sf, "prompt_pool").orderBy("query_type").limit(1).select(F.col("prompt").alias("meta_query"))  # one row
     q = items(spark, sf, "sample_hash").select("reader_id", F.lower("sample_hash").alias("sample_hash")).join(F.broadcast(prompt))
     rows = table(spark, sf, "teacher_rows").select("reader_id", F.lower("sample_hash").alias("sample_hash"), "meta_query", "teacher_row_id")
-    return joins.prioritised_match(q, rows, [("hash_and_query", ["sample_hash", "meta_query"]), ("id_and_query", ["reader_id", "meta_query"]), ("id", ["reader_id"])], "reader_id", "teacher_row_id")
+    levels = [("hash_and_query", ["sample_hash", "meta_query"]), ("id_and_query", ["reader_id", "meta_query"]), ("id", ["reader_id"])]
+    matched = staged(joins.prioritised_match(q, rows, levels, "reader_id", "teacher_row_id"), "matched")
+    return joins.fallback_match(matched, rows, "reader_id", "teacher_row_id", "fallback")
+
+
+@query(f"""with {ITEMS_SQL}, a as (select distinct lower(sample_hash) as h, prompt as q from items cross join (select prompt from prompt_pool where family <> 'x' and query_type < 'd') p),
+t as (select lower(sample_hash) as h, meta_query as q from teacher_rows) select (select count(*) from t where exists (select 1 from a where a.h = t.h and a.q = t.q)) as kept, (select count(*) from t where not exists (select 1 from a where a.h = t.h and a.q = t.q)) as dropped""")
+def allowed_teacher_pairs(spark, sf):
+    """Teacher rows whose hash is an item's and whose prompt is one of the first types, and how many others there are."""
+    rows = table(spark, sf, "teacher_rows").select(F.lower("sample_hash").alias("sample_hash"), "meta_query")
+    prompts = [r.prompt for r in table(spark, sf, "prompt_pool").filter("query_type < 'd'").select("prompt").collect()]  # of the fixed pool
+    allowed = items(spark, sf, "sample_hash").select(F.lower("sample_hash").alias("sample_hash")).filter("sample_hash is not null").distinct().withColumn("meta_query", F.explode(F.array(*map(F.lit, prompts))))
+    return joins.allowed_pairs(rows, allowed, ["sample_hash", "meta_query"])[1]
 
 
 @query("""with a as (select distinct reader_id as k from source_items where reader_id is not null), b as (select distinct reader_id as k from teacher_rows where reader_id is not null),
