@@ -225,3 +225,50 @@ def audit_rounds(spark, sf):
     audit = lambda g, k: g.select("reader_id", F.when(F.col("tries") >= F.col("need"), "PASS").otherwise("FAIL").alias("label"))
     _, last = state.audited(d, "reader_id", audit, lambda g, a, k: g.withColumn("tries", F.col("tries") + 1), 3)
     return last.agg(F.count("*").alias("groups"), F.sum((F.col("label") == "PASS").cast("long")).alias("passed"))
+
+
+@query("select count(distinct reader_id) as finished, count(distinct reader_id) as results, 0::bigint as left_over from source_items where reader_id is not null")
+def resumable_items(spark, sf):
+    """A map over items of which a third fail in the first run: the second finishes them, the third has nothing to do."""
+    d = table(spark, sf, "source_items").filter("reader_id is not null").select("reader_id").distinct()
+    out, log = _place(spark, "results"), _place(spark, "log")
+    flaky = lambda x: x.withColumn("status", F.when(F.pmod(F.xxhash64("reader_id"), F.lit(3)) == 0, "error").otherwise("ok"))
+    sure = lambda x: x.withColumn("status", F.lit("ok"))
+    state.resumable_map(d, "reader_id", flaky, out, log)
+    state.resumable_map(d, "reader_id", sure, out, log)
+    rest = state.resumable_map(d, "reader_id", sure, out, log)
+    done = spark.read.parquet(log).filter("status = 'ok'").agg(F.countDistinct("reader_id").alias("finished"))
+    return done.join(spark.read.parquet(out).agg(F.count("*").alias("results"))).withColumn("left_over", F.lit(rest).cast("long"))  # one row each
+
+
+@query("select event_type, count(*) as rows from events where event_id % 4 < 2 group by 1")
+def growing_table(spark, sf):
+    """A table that grows by what each of two batches generates."""
+    g = state.GrowingTable(spark, _place(spark, "growing"))
+    d = table(spark, sf, "events").select("event_id", "event_type")
+    for k in (0, 1):
+        g.on_batch_end(d.filter(F.col("event_id") % 4 == k), lambda b: b)
+    return g.read().groupBy("event_type").agg(F.count("*").alias("rows"))
+
+
+@query("select reader_source_index, coalesce(length(answer), 0)::double as one_by_one, coalesce(length(answer), 0)::double + 1 as in_batches from source_items")
+def scored_answers(spark, sf):
+    """Outside scorers: one answer at a time in a process with a time limit, and Arrow batches."""
+    from ..operators import scoring
+
+    d = table(spark, sf, "source_items").select("reader_source_index", "answer")
+    d = scoring.timed(d, lambda r: len(r["answer"] or ""), ["answer"], seconds=30.0, out="one_by_one")
+    d = scoring.batched(d, lambda p: p["answer"].fillna("").str.len() + 1.0, ["answer"], out="in_batches")
+    return d.select("reader_source_index", "one_by_one", "in_batches")
+
+
+@query("with n as (select count(*) as n from orders), b as (select i, least(4000, n - 4000 * i) as rows from n, range(1000) g(i) where 4000 * i < n) select i as batch, rows from b")
+def minibatch_sizes(spark, sf):
+    from ..operators import batch
+
+    d = batch.with_index(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    out = None
+    for k, part in enumerate(batch.minibatches(d, 4000)):
+        one = part.agg(F.lit(k).cast("long").alias("batch"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out

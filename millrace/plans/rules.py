@@ -206,3 +206,23 @@ def greedy_partitions(spark, sf):
     d = staged(_lengths(spark, sf), "lengths")
     got = balance.balanced(d, "batch", "row_index", "n", 8, method="in_turn")
     return got.join(d, ["batch", "row_index"]).groupBy("batch").agg(F.count("*").alias("rows"), F.sum("n").alias("chars"))
+
+
+_REWRITES = "transform(sequence(0, 7), i -> struct(concat('Take ', i, ': ', question) as question, concat(trim(answer), element_at(array('.', ',', ';', ':', '!', '?', '\"', '~'), i + 1)) as answer, title as title, 'ctx' as context))"
+
+
+@query(r"""with v as (select reader_source_index as id, question as q, trim(answer) as a, title from source_items where question is not null and answer is not null and title is not null and regexp_matches(question || answer || title, '^[ -~]*$')),
+k as (select id, a, q, title, regexp_replace(trim(a), ' +', ' ', 'g') as c from v)
+select id as reader_source_index, length(a) + 1 <= 180 and len(string_split(regexp_replace(trim(a || '.'), ' +', ' ', 'g'), ' ')) <= 28 as short, not regexp_matches(a, '(?i)[\n\r{}\[\]<>]|```|assistant|user|answer is|likely|probably') as allowed from k""")
+def rewrite_checks(spark, sf):
+    """Two of the checks of eight rewrites made from each pair: none too long, none with forbidden wording."""
+    d = table(spark, sf, "source_items").filter("question is not null and answer is not null and title is not null").filter(F.concat("question", "answer", "title").rlike(r"\A[ -~]*\z"))
+    v = F.expr(_REWRITES)
+    e = validate.rewrite_errors(F.col("question"), F.col("answer"), v, F.transform(v, lambda x: text.strip(x["answer"])))
+    return d.select("reader_source_index", e.alias("e")).select("reader_source_index", (~F.array_contains("e", "long")).alias("short"), (~F.array_contains("e", "forbidden")).alias("allowed"))
+
+
+@query("with c as (select unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g']) as category, unnest(range(7)) as i) select category, (1234 // 7 + (i < 1234 % 7)::int)::bigint as quota, greatest(5, ceil(1234 / 800.0))::bigint as cap from c")
+def category_quotas(spark, sf):
+    q = duplicates.category_quotas(1234, list("abcdefg"))
+    return spark.createDataFrame([(c, n, duplicates.subcategory_cap(1234)) for c, n in q.items()], "category string, quota long, cap long")
