@@ -55,7 +55,22 @@ def allowed_pairs(rows: DataFrame, allowed: DataFrame, keys: list[str]) -> tuple
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    kept = rows.join(a, same, "left_semi")
+    return _counted(rows, rows.join(a, same, "left_semi"))
+
+
+def allowed_product(rows: DataFrame, allowed: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``allowed_pairs`` where all combinations of the columns' own values (a frame with that column each) are allowed.
+
+    One semi-join a column, in the given order (the most selective first): the combinations are never made.
+    """
+    kept = rows
+    for k, values in allowed.items():
+        kept = kept.join(values.select(F.col(k).alias(f"__{k}")), F.col(k).eqNullSafe(F.col(f"__{k}")), "left_semi")
+    return _counted(rows, kept)
+
+
+def _counted(rows: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The kept rows, and one row with their number and that of the others."""
     counts = rows.agg(F.count("*").alias("rows")).join(kept.agg(F.count("*").alias("kept")))  # one row each
     return kept, counts.select("kept", (F.col("rows") - F.col("kept")).alias("dropped"))
 

@@ -285,9 +285,9 @@ t as (select lower(sample_hash) as h, meta_query as q from teacher_rows) select
 def allowed_teacher_pairs(spark, sf):
     """Teacher rows whose hash is an item's and whose prompt is one of the first types, and how many others there are."""
     rows = table(spark, sf, "teacher_rows").select(F.lower("sample_hash").alias("sample_hash"), "meta_query")
-    prompts = [r.prompt for r in table(spark, sf, "prompt_pool").filter("query_type < 'd'").select("prompt").collect()]  # of the fixed pool
-    allowed = items(spark, sf, "sample_hash").select(F.lower("sample_hash").alias("sample_hash")).filter("sample_hash is not null").distinct().withColumn("meta_query", F.explode(F.array(*map(F.lit, prompts))))
-    return joins.allowed_pairs(rows, allowed, ["sample_hash", "meta_query"])[1]
+    prompts = table(spark, sf, "prompt_pool").filter("query_type < 'd' and prompt is not null").select(F.col("prompt").alias("meta_query"))
+    hashes = items(spark, sf, "sample_hash").select(F.lower("sample_hash").alias("sample_hash")).filter("sample_hash is not null")
+    return joins.allowed_product(rows, {"meta_query": prompts, "sample_hash": hashes})[1]
 
 
 @query("""with a as (select distinct reader_id as k from source_items where reader_id is not null), b as (select distinct reader_id as k from teacher_rows where reader_id is not null),

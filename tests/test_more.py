@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import storage
+from millrace import plans, storage
 from millrace.functions import arrays as A
 from millrace.functions import text
 from millrace.functions.text import tokens
@@ -375,6 +375,9 @@ def test_joins_and_votes(spark):
     a = spark.createDataFrame([("h", "q"), ("h", None), ("x", "q")], "h string, q string")
     kept, n = joins.allowed_pairs(a, spark.createDataFrame([("h", None), ("h", "q"), ("h", "q")], "h string, q string"), ["h", "q"])
     assert kept.count() == 2 and tuple(n.first()) == (2, 1)
+    kept, n = joins.allowed_product(a, {"q": spark.createDataFrame([("q",), (None,)], "q string"), "h": spark.createDataFrame([("h",), ("h",)], "h string")})
+    assert kept.count() == 2 and tuple(n.first()) == (2, 1)
+    assert tuple(joins.allowed_product(a, {"h": kept.select("h").limit(0)})[1].first()) == (0, 3)
     r = joins.routed(spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string"), spark.createDataFrame([("a", "DROP_TASK"), ("b", "REVIEW")], "k string, label string"), "k", "label", votes.DROP)
     assert {x.k: (x.kept, x.removed, x.review) for x in r.collect()} == {"a": (False, True, False), "b": (True, False, True), "c": (True, False, False), None: (True, False, False)}
     two = spark.createDataFrame([("a", "REVIEW", "REVIEW", 0.5, 0.5, "REVIEW", 0.5, "x")], "k string, first_label string, second_label string, c1 double, c2 double, label string, confidence double, basis string")
@@ -384,6 +387,11 @@ def test_joins_and_votes(spark):
     assert votes.three_pass(two, third.limit(0), "k").count() == 1
 
 
+def test_allowed_pairs_make_no_combinations(spark, sf):
+    plan = plans.queries()["allowed_teacher_pairs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Generate" not in plan
+
+
 def test_audits_and_batches(spark):
     audit = {"candidate_id": "c", "raw_label": "pass", "semantic_signature": "four words are here", "reason": "r", **dict.fromkeys(validate.AUDIT_METRICS, 0.9)}
     got = lambda a: one(spark, validate.audited_items(F.lit(json.dumps(a))))
