@@ -76,6 +76,30 @@ def test_hot_tokens_are_divided(spark, monkeypatch):
     assert sorted(r.k for r in got.collect()) == [*kept, 900]
 
 
+@pytest.mark.parametrize(("counted", "hashes"), [(100_000, None), (1, None), (100_000, 5)])
+def test_links_of_sets_with_common_tokens(spark, monkeypatch, counted, hashes):
+    """Sets that share tokens but aren't similar are no candidates; the order of tokens and equal hashes lose no pair."""
+    monkeypatch.setattr(duplicates, "COUNTED", counted, raising=False)
+    if hashes:
+        plain = F.hash
+        monkeypatch.setattr(F, "hash", lambda *c: F.pmod(plain(*c), F.lit(hashes)))
+    wrote, keep = {}, duplicates.staged
+    monkeypatch.setattr(duplicates, "staged", lambda d, name: wrote.setdefault(name, keep(d, name)))
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(26)]
+    base = [set(rng.sample(words, rng.randint(9, 14))) for _ in range(100)]
+    sets = dict(enumerate(base + [(x | {rng.choice(words)}) - set(rng.sample(words, 3)) for x in base[:40]]))
+    rows = [(f"k{i:03}", " ".join(sorted(x))) for i, x in sets.items()]
+    _, links = duplicates.token_pairs(spark.createDataFrame(rows, "k string, t string"), "k", tokens("t"), 0.72)
+    first = {}
+    for k, x in sets.items():
+        first.setdefault(frozenset(x), f"k{k:03}")
+    want = {(a, b) for x, a in first.items() for y, b in first.items() if a < b and len(x & y) / len(x | y) >= 0.72}
+    assert {(r.a, r.b) for r in links.collect()} == want and want
+    if not hashes:
+        assert wrote["candidates"].count() < len(rows) ** 2 / 8
+
+
 def test_long_chains_of_conflicts(spark):
     n = 70
     keys = spark.range(n).withColumnRenamed("id", "k")
