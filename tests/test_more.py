@@ -100,6 +100,11 @@ def test_links_of_sets_with_common_tokens(spark, monkeypatch, counted, hashes):
         assert wrote["candidates"].count() < len(rows) ** 2 / 8
 
 
+def test_links_read_no_statements(spark, sf):
+    plan = plans.queries()["behavior_near_links"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_long_chains_of_conflicts(spark):
     n = 70
     keys = spark.range(n).withColumnRenamed("id", "k")
