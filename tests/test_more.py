@@ -105,6 +105,15 @@ def test_links_read_no_statements(spark, sf):
     assert "Join" not in plan
 
 
+def test_near_pairs_take_linked_statements_only(spark, monkeypatch):
+    wrote, keep = {}, duplicates.staged
+    monkeypatch.setattr(duplicates, "staged", lambda d, name: wrote.setdefault(name, keep(d, name)))
+    rows = [(i, f"w{i}a w{i}b w{i}c w{i}d", "t") for i in range(30)] + [(100, "w3a w3b w3c w3d more", None)]
+    _, pairs = duplicates.near_pairs(spark.createDataFrame(rows, "k long, s string, t string"), "k", "s", "t")
+    assert [(r.a, r.b, r.jaccard, r.ratio) for r in pairs.collect()] == [(3, 100, 0.8, 0.0)]
+    assert {r[0] for r in wrote["linked"].select("k").collect()} == {3, 100}
+
+
 def test_long_chains_of_conflicts(spark):
     n = 70
     keys = spark.range(n).withColumnRenamed("id", "k")
