@@ -114,6 +114,17 @@ def test_near_pairs_take_linked_statements_only(spark, monkeypatch):
     assert {r[0] for r in wrote["linked"].select("k").collect()} == {3, 100}
 
 
+def test_promotion_writes_the_candidates_once(spark, monkeypatch):
+    wrote, keep = {}, duplicates.staged
+    monkeypatch.setattr(duplicates, "staged", lambda d, name: wrote.setdefault(name, keep(d, name)))
+    cand = spark.createDataFrame([(k, "g") for k in range(1, 7)], "k long, g string")
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)], "key long, rep long")
+    links = spark.createDataFrame([(1, 3), (3, 4)], "a long, b long")
+    got = duplicates.promote(cand, members, links, "k", "g", 3)
+    assert sorted((r.k, r.position) for r in got.collect()) == [(1, 1), (4, 2), (5, 3)]
+    assert {r.k for r in wrote["firsts"].collect()} == {1, 3, 4, 5, 6}
+
+
 def test_long_chains_of_conflicts(spark):
     n = 70
     keys = spark.range(n).withColumnRenamed("id", "k")
