@@ -116,7 +116,12 @@ def test_near_pairs_take_linked_statements_only(spark, monkeypatch):
 
 def test_promotion_writes_the_candidates_once(spark, monkeypatch):
     wrote, keep = {}, duplicates.staged
-    monkeypatch.setattr(duplicates, "staged", lambda d, name: wrote.setdefault(name, keep(d, name)))
+
+    def staged(d, name):
+        wrote[name] = keep(d, name)
+        return wrote[name]
+
+    monkeypatch.setattr(duplicates, "staged", staged)
     cand = spark.createDataFrame([(k, "g") for k in range(1, 7)], "k long, g string")
     members = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)], "key long, rep long")
     links = spark.createDataFrame([(1, 3), (3, 4)], "a long, b long")
